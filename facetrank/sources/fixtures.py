@@ -97,24 +97,33 @@ def halls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hall_features(spark: SparkSession, sf_dir: str, features: list[str] | None = None) -> DataFrame:
-    """Long hall features: id, feature, fidx, text, score, vec_id.
+def halls_wide(spark: SparkSession, sf_dir: str, features: list[str] | None = None) -> DataFrame:
+    """Wide halls: id, name, location, hall_type, price, size, then per feature
+    ``feat_x`` (text) and ``x_score`` (1..5).
 
-    Feature ``i`` of hall ``id`` is present unless ``(id + i) % 3 = 0``; its
-    quality is ``1 + (size + i) % 5`` and its vector is embedding number
-    ``(id * 13 + i) mod n``.  Absent features have no row (the sparse rule).
+    Feature ``i`` of hall ``id`` is present unless ``(id + i) % 3 = 0`` (the
+    sparse form: absent features are null); its text is the hall name and type,
+    its quality ``1 + (size + i) % 5``.
     """
+    from ..operators.reshape import score_column
     features = features or HALL_FEATURES_13
     h = halls(spark, sf_dir)
-    arr = F.array(*[F.struct(F.lit(i).alias("fidx"), F.lit(f).alias("feature"))
-                    for i, f in enumerate(features)])
+    cols = []
+    for i, f in enumerate(features):
+        present = F.pmod(F.col("id") + F.lit(i), F.lit(3)) != 0
+        cols.append(F.when(present, F.concat_ws(" ", "name", F.lower("hall_type"))).alias(f))
+        cols.append(F.when(present, F.lit(1) + F.pmod(F.col("size") + F.lit(i), F.lit(5)))
+                    .cast("int").alias(score_column(f)))
+    return h.select("*", *cols)
+
+
+def hall_features(spark: SparkSession, sf_dir: str, features: list[str] | None = None) -> DataFrame:
+    """Long hall features: id, feature, fidx, text, score, vec_id (``(id * 13 + i) mod n``)."""
+    from ..operators.reshape import unpivot_features
+    features = features or HALL_FEATURES_13
     n = _n_vectors(spark, sf_dir)
-    return (h.select("id", "name", "hall_type", "size", F.explode(arr).alias("f"))
-            .select("id", "f.feature", "f.fidx",
-                    F.concat_ws(" ", "name", F.lower("hall_type")).alias("text"),
-                    (F.lit(1) + F.pmod(F.col("size") + F.col("f.fidx"), F.lit(5))).alias("score"),
-                    F.pmod(F.col("id") * 13 + F.col("f.fidx"), n).alias("vec_id"))
-            .where(F.pmod(F.col("id") + F.col("fidx"), F.lit(3)) != 0))
+    return (unpivot_features(halls_wide(spark, sf_dir, features), features)
+            .withColumn("vec_id", F.pmod(F.col("id") * 13 + F.col("fidx"), n)))
 
 
 def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
