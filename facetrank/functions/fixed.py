@@ -147,6 +147,25 @@ HALF_HALF_UNKNOWN = 0.1
 MINMAX_WEIGHTS = {"w_price": 0.3, "w_food": 0.5, "w_parking": 0.2}
 MINMAX_EPS = 1e-5
 
+# Scenario weights of the reviewed scorers.
+R1_WEIGHTS = [("feat_parking", 3.0), ("feat_food", 2.0), ("feat_mood", 1.0)]
+R3_PRIORITIES = [("feat_parking", 2.0), ("feat_food", 1.5), ("feat_mood", 1.0)]
+TAG_KEYWORD_BASE = 1.0
+TAG_KEYWORD_BONUS = 2.0
+CLICK_BONUS = 0.5
+DYNAMIC_SCALE = 5.0
+VECTOR_SHARE_R12 = 0.4
+TAG_SHARE_R12 = 0.6
+HALF_SHARE = 0.5
+MATCH_REASON_SUFFIX = " 만족도가 매우 높은 곳이에요!"
+HALF_HALF_TAGS = [("주차 편리", "parking", "feat_parking_space"),
+                  ("고급스러운 요리가 있는", "food", "feat_food_quality"),
+                  ("역 접근성", "access", "feat_subway_access")]
+REASON_GOOD = "👍 우수"
+REASON_FAIR = "👌 보통"
+REASON_POOR = "👎 아쉬움"
+RANDOM_SEED = 42
+
 # Score buckets.
 SENTIMENT_POSITIVE = 2
 SENTIMENT_NEGATIVE = -1

@@ -131,8 +131,8 @@ CORE: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    from . import text_queries
+    from . import score_queries, text_queries
     out = dict(CORE)
-    for reg in (text_queries.REGISTRY,):
+    for reg in (text_queries.REGISTRY, score_queries.REGISTRY):
         out.update({k: fn for k, (fn, _) in reg.items()})
     return out

@@ -203,8 +203,8 @@ FROM m""",
 
 
 def all_sql() -> dict[str, str]:
-    from . import text_queries
+    from . import score_queries, text_queries
     out = core_sql()
-    for reg in (text_queries.REGISTRY,):
+    for reg in (text_queries.REGISTRY, score_queries.REGISTRY):
         out.update({k: sql for k, (_, sql) in reg.items() if sql is not None})
     return out
