@@ -20,14 +20,15 @@ from ..plans.strategy import checked_broadcast
 from .lexical import tokens
 
 
-def vocabulary_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, aspect, score."""
+def vocabulary_scores(chunks: DataFrame, queries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """query_id, aspect, score.  With ``postings`` (aspect, term, ...) the corpus is not re-tokenised."""
     qtok = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
     qb = checked_broadcast(qtok)
     nq = qtok.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
     terms = F.broadcast(qb.select("term").distinct())
-    vocab = (chunks.select("aspect", F.explode(tokens("text")).alias("term"))
-             .join(terms, "term", "left_semi").distinct())
+    words = (postings.select("aspect", "term") if postings is not None
+             else chunks.select("aspect", F.explode(tokens("text")).alias("term")))
+    vocab = words.join(terms, "term", "left_semi").distinct()
     hits = vocab.join(qb, "term").groupBy("query_id", "aspect").agg(F.count(F.lit(1)).alias("nhit"))
     return hits.join(nq, "query_id").select("query_id", "aspect", (F.col("nhit") / F.col("nq")).alias("score"))
 

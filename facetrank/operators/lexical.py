@@ -22,6 +22,9 @@ Plan shape
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,40 +40,64 @@ def tokens(col: Column | str) -> Column:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """aspect, doc_id, dl, term, tf."""
+    """aspect, doc_id, dl, term, tf.  A chunk without tokens keeps one row with a null term."""
     toks = chunks.select("aspect", "doc_id", tokens("text").alias("toks"))
     return (toks.select("aspect", "doc_id", F.size("toks").alias("dl"),
-                        F.explode("toks").alias("term"))
+                        F.explode_outer("toks").alias("term"))
             .groupBy("aspect", "doc_id", "dl", "term")
             .agg(F.count(F.lit(1)).alias("tf")))
 
 
-def doc_lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("aspect", "doc_id", F.size(tokens("text")).alias("dl"))
+@dataclass
+class Bm25Index:
+    """Postings and statistics, built once and read by every query of a batch."""
+    postings: DataFrame   # aspect, doc_id, dl, term (null for an empty chunk), tf
+    docs: DataFrame       # aspect, doc_id, dl
+    aspects: DataFrame    # aspect, n_docs, avgdl, mean_idf, eps
+    terms: DataFrame      # aspect, term, df, idf
 
 
-def aspect_stats(chunks: DataFrame) -> DataFrame:
-    """aspect, n_docs, avgdl (empty chunks count as length 0)."""
-    return (doc_lengths(chunks).groupBy("aspect")
-            .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
+def build_index(chunks: DataFrame, epsilon: float = BM25_EPSILON, materialize: str | bool = "persist") -> Bm25Index:
+    """Tokenise the chunks once.
 
-
-def term_stats(chunks: DataFrame, post: DataFrame | None = None,
-               epsilon: float = BM25_EPSILON) -> tuple[DataFrame, DataFrame]:
-    """Return (terms: aspect, term, df, idf; aspects: aspect, n_docs, avgdl, mean_idf, eps)."""
-    post = post if post is not None else postings(chunks)
+    materialize: "persist" keeps the postings in executor memory/disk for the
+    branches of one query batch (lost blocks are recomputed from the lineage);
+    "checkpoint" writes them to the shared folder (``spark.checkpoint.dir``),
+    cutting the lineage, for an index that outlives the batch; False plans inline.
+    """
+    post = postings(chunks)
+    if materialize == "checkpoint":
+        post = post.checkpoint(eager=True)
+    elif materialize:
+        post = post.persist(StorageLevel.MEMORY_AND_DISK)
+        post.count()
+    docs = post.groupBy("aspect", "doc_id").agg(F.max("dl").alias("dl"))
     # one row per aspect: the aspect vocabulary is a fixed, small set
-    asp = F.broadcast(aspect_stats(chunks))
-    df_ = post.groupBy("aspect", "term").agg(F.count(F.lit(1)).alias("df"))
+    asp = F.broadcast(docs.groupBy("aspect").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
+    df_ = (post.where(F.col("term").isNotNull())
+           .groupBy("aspect", "term").agg(F.count(F.lit(1)).alias("df")))
     raw = (df_.join(asp.select("aspect", "n_docs"), "aspect")
            .withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = raw.groupBy("aspect").agg(F.avg("raw_idf").alias("mean_idf"))
-    aspects = (asp.join(mean, "aspect", "left")
-               .withColumn("eps", F.lit(epsilon) * F.col("mean_idf")))
+    aspects = (asp.join(mean, "aspect", "left").withColumn("eps", F.lit(epsilon) * F.col("mean_idf")))
+    if materialize:
+        aspects = aspects.persist(StorageLevel.MEMORY_AND_DISK)
     terms = (raw.join(F.broadcast(aspects.select("aspect", "eps")), "aspect")
              .select("aspect", "term", "df",
                      F.when(F.col("raw_idf") < 0, F.col("eps")).otherwise(F.col("raw_idf")).alias("idf")))
-    return terms, aspects
+    return Bm25Index(post, docs, aspects, terms)
+
+
+def aspect_stats(chunks: DataFrame) -> DataFrame:
+    """aspect, n_docs, avgdl (empty chunks count as length 0)."""
+    return build_index(chunks, materialize=False).aspects.select("aspect", "n_docs", "avgdl")
+
+
+def term_stats(chunks: DataFrame, index: Bm25Index | None = None,
+               epsilon: float = BM25_EPSILON) -> tuple[DataFrame, DataFrame]:
+    """Return (terms: aspect, term, df, idf; aspects: aspect, n_docs, avgdl, mean_idf, eps)."""
+    index = index or build_index(chunks, epsilon, materialize=False)
+    return index.terms, index.aspects
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -84,37 +111,33 @@ def all_aspects(queries: DataFrame, aspects: list[str]) -> DataFrame:
     return queries.select("query_id", F.explode(F.array(*[F.lit(a) for a in aspects])).alias("aspect"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, query_aspects: DataFrame,
-                k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON,
-                post: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def bm25_scores(index: Bm25Index, queries: DataFrame, query_aspects: DataFrame,
+                k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Scores of the chunks that share a term with the query: query_id, aspect, doc_id, score."""
-    post = post if post is not None else postings(chunks)
-    terms, aspects = term_stats(chunks, post, epsilon)
-    qt = checked_broadcast(query_terms(queries))
-    qa = checked_broadcast(query_aspects.select("query_id", "aspect"))
-    qterm_set = F.broadcast(qt.select("term").distinct())
-    idf = F.broadcast(terms.join(qterm_set, "term", "left_semi").select("aspect", "term", "idf"))
-    hits = (post.join(qt, "term")
-            .join(qa, ["query_id", "aspect"], "left_semi")
-            .join(idf, ["aspect", "term"])
-            .join(F.broadcast(aspects.select("aspect", "avgdl")), "aspect"))
+    # one bounded table per batch: (query, asked aspect, term) with qtf, idf and avgdl
+    qt = query_terms(queries)
+    qa = query_aspects.select("query_id", "aspect")
+    wanted = (qt.join(qa, "query_id")
+              .join(index.terms.select("aspect", "term", "idf"), ["aspect", "term"])
+              .join(F.broadcast(index.aspects.select("aspect", "avgdl")), "aspect"))
+    # postings stream past the broadcast batch: no posting list is shuffled, however common the term
+    hits = index.postings.join(checked_broadcast(wanted), ["aspect", "term"])
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     contrib = (F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(k1 + 1.0)
                / (F.col("tf") + norm))
-    scores = hits.groupBy("query_id", "aspect", "doc_id").agg(F.sum(contrib).alias("score"))
-    return scores, aspects
+    return hits.groupBy("query_id", "aspect", "doc_id").agg(F.sum(contrib).alias("score"))
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, query_aspects: DataFrame,
               n: int = RETRIEVAL_TOP_N, k1: float = BM25_K1, b: float = BM25_B,
-              epsilon: float = BM25_EPSILON) -> DataFrame:
+              epsilon: float = BM25_EPSILON, index: Bm25Index | None = None) -> DataFrame:
     """Top-n per (query, aspect), zero-score chunks included: query_id, aspect, doc_id, score, rank."""
-    post = postings(chunks)
-    scores, aspects = bm25_scores(chunks, queries, query_aspects, k1, b, epsilon, post)
-    ids = chunks.select("aspect", "doc_id")
+    index = index or build_index(chunks, epsilon)
+    scores = bm25_scores(index, queries, query_aspects, k1, b)
+    ids = index.docs.select("aspect", "doc_id")
     first_n = (ids.withColumn("_rn", F.row_number().over(Window.partitionBy("aspect").orderBy("doc_id")))
                .where(F.col("_rn") <= n).drop("_rn"))
-    neg = F.broadcast(aspects.where(F.col("eps") < 0).select("aspect"))
+    neg = F.broadcast(index.aspects.where(F.col("eps") < 0).select("aspect"))
     pad = first_n.unionByName(ids.join(neg, "aspect", "left_semi")).distinct()
     qa = checked_broadcast(query_aspects.select("query_id", "aspect"))
     pad_q = qa.join(pad, "aspect")

@@ -24,7 +24,7 @@ def _r6(c: str) -> F.Column:
 
 
 def q_bm25_stats(spark, sf):
-    terms, aspects = lexical.term_stats(fx.chunks(spark, sf))
+    terms, aspects = lexical.term_stats(fx.chunks(spark, sf), lexical.build_index(fx.chunks(spark, sf)))
     return terms.join(F.broadcast(aspects.select("aspect", "n_docs", "avgdl")), "aspect").select(
         "aspect", "term", "df", _r6("idf"), "n_docs", _r6("avgdl"))
 

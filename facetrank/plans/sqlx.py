@@ -76,9 +76,11 @@ def score_col(f: str) -> str:
 def halls_wide(features: list[str], name: str = "hw") -> str:
     cols = []
     for i, f in enumerate(features):
-        present = f"((id + {i}) % 3) <> 0"
+        ph = f"CAST(('0x' || substr(md5('p:' || CAST(id AS VARCHAR) || ':{i}'), 1, 4)) AS INTEGER)"
+        present = f"({ph} % 3) <> 0"
         cols.append(f"CASE WHEN {present} THEN concat_ws(' ', name, lower(hall_type)) END AS {f}")
-        cols.append(f"CASE WHEN {present} THEN CAST(1 + ((size + {i}) % 5) AS INTEGER) END AS {score_col(f)}")
+        h = f"CAST(('0x' || substr(md5('q:' || CAST(id AS VARCHAR) || ':' || CAST(size AS VARCHAR) || ':{i}'), 1, 4)) AS INTEGER)"
+        cols.append(f"CASE WHEN {present} THEN CAST(1 + ({h} % 5) AS INTEGER) END AS {score_col(f)}")
     return f"{name} AS (SELECT *, {', '.join(cols)} FROM halls)"
 
 

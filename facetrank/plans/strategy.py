@@ -8,6 +8,7 @@ small side only (the query batch), never on the corpus.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +18,16 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Count the side once (persisted, so the join reuses it) and broadcast it if small."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 
 
-def within(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return len(df.limit(max_rows + 1).collect()) <= max_rows
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Persist a bounded intermediate result (a query batch's aspects, counts) used by several branches."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+

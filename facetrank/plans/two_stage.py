@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import FINAL_TOP_N, RETRIEVAL_TOP_N
 from ..operators import dense, fusion, gold, intent, lexical, metrics, rerank, rollup
 from ..sources import fixtures as fx
+from .strategy import materialize_small
 
 
 @dataclass
@@ -27,6 +28,14 @@ class Inputs:
     query_vectors: DataFrame
     venues: DataFrame
     aspect_order: list[str]
+    _index: lexical.Bm25Index | None = None
+
+    @property
+    def index(self) -> lexical.Bm25Index:
+        """BM25 postings and statistics, built once for the whole query batch."""
+        if self._index is None:
+            self._index = lexical.build_index(self.chunks)
+        return self._index
 
     @classmethod
     def from_sf(cls, spark: SparkSession, sf_dir: str) -> "Inputs":
@@ -36,15 +45,16 @@ class Inputs:
 
 
 def hybrid_candidates(inp: Inputs, query_aspects: DataFrame, n: int = RETRIEVAL_TOP_N) -> DataFrame:
-    sparse = lexical.bm25_topk(inp.chunks, inp.queries, query_aspects, n)
+    sparse = lexical.bm25_topk(inp.chunks, inp.queries, query_aspects, n, index=inp.index)
     dense_ = dense.dense_topk(inp.chunk_vectors, inp.query_vectors, query_aspects, n)
     return fusion.rrf(dense_, sparse, inp.chunks, n=n)
 
 
 def asked_aspects(inp: Inputs) -> tuple[DataFrame, DataFrame]:
-    scores = intent.vocabulary_scores(inp.chunks, inp.queries)
-    kept = intent.intent_aspects(scores, inp.aspect_order)
-    return kept, intent.aspect_counts(inp.queries, kept)
+    scores = intent.vocabulary_scores(inp.chunks, inp.queries, inp.index.postings)
+    # bounded by queries x aspects; read by the BM25, dense and roll-up branches
+    kept = materialize_small(intent.intent_aspects(scores, inp.aspect_order))
+    return kept, materialize_small(intent.aspect_counts(inp.queries, kept))
 
 
 @dataclass

@@ -31,7 +31,19 @@ HALL_FEATURES_13 = [feature for _, feature in TAG_MAP]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A table stored as one Parquet row group is read by a single task, and every
+    map-side step after it (tokenising whole texts, exploding postings) would run
+    on one core.  Column pruning and filters still reach the scan below the
+    repartition.  On a multi-file input this is a no-op.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # ----------------------------------------------------------------- retrieval
@@ -101,19 +113,24 @@ def halls_wide(spark: SparkSession, sf_dir: str, features: list[str] | None = No
     """Wide halls: id, name, location, hall_type, price, size, then per feature
     ``feat_x`` (text) and ``x_score`` (1..5).
 
-    Feature ``i`` of hall ``id`` is present unless ``(id + i) % 3 = 0`` (the
-    sparse form: absent features are null); its text is the hall name and type,
-    its quality ``1 + (size + i) % 5``.
+    Feature ``i`` of hall ``id`` is present unless ``p % 3 = 0`` (the sparse
+    form: absent features are null); its text is the hall name and type, its
+    quality ``1 + q % 5``.  ``p`` and ``q`` are the first four hex digits of
+    ``md5("p:id:i")`` and ``md5("q:id:size:i")``: presence and quality are
+    independent across features (md5 so that the SQL oracle can follow).
     """
     from ..operators.reshape import score_column
     features = features or HALL_FEATURES_13
     h = halls(spark, sf_dir)
     cols = []
     for i, f in enumerate(features):
-        present = F.pmod(F.col("id") + F.lit(i), F.lit(3)) != 0
+        ph = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("p"), F.col("id").cast("string"), F.lit(str(i)))),
+                                1, 4), 16, 10).cast("int")
+        present = F.pmod(ph, F.lit(3)) != 0
         cols.append(F.when(present, F.concat_ws(" ", "name", F.lower("hall_type"))).alias(f))
-        cols.append(F.when(present, F.lit(1) + F.pmod(F.col("size") + F.lit(i), F.lit(5)))
-                    .cast("int").alias(score_column(f)))
+        qh = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("q"), F.col("id").cast("string"), F.col("size").cast("string"),
+                                                    F.lit(str(i)))), 1, 4), 16, 10).cast("int")
+        cols.append(F.when(present, F.lit(1) + F.pmod(qh, F.lit(5))).cast("int").alias(score_column(f)))
     return h.select("*", *cols)
 
 
