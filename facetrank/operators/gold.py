@@ -6,9 +6,10 @@ loop.  Instead every passage with at least five tokens is keyed by its 2nd to
 passage, so any chunk containing the passage contains them as consecutive
 tokens.  Chunks emit all their token trigrams (a map-side explode over the
 whole text), an equi-join with the broadcast passage keys finds the
-candidates, and ``contains`` confirms them.  Passages shorter than five
-tokens cannot be keyed this way; those few (a checked, bounded set) are
-matched with a broadcast nested-loop ``contains``.
+candidates, and ``contains`` confirms them.  Passages of three or four tokens
+are keyed by their 2nd token alone (a unigram join).  Only passages under three
+tokens have no interior token; those few (a checked, bounded set) are matched
+with a broadcast ``contains`` test.
 """
 
 from __future__ import annotations
@@ -22,17 +23,13 @@ from .lexical import tokens
 MAX_SHORT_PASSAGES = 10_000
 
 
-def _trigram(arr: str, i: str) -> F.Column:
-    return F.concat_ws(" ", F.get(F.col(arr), F.col(i)), F.get(F.col(arr), F.col(i) + 1),
-                       F.get(F.col(arr), F.col(i) + 2))
-
-
 def substring_gold(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, hall_id: distinct venues with a chunk containing the query text."""
     q = queries.select("query_id", "query", tokens("query").alias("qt"))
     keyed = q.where(F.size("qt") >= 5).select(
         "query_id", "query", F.concat_ws(" ", F.get("qt", 1), F.get("qt", 2), F.get("qt", 3)).alias("key"))
-    short = q.where(F.size("qt") < 5).select("query_id", "query")
+    keyed1 = q.where((F.size("qt") >= 3) & (F.size("qt") < 5)).select("query_id", "query", F.get("qt", 1).alias("key"))
+    short = q.where(F.size("qt") < 3).select("query_id", "query")
 
     c = chunks.select("doc_id", F.col("venue_id").alias("hall_id"), "text", tokens("text").alias("tt"))
     grams = (c.where(F.size("tt") >= 3)
@@ -44,10 +41,14 @@ def substring_gold(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     hits = (grams.join(checked_broadcast(keyed), "key")
             .where(F.col("text").contains(F.col("query")))
             .select("query_id", "hall_id"))
+    if keyed1.limit(1).count() > 0:
+        unigrams = c.select("hall_id", "text", F.explode(F.array_distinct("tt")).alias("key"))
+        hits = hits.unionByName(unigrams.join(checked_broadcast(keyed1), "key")
+                                .where(F.col("text").contains(F.col("query"))).select("query_id", "hall_id"))
     if short.limit(1).count() == 0:
         return hits.distinct()
     if short.count() > MAX_SHORT_PASSAGES:
-        raise ValueError("too many passages under five tokens for the nested-loop path")
+        raise ValueError("too many passages under three tokens for the broadcast contains path")
     short_hits = (c.join(F.broadcast(short), F.col("text").contains(F.col("query")))
                   .select("query_id", "hall_id"))
     return hits.unionByName(short_hits).distinct()

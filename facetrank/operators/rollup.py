@@ -63,3 +63,12 @@ def final_report(rollup: DataFrame, venues: DataFrame, n: int = FINAL_TOP_N) ->
             .select("query_id", "rank", "hall_id",
                     F.coalesce("hall_name", F.lit("Unknown")).alias("hall_name"),
                     F.round("total_score", 4).alias("total_score")))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Report sink (rerank log, final ranking): CSV with a header, texts quoted.
+
+    Scores are already fixed to 4 places by the report builders.  ``path``
+    should be under the shared folder (``session.shared_path``)."""
+    from ..sources.files import write_csv
+    write_csv(report, path, header=True)

@@ -148,7 +148,13 @@ def _fixed_weights(users: DataFrame, weights: list[tuple[str, float]]) -> DataFr
 
 
 def ranked(df: DataFrame, score: str = "score", n: int | None = None) -> DataFrame:
-    return rank_within(df, ["user_id"], score, "id", n)
+    """Best first per user.  With n: the top n with a rank (a partial group limit
+    bounds every group).  Without n the whole filtered list is returned as a global
+    sort (range-partitioned, so a user holding a third of all halls is split
+    across tasks) instead of a per-user window over an unbounded group."""
+    if n is not None:
+        return rank_within(df, ["user_id"], score, "id", n)
+    return df.orderBy(F.col("user_id"), F.round(score, RANK_DIGITS).desc(), F.col("id"))
 
 
 # --------------------------------------------------------------- R1 .. R6 (filtered)

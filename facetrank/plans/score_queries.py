@@ -79,10 +79,10 @@ def _fs(weights_cte: str, per_user: bool, quality: bool, hf: str = "hf3", name:
 {name} AS (SELECT p.user_id, p.id, coalesce(x.score, 0.0) AS score FROM pairs p LEFT JOIN fsx x USING (user_id, id))"""
 
 
-def _rank(src: str, score: str = "score", extra: str = "", n: int | None = None) -> str:
-    where = f" WHERE rank <= {n}" if n else ""
-    return (f"SELECT * FROM (SELECT user_id, id{extra}, round({score}, 6) AS {score}, row_number() OVER "
-            f"(PARTITION BY user_id ORDER BY round({score}, 9) DESC, id) AS rank FROM {src}){where}")
+def _rank(src: str, score: str = "score", extra: str = "") -> str:
+    """The whole filtered list, best first per user (order is not part of the comparison)."""
+    return (f"SELECT user_id, id{extra}, round({score}, 6) AS {score} FROM {src} "
+            f"ORDER BY user_id, round({score}, 9) DESC, id")
 
 
 CLICKS = f"""strength3 AS (SELECT id AS hall_id, feature FROM hf3 WHERE score >= {fixed.STRENGTH_MIN_SCORE}),
@@ -164,7 +164,7 @@ SELECT {cols} FROM (SELECT user_id, id, matched, score, row_number() OVER (PARTI
 
 # ------------------------------------------------------------------ Spark callables
 def q_rec_weighted_sim(spark, sf):
-    return scoring.rec_weighted_sim(_hd(spark, sf)).select("user_id", "id", _r6("score"), "rank")
+    return scoring.rec_weighted_sim(_hd(spark, sf)).select("user_id", "id", _r6("score"))
 
 
 SQL_R1 = f"""{BASE}, {P5}, {_weights_values('w0', fixed.R1_WEIGHTS)}, {_fs('w0', False, False)}
@@ -172,7 +172,7 @@ SQL_R1 = f"""{BASE}, {P5}, {_weights_values('w0', fixed.R1_WEIGHTS)}, {_fs('w0',
 
 
 def q_rec_quality(spark, sf):
-    return scoring.rec_quality(_hd(spark, sf)).select("user_id", "id", "name", _r6("score"), "rank")
+    return scoring.rec_quality(_hd(spark, sf)).select("user_id", "id", "name", _r6("score"))
 
 
 SQL_R2 = f"""{BASE}, {P5}, {_weights_values('w0', fixed.R1_WEIGHTS)}, {_fs('w0', False, True)},
@@ -183,7 +183,7 @@ fs2 AS (SELECT fs.*, h.name FROM fs JOIN halls h USING (id))
 def q_rec_base_plus(spark, sf):
     hd = _hd(spark, sf)
     nested = reshape.nest(fx.halls_wide(spark, sf, F3), F3)
-    return scoring.rec_base_plus(hd, nested).select("user_id", "id", _r6("score"), "rank")
+    return scoring.rec_base_plus(hd, nested).select("user_id", "id", _r6("score"))
 
 
 SQL_R3 = f"""{BASE}, pairs AS (SELECT u.user_id, h.id FROM halls h JOIN users u ON h.location = u.location),
@@ -195,7 +195,7 @@ s AS (SELECT fs.user_id, fs.id, b.base + fs.score AS score FROM fs JOIN b USING
 
 
 def q_rec_match_rate(spark, sf):
-    return scoring.rec_match_rate(_hd(spark, sf)).select("user_id", "id", _r6("match_rate"), "rank")
+    return scoring.rec_match_rate(_hd(spark, sf)).select("user_id", "id", _r6("match_rate"))
 
 
 _TOTAL = sum(w for _, w in fixed.R1_WEIGHTS)
@@ -206,7 +206,7 @@ s AS (SELECT user_id, id, score / {_TOTAL}::DOUBLE * 100.0::DOUBLE AS match_rate
 
 def q_rec_profile(spark, sf):
     hd = _hd(spark, sf)
-    return scoring.rec_profile(hd, full_click_counts(hd)).select("user_id", "id", _r6("score"), "rank")
+    return scoring.rec_profile(hd, full_click_counts(hd)).select("user_id", "id", _r6("score"))
 
 
 SQL_R5 = f"""{BASE}, {P6}, {CLICKS}, {_fs('dw', True, True)}
@@ -215,7 +215,7 @@ SQL_R5 = f"""{BASE}, {P6}, {CLICKS}, {_fs('dw', True, True)}
 
 def q_rec_tags_clicks(spark, sf):
     hd = _hd(spark, sf)
-    return scoring.rec_tags_clicks(hd, full_click_counts(hd)).select("user_id", "id", _r6("score"), "rank")
+    return scoring.rec_tags_clicks(hd, full_click_counts(hd)).select("user_id", "id", _r6("score"))
 
 
 SQL_R6 = f"""{BASE}, {P6}, {CLICKS}, {_kw_weights()},
@@ -262,7 +262,7 @@ SQL_R10 = _md_sql(10, "integrated", "pts2", fixed.BEHAVIOUR_BONUS_R9,
 
 
 def q_rec_half_half(spark, sf):
-    return scoring.rec_half_half(_hd(spark, sf)).select("user_id", "id", _r6("final_score"), "rank")
+    return scoring.rec_half_half(_hd(spark, sf)).select("user_id", "id", _r6("final_score"))
 
 
 SQL_R11 = f"""{BASE}, {P6},
@@ -281,7 +281,7 @@ s AS (SELECT s.user_id, s.id, {fixed.HALF_SHARE}::DOUBLE * s.similarity + {fixed
 
 def q_tag_vector_rank(spark, sf):
     hd = _hd(spark, sf)
-    return scoring.rec_tag_vector(hd, preferred_types(spark, sf)).select("user_id", "id", "score", "match_reason", "rank")
+    return scoring.rec_tag_vector(hd, preferred_types(spark, sf)).select("user_id", "id", "score", "match_reason")
 
 
 SQL_R12 = f"""{BASE}, {TM}, {TPOS}, {SQL_PREF_TYPES},
@@ -485,8 +485,8 @@ FROM documents d LEFT JOIN labels l USING (doc_id)"""
 
 def q_top_plus_random(spark, sf, top: int = 10, seed: int = fixed.RANDOM_SEED):
     s = _scores(spark, sf).withColumn("final_score", F.col("score") * sentiment.item_weight(F.col("item")))
-    ranked = rank_within(s, ["model"], "final_score", "doc_id", None, "pos")
-    top_rows = ranked.where(F.col("pos") <= top).withColumn("part", F.lit("top"))
+    # three models hold a third of the rows each: the limit sits in the window (partial group limit)
+    top_rows = rank_within(s, ["model"], "final_score", "doc_id", top, "pos").withColumn("part", F.lit("top"))
     rest = s.join(top_rows.select("model", "doc_id"), ["model", "doc_id"], "left_anti")
     key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))))
     w = F.row_number().over(Window.partitionBy("model").orderBy(key, "doc_id"))

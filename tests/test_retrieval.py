@@ -124,3 +124,24 @@ def test_metrics_hand_example(spark):
     assert rec[0] == pytest.approx(2 / 3) and rec[1] == 0.0
     for r in m.values():
         assert 0 <= r["ndcg"] <= 1 and 0 <= r["mrr"] <= 1 and not math.isnan(r["ndcg"])
+
+
+def test_gold_short_passages(spark):
+    from facetrank.operators.gold import substring_gold
+    ch = spark.createDataFrame([(0, 1, "v1", "x", "one two three four five six"), (1, 2, "v2", "x", "xx abcd yy"),
+                                (2, 3, "v3", "x", "alpha beta gamma")], SCHEMA)
+    q = spark.createDataFrame([(0, "two three four five"), (1, "bc"), (2, "beta gamma"), (3, "one two three four five"),
+                               (4, "zz")], "query_id long, query string")
+    got = sorted((r["query_id"], r["hall_id"]) for r in substring_gold(ch, q).collect())
+    assert got == [(0, 1), (1, 2), (2, 3), (3, 1)]
+
+
+def test_report_sink_roundtrip(spark):
+    from facetrank.operators.rollup import write_report
+    from facetrank.session import shared_path
+    name = '홀, "A"' + "\n" + "B"
+    df = spark.createDataFrame([(1, 7, name, 1.6128)], "rank int, hall_id long, hall_name string, total_score double")
+    path = shared_path(spark, "report-test")
+    write_report(df, path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).collect()
+    assert back[0]["hall_name"] == name and back[0]["total_score"] == "1.6128"
