@@ -36,7 +36,10 @@ def strengths(hall_features: DataFrame, min_score: int = fixed.STRENGTH_MIN_SCOR
 
 
 def per_hall_points(actions: DataFrame, rules=fixed.ACTION_POINTS_V1) -> DataFrame:
-    pts = actions.select("user_id", "hall_id", action_points(F.col("action"), F.col("stay_time"), rules).alias("p"))
+    """An action row may carry explicit ``points`` (a manual bump of the counters); else the rules apply."""
+    rule = action_points(F.col("action"), F.col("stay_time"), rules)
+    p = F.coalesce(F.col("points"), rule) if "points" in actions.columns else rule
+    pts = actions.select("user_id", "hall_id", p.alias("p"))
     return (pts.where(F.col("p") != 0).groupBy("user_id", "hall_id").agg(F.sum("p").alias("p")))
 
 

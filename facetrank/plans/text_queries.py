@@ -82,7 +82,9 @@ SQL_CSV = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 def _chunk_vector_table(spark, sf) -> DataFrame:
     c = fx.chunks(spark, sf)
     e = fx.embedding_lookup(spark, sf).withColumnRenamed("vec_id", "doc_id")
-    return c.join(e, "doc_id").select("doc_id", "venue_id", "hall_name",
+    # index row id "{venue}_{aspect}_{row}" over a stable key (the chunk id), not a generated index
+    key = F.concat_ws("_", F.col("venue_id").cast("string"), "aspect", F.col("doc_id").cast("string"))
+    return c.join(e, "doc_id").select("doc_id", key.alias("chunk_key"), "venue_id", "hall_name",
                                       F.col("text").alias("text_chunk"), "vector", "aspect")
 
 
@@ -92,7 +94,8 @@ def q_vector_table_roundtrip(spark, sf):
     return files.read_vectors(spark, path)
 
 
-SQL_VEC_RT = """SELECT d.doc_id, CAST(regexp_extract(d.source, '(\\d+)$', 1) AS BIGINT) AS venue_id, d.source AS hall_name,
+SQL_VEC_RT = """SELECT d.doc_id, CAST(CAST(regexp_extract(d.source, '(\\d+)$', 1) AS BIGINT) AS VARCHAR) || '_' || d.lang || '_' || CAST(d.doc_id AS VARCHAR) AS chunk_key,
+       CAST(regexp_extract(d.source, '(\\d+)$', 1) AS BIGINT) AS venue_id, d.source AS hall_name,
        coalesce(d.text, '') AS text_chunk, e.embedding AS vector, d.lang AS aspect
 FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"""
 

@@ -39,6 +39,7 @@ ARTICLE_SCHEMA = T.StructType([
 
 VECTOR_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
+    T.StructField("chunk_key", T.StringType()),
     T.StructField("venue_id", T.LongType()),
     T.StructField("hall_name", T.StringType()),
     T.StructField("text_chunk", T.StringType()),

@@ -154,3 +154,10 @@ def test_streaming_profile_equals_batch(spark):
     batch = {(r["user_id"], r["feature"]): round(r["points"], 6)
              for r in profile.profile_points(fx.actions(spark, sf), hf).collect()}
     assert streamed == batch and len(batch) > 0
+
+
+def test_manual_bump_points(spark):
+    hd = _hall_data(spark, TAGS, [])
+    acts = spark.createDataFrame([(1, 8, "bump", 0.0, 3.0)], "user_id long, hall_id long, action string, stay_time double, points double")
+    got = _points(profile.profile_points(acts, hd.hf13))
+    assert got == {"feat_hall_ceiling": 3.0, "feat_parking_space": 3.0, "feat_food_quality": 3.0}
