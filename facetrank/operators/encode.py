@@ -70,7 +70,8 @@ def mean_pool(tokens: DataFrame, group: str, vector: str = "vector", mask: str |
     x = tokens.select(group, m.alias("_m"), F.posexplode(vector).alias("pos", "x"))
     agg = x.groupBy(group, "pos").agg(F.sum(F.col("x").cast("double") * F.col("_m")).alias("s"),
                                       F.sum("_m").alias("n"))
-    return agg.select(group, "pos", (F.col("s") / F.greatest(F.col("n"), F.lit(MASK_FLOOR))).alias("value"))
+    return agg.select(group, F.col("pos").cast("long").alias("pos"),
+                      (F.col("s") / F.greatest(F.col("n"), F.lit(MASK_FLOOR))).alias("value"))
 
 
 def as_array(long: DataFrame, group: str) -> DataFrame:

@@ -150,5 +150,7 @@ def rank_within(df: DataFrame, keys: list[str], score: str, tie: str, n: int | N
                 rank_col: str = "rank") -> DataFrame:
     """1-based rank by score (rounded to RANK_DIGITS) descending, ties by id ascending."""
     w = Window.partitionBy(*keys).orderBy(F.round(score, RANK_DIGITS).desc(), F.col(tie).asc())
-    out = df.withColumn(rank_col, F.row_number().over(w))
-    return out.where(F.col(rank_col) <= n) if n is not None else out
+    out = df.withColumn("_rn", F.row_number().over(w))
+    if n is not None:
+        out = out.where(F.col("_rn") <= n)  # filter on the window output: planned as a partial group limit
+    return out.withColumn(rank_col, F.col("_rn").cast("long")).drop("_rn")

@@ -67,7 +67,7 @@ def tag_scores(users: DataFrame, spark: SparkSession) -> DataFrame:
     Tags unknown to the tag map are dropped but keep their position."""
     tp = users.select("user_id", F.posexplode("selected_tags").alias("pos", "tag"))
     return (tp.join(F.broadcast(tag_map(spark)), "tag")
-            .select("user_id", "pos", "tag", "feature", "tag_index",
+            .select("user_id", F.col("pos").cast("long").alias("pos"), "tag", "feature", "tag_index",
                     position_weight(F.col("pos")).alias("weight"),
                     (F.lit(1.0) / (F.col("pos") + 1)).alias("inv_weight")))
 
@@ -258,7 +258,8 @@ def matched_then_discovery(hd: HallData, uw: DataFrame, terms: DataFrame, n: int
     disc = disc.withColumn("matched", F.lit(False))
     both = matched.select("user_id", "id", "matched", "score").unionByName(disc.select("user_id", "id", "matched", "score"))
     w = Window.partitionBy("user_id").orderBy(F.col("matched").desc(), F.round("score", RANK_DIGITS).desc(), F.col("id"))
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return (both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+            .withColumn("rank", F.col("_rn").cast("long")).drop("_rn"))
 
 
 def rec_ordered_tags(hd: HallData, n: int = 10) -> DataFrame:
@@ -294,7 +295,7 @@ def rec_behaviour(hd: HallData, points: DataFrame, n: int = 10, nan_policy: str
     w = Window.partitionBy("user_id").orderBy("id")
     fill = (incomplete.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n - F.col("k"))
             .select("user_id", "id", F.lit(None).cast("double").alias("score"),
-                    (F.col("k") + F.col("_r")).cast("int").alias("rank")))
+                    (F.col("k") + F.col("_r")).cast("long").alias("rank")))
     return complete.select("user_id", "id", "score", "rank").unionByName(fill)
 
 

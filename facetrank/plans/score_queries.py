@@ -419,8 +419,9 @@ def q_score_pivot(spark, sf):
 
 
 SQL_PIVOT = f"""{SENT}
-SELECT item, {', '.join(f"count_if(model = '{m}' AND score = 2) AS {m}_pos, count_if(model = '{m}' AND score = 0) AS {m}_neu, "
-                        f"count_if(model = '{m}' AND score = -1) AS {m}_neg" for m in sentiment.MODELS)}
+SELECT item, {', '.join(f"CAST(count_if(model = '{m}' AND score = 2) AS BIGINT) AS {m}_pos, "
+                        f"CAST(count_if(model = '{m}' AND score = 0) AS BIGINT) AS {m}_neu, "
+                        f"CAST(count_if(model = '{m}' AND score = -1) AS BIGINT) AS {m}_neg" for m in sentiment.MODELS)}
 FROM ss GROUP BY item"""
 
 
@@ -490,7 +491,8 @@ def q_top_plus_random(spark, sf, top: int = 10, seed: int = fixed.RANDOM_SEED):
     rest = s.join(top_rows.select("model", "doc_id"), ["model", "doc_id"], "left_anti")
     key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))))
     w = F.row_number().over(Window.partitionBy("model").orderBy(key, "doc_id"))
-    rnd = rest.withColumn("pos", w).where(F.col("pos") <= top).withColumn("part", F.lit("random"))
+    rnd = (rest.withColumn("_rn", w).where(F.col("_rn") <= top)
+           .withColumn("pos", F.col("_rn").cast("long")).withColumn("part", F.lit("random")))
     cols = ["model", "doc_id", F.round("final_score", 6).alias("final_score"), "part", "pos"]
     return top_rows.select(*cols).unionByName(rnd.select(*cols))
 

@@ -177,7 +177,8 @@ def q_missing_sections(spark, sf):
     m = tx.missing_items(t, fixed.REQUIRED_SECTIONS)
     return (c.select("conv_id", "turn", m.alias("m"))
             .where(F.size("m") > 0)
-            .select("conv_id", "turn", F.array_join("m", " | ").alias("missing"), F.size("m").alias("n_missing")))
+            .select("conv_id", "turn", F.array_join("m", " | ").alias("missing"),
+                    F.size("m").cast("long").alias("n_missing")))
 
 
 def _sql_form() -> str:

@@ -52,5 +52,6 @@ def absolute_links(pages: DataFrame, base: str = fixed.LINK_BASE) -> DataFrame:
     """page_id, pos, href, url: every href, prefixed with ``base`` unless it holds 'https'."""
     hrefs = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(r'href="([^"]*)"'), 1)
     return (pages.select("page_id", F.posexplode(hrefs).alias("pos", "href"))
+            .withColumn("pos", F.col("pos").cast("long"))
             .withColumn("url", F.when(F.contains(F.col("href"), F.lit("https")), F.col("href"))
                         .otherwise(F.concat(F.lit(base), F.col("href")))))
