@@ -394,8 +394,7 @@ def q_word_freq(spark, sf, top: int = 30):
     d = fx.table(spark, sf, "documents")
     w = d.select(F.explode(tx.words(F.coalesce(F.col("text"), F.lit("nan")), WORD_PATTERN)).alias("word"))
     c = w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    from ..operators.lexical import rank_within
-    return rank_within(c.withColumn("_all", F.lit(0)), ["_all"], "n", "word", top).drop("_all")
+    return _global_top(c, "n", "word", top)
 
 
 SQL_WORD_FREQ = f"""WITH w AS (SELECT unnest(regexp_extract_all(coalesce(text, 'nan'), {lit(WORD_PATTERN)})) AS word FROM documents),
@@ -408,8 +407,14 @@ def q_word_doc_freq(spark, sf, top: int = 20):
     stop = F.array(*[F.lit(s) for s in fixed.STOPWORDS])
     w = d.select(F.explode(F.array_except(F.array_distinct(tx.words("text", WORD_PATTERN)), stop)).alias("word"))
     c = w.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
-    from ..operators.lexical import rank_within
-    return rank_within(c.withColumn("_all", F.lit(0)), ["_all"], "n_docs", "word", top).drop("_all")
+    return _global_top(c, "n_docs", "word", top)
+
+
+def _global_top(df: DataFrame, score: str, tie: str, top: int) -> DataFrame:
+    """Global top-k (TakeOrderedAndProject: each task keeps k rows), then a rank over the k kept rows."""
+    from pyspark.sql import Window
+    kept = df.orderBy(F.col(score).desc(), F.col(tie)).limit(top)
+    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(tie))).cast("long"))
 
 
 SQL_WORD_DOC_FREQ = f"""WITH w AS (SELECT unnest(list_distinct(regexp_extract_all(text, {lit(WORD_PATTERN)}))) AS word
