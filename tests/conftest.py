@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
-    from facetrank.session import DEFAULTS, ensure_checkpoint_dir
+    from facetrank.session import DEFAULTS, ensure_checkpoint_dir, ship_package
 
     b = SparkSession.builder.master("local[4]").appName("facetrank-tests")
     for k, v in DEFAULTS.items():
@@ -22,6 +22,7 @@ def spark():
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
     s.stop()
 
