@@ -145,3 +145,26 @@ def test_report_sink_roundtrip(spark):
     write_report(df, path)
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).collect()
     assert back[0]["hall_name"] == name and back[0]["total_score"] == "1.6128"
+
+
+def test_two_stage_no_intent_and_no_candidates(spark):
+    from facetrank.plans import two_stage as ts
+    chunks = spark.createDataFrame([(0, 1, "v1", "x", "red wine cellar"), (1, 2, "v2", "x", "red garden hall"),
+                                    (2, 2, "v2", "y", "quiet parking lot")], SCHEMA)
+    cv = spark.createDataFrame([(0, "x", [1.0, 0.0]), (1, "x", [0.0, 1.0]), (2, "y", [1.0, 1.0])],
+                               "doc_id long, aspect string, vector array<float>")
+    q = spark.createDataFrame([(0, "red garden hall"), (1, "zzz qqq")], "query_id long, query string")
+    qv = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 0.0])], "query_id long, vector array<float>")
+    venues = spark.createDataFrame([(1, "v1"), (2, "v2")], "venue_id long, hall_name string")
+    inp = ts.Inputs(chunks, cv, q, qv, venues, ["x", "y"])
+    r = ts.run(inp)
+    counts = {row["query_id"]: row["n_aspects"] for row in r.counts.collect()}
+    assert counts == {0: 1, 1: 1}  # query 1 asks for no aspect: N = 1 but no candidates
+    assert {row["query_id"] for row in r.candidates.collect()} == {0}
+    top = r.top.where("query_id = 0").orderBy("rank").collect()
+    assert top[0]["hall_id"] == 2 and top[0]["total_score"] == pytest.approx(2.0)
+    assert r.top.where("query_id = 1").count() == 0
+    rec, met = ts.evaluate(inp, r)
+    m = {row["query_id"]: row for row in met.collect()}
+    assert m[0]["n_gold"] == 1 and m[0]["mrr"] == 1.0 and m[0]["ndcg"] == 1.0
+    assert (m[1]["n_gold"], m[1]["mrr"], m[1]["hit_rate"]) == (0, 0.0, 0.0)
