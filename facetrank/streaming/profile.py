@@ -66,6 +66,13 @@ def start_profile_stream(spark: SparkSession, events_path: str, hall_features: D
     return w.start()
 
 
+def start_click_stream(spark: SparkSession, events_path: str, hall_features_3: DataFrame, sink: str,
+                       checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """Click counts (+1 per click for each strength of the clicked hall): the same plan with one rule."""
+    return start_profile_stream(spark, events_path, hall_features_3, sink, fixed.ACTION_POINTS_CLICKS,
+                                checkpoint, available_now)
+
+
 def read_profile(spark: SparkSession, sink: str) -> DataFrame:
     """user_id, feature, points: the latest total per key."""
     log = spark.read.schema("user_id long, feature string, points double, batch long").parquet(sink)

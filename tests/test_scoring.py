@@ -161,3 +161,17 @@ def test_manual_bump_points(spark):
     acts = spark.createDataFrame([(1, 8, "bump", 0.0, 3.0)], "user_id long, hall_id long, action string, stay_time double, points double")
     got = _points(profile.profile_points(acts, hd.hf13))
     assert got == {"feat_hall_ceiling": 3.0, "feat_parking_space": 3.0, "feat_food_quality": 3.0}
+
+
+def test_streaming_click_counts_equal_batch(spark):
+    from facetrank.sources import fixtures as fx
+    sf = "/root/testdata/sf0.001"
+    src = tempfile.mkdtemp(prefix="facetrank-events-")
+    shutil.copy(f"{sf}/events.parquet", os.path.join(src, "part-0.parquet"))
+    hf3 = fx.hall_features(spark, sf, fx.HALL_FEATURES_3)
+    sink = tempfile.mkdtemp(prefix="facetrank-clicks-")
+    q = sprofile.start_click_stream(spark, src, hf3, sink, checkpoint=tempfile.mkdtemp(prefix="facetrank-cckpt-"))
+    q.awaitTermination(300)
+    streamed = {(r["user_id"], r["feature"]): r["points"] for r in sprofile.read_profile(spark, sink).collect()}
+    batch = {(r["user_id"], r["feature"]): r["v"] for r in profile.click_counts(fx.actions(spark, sf), hf3).collect()}
+    assert streamed == batch and len(batch) > 0
