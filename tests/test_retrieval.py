@@ -168,3 +168,43 @@ def test_two_stage_no_intent_and_no_candidates(spark):
     m = {row["query_id"]: row for row in met.collect()}
     assert m[0]["n_gold"] == 1 and m[0]["mrr"] == 1.0 and m[0]["ndcg"] == 1.0
     assert (m[1]["n_gold"], m[1]["mrr"], m[1]["hit_rate"]) == (0, 0.0, 0.0)
+
+
+def test_lsh_returns_exact_cosines_in_rank_order(spark):
+    import math
+    import random
+
+    import numpy as np
+
+    from facetrank.operators.dense import dense_topk_lsh
+    rnd = random.Random(7)
+    docs = [(i, "ab"[i % 2], [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(40)]
+    qs = [(q, [rnd.uniform(-1, 1) for _ in range(8)]) for q in range(3)]
+    corpus = spark.createDataFrame(docs, "doc_id long, aspect string, vector array<float>")
+    qv = spark.createDataFrame(qs, "query_id long, vector array<float>")
+    rows = dense_topk_lsh(corpus, qv, n=5, bucket_length=2.0, num_tables=3).collect()
+    assert rows
+    vec = {i: v for i, _, v in docs}
+    qvec = dict(qs)
+
+    def cos(a, b):
+        a = np.asarray(a, dtype=np.float32).astype(np.float64)  # stored as float, widened to double
+        b = np.asarray(b, dtype=np.float32).astype(np.float64)
+        return float(a @ b / math.sqrt((a @ a) * (b @ b)))
+    by_group = {}
+    for r in rows:
+        assert r["sim"] == pytest.approx(cos(qvec[r["query_id"]], vec[r["doc_id"]]), abs=1e-6)
+        by_group.setdefault((r["query_id"], r["aspect"]), []).append((r["rank"], r["sim"]))
+    for g in by_group.values():
+        sims = [s for _, s in sorted(g)]
+        assert sims == sorted(sims, reverse=True) and len(g) <= 5
+
+
+def test_checkpointed_index_equals_persisted(spark):
+    ch = spark.createDataFrame(CHUNKS, SCHEMA)
+    q = spark.createDataFrame([(0, "a e"), (1, "g c a")], "query_id long, query string")
+    qa = lexical.all_aspects(q, ["x"])
+    a = lexical.bm25_topk(ch, q, qa, index=lexical.build_index(ch, materialize="checkpoint"))
+    b = lexical.bm25_topk(ch, q, qa, index=lexical.build_index(ch, materialize="persist"))
+    key = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 9), r["rank"]) for r in df.collect())
+    assert key(a) == key(b) and len(key(a)) == 10
