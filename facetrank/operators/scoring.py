@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -250,7 +251,9 @@ def _score_pairs(pairs: DataFrame, uw: DataFrame, terms: DataFrame) -> DataFrame
 
 def matched_then_discovery(hd: HallData, uw: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     """Matched halls (hard filter) first, then the best of the rest: user_id, id, matched, score, rank."""
-    pairs = hard_filter(hd.users, hd.halls)
+    # both halves read the hard-filter pairs and the term table: materialise each once
+    pairs = hard_filter(hd.users, hd.halls).persist(StorageLevel.MEMORY_AND_DISK)
+    terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
     matched = ranked(_score_pairs(pairs, uw, terms), n=n).withColumn("matched", F.lit(True))
     # users without tags still get matched rows and a discovery fill of zero scores
     all_uw = hd.users.select("user_id").join(uw, "user_id", "left")
