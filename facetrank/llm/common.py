@@ -52,27 +52,42 @@ def words_of(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE_CLASS + "+", -1))
 
 
-def prefix_sums(arr: Column, block: int = 512) -> Column:
-    """Exclusive prefix sums of an array of longs, as an expression.
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it.
 
-    Folding with ``concat`` copies the result at every step, so the array is cut into blocks:
-    running sums inside a block, then running sums over the block totals.
+    A filter that the optimizer moves below a projection carries whole expressions with it; names
+    bound this way are not copied into each use.
     """
+    return F.transform(F.array(value), body)[0]
+
+
+def prefix_fold(arr: Column, op, block: int = 512) -> Column:
+    """Exclusive prefix sums (or maxima) of an array of longs from 0, as an expression.
+
+    ``op`` is associative.  Folding with ``concat`` copies the result at every step, so the array is
+    cut into blocks: running values inside a block, then running values over the block totals.
+    """
+    zero = F.lit(0).cast("long")
+
     def running(a: Column) -> Column:
         return F.aggregate(
-            a,
-            F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out")),
-            lambda acc, x: F.struct((acc["sum"] + x).alias("sum"),
-                                    F.concat(acc["out"], F.array(acc["sum"])).alias("out")),
+            a, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")),
+            lambda acc, x: F.struct(op(acc["at"], x).alias("at"),
+                                    F.concat(acc["out"], F.array(acc["at"])).alias("out")),
             lambda acc: acc["out"])
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
-
     n = F.size(arr)
     starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(block))).otherwise(
         F.array().cast("array<int>"))
     blocks = F.transform(starts, lambda s: F.slice(arr, s, block))
     return F.when(n <= block, running(arr)).otherwise(F.flatten(F.zip_with(
-        running(F.transform(blocks, total)), F.transform(blocks, running),
-        lambda before, inner: F.transform(inner, lambda v: before + v))))
+        running(F.transform(blocks, lambda b: F.aggregate(b, zero, op))), F.transform(blocks, running),
+        lambda before, inner: F.transform(inner, lambda v: op(before, v)))))
+
+
+def prefix_sums(arr: Column) -> Column:
+    return prefix_fold(arr, lambda a, b: a + b)
+
+
+def prefix_max(arr: Column) -> Column:
+    return prefix_fold(arr, lambda a, b: F.greatest(a, b))

@@ -74,21 +74,24 @@ def schedule(spark: SparkSession, slots_of: dict[int, int], period: int = PERIOD
         F.ceil((F.col("k") + 1) * period / own).alias("deadline"), own.alias("n"))
 
 
-def totals(rows: DataFrame) -> list[tuple]:
-    """(source, bytes) of the largest sources, and one total of the others: at most QUEUES rows."""
+def totals(rows: DataFrame, targets: dict | None) -> list[tuple]:
+    """(source, bytes) of the largest (targeted) sources, and one total of the others: at most QUEUES rows."""
     t = rows.groupBy("_source").agg(F.sum("_size").alias("bytes"))
+    if targets is not None:
+        named = F.col("_source").isin([x for x in targets if x is not None])
+        t = t.filter(F.coalesce(named, F.lit(None in targets)))
     rank = t.orderBy(F.col("bytes").desc(), F.col("_source").asc_nulls_first()).limit(QUEUES - 1)
     top = [(r["_source"], r["bytes"]) for r in rank.collect()]
-    if len(top) < QUEUES - 1:
+    if targets is None and len(top) < QUEUES - 1:
         return [(s, b, False) for s, b in top]
-    rest = rows.agg(F.sum("_size")).first()[0] - sum(b for _, b in top)
+    rest = (rows.agg(F.sum("_size")).first()[0] or 0) - sum(b for _, b in top)
     return [(s, b, False) for s, b in top] + ([(None, rest, True)] if rest else [])
 
 
 def mix(docs: DataFrame, targets: dict[str | None, int] | None = None, period: int = PERIOD,
         block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` with size, queue, block, slot, release, deadline and offset.
+        source_col: str = "source", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of ``docs`` (their columns ``keep``, or all) with size, queue, block, slot, release, deadline and offset.
 
     ``targets`` gives whole-number weights; by default a source weighs the square root of its bytes
     (temperature 1/2).  Sources without a weight of their own share one queue, with the weight of
@@ -97,18 +100,14 @@ def mix(docs: DataFrame, targets: dict[str | None, int] | None = None, period: i
     spark = docs.sparkSession
     ready(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [c for c in docs.columns if c not in RESULT]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
         F.col(source_col).alias("_source"), (F.octet_length(text) + 1).cast("long").alias("_size"),
         F.col(id_col).alias("_id"), F.crc32(text.cast("binary")).alias("_crc"),
         F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10)
         .cast("long").alias("_h"))
-    found = totals(rows.select("_source", "_size"))
-    if targets is not None:
-        own = [(s, b, False) for s, b, rest in found if not rest and s in targets]
-        rest = sum(b for s, b, r in found if r or s not in targets)
-        found = own + ([(None, rest, True)] if rest else [])
+    found = totals(rows.select("_source", "_size"), targets)
     # queues are numbered by name; a null source first, the shared queue last
     found.sort(key=lambda x: (x[2], x[0] is not None, str(x[0])))
     weights = {i: (targets[s] if targets is not None and not r else max(1, math.isqrt(b)))
