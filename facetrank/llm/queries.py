@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import (langid, mixing, neardup, neighbours, packing, quality, scoring, secrets, sharding,
+               substrings)
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_pack": packing.op2_pack,
+    "op3_neardup": neardup.op3_neardup,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_quality": quality.op5_quality,
+    "op6_substrings": substrings.op6_substrings,
+    "op7_langid": langid.op7_langid,
+    "op8_nearest": neighbours.op8_nearest,
+    "op9_score": scoring.op9_score,
     "op10_shards": sharding.op10_shards,
 }
 
