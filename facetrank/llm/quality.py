@@ -153,9 +153,9 @@ def cutoffs(rows: DataFrame, labels: DataFrame, stratum: str = "lang", risk: flo
     tests = F.array(*[F.struct(F.lit(name).alias("measure"), F.lit(i).alias("strict"), F.lit(float(c)).alias("cutoff"),
                                F.col(f"`{name}:{i}`").alias("k"))
                       for name, (_, grid) in GRID.items() for i, c in enumerate(grid)])
-    strata = per.agg(F.count(F.lit(1)).alias("_strata"))
-    per = per.select("_stratum", "n", F.explode(tests).alias("t")).crossJoin(F.broadcast(strata))  # one row
-    sure = binomial_tail(F.col("n"), F.col("t.k"), share) <= delta / (len(GRID) * F.col("_strata"))
+    strata = per.agg(F.count(F.lit(1))).scalar()
+    per = per.select("_stratum", "n", F.explode(tests).alias("t"))
+    sure = binomial_tail(F.col("n"), F.col("t.k"), share) <= delta / (len(GRID) * strata)
     failed = F.min(F.when(~F.col("_sure"), F.col("t.strict"))).over(Window.partitionBy("_stratum", "t.measure"))
     return (per.withColumn("_sure", sure).withColumn("_failed", failed)
             .filter(F.col("_failed").isNull() | (F.col("t.strict") < F.col("_failed")))
