@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.strategy import checked_broadcast
 from .lexical import rank_within, tokens
 
 PairScorer = Callable[[pd.Series, pd.Series], pd.Series]
@@ -40,8 +39,7 @@ def pandas_scorer(scorer: PairScorer):
 
 def rerank(candidates: DataFrame, queries: DataFrame, scorer: PairScorer | None = None) -> DataFrame:
     """Adds cross_score and rerank_pos (1-based per query, score desc, doc_id)."""
-    q = checked_broadcast(queries.select("query_id", "query"))
-    pairs = candidates.join(q, "query_id")
+    pairs = candidates.join(queries.select("query_id", "query"), "query_id")
     if scorer is None:
         scored = pairs.withColumn("cross_score", coverage("query", "text"))
     else:
@@ -54,9 +52,8 @@ def snippet(text: Column | str, length: int = 50) -> Column:
     return F.substring(F.replace(c, F.lit("\n"), F.lit(" ")), 1, length)
 
 
-def rerank_report(reranked: DataFrame, snippet_len: int = 50) -> DataFrame:
-    """Rerank log: query_id, rerank_pos, hall_id, hall_name, aspect, cross_score (%.4f), snippet."""
+def rerank_report(reranked: DataFrame) -> DataFrame:
+    """Rerank log: query_id, rerank_pos, hall_id, hall_name, aspect, cross_score (%.4f), and the whole text."""
     return reranked.select(
         "query_id", "rerank_pos", "hall_id", "hall_name", "aspect",
-        F.format_string("%.4f", F.round("cross_score", 4)).alias("cross_score"),
-        snippet("text", snippet_len).alias("snippet"))
+        F.format_string("%.4f", F.round("cross_score", 4)).alias("cross_score"), "text")

@@ -165,7 +165,7 @@ SELECT query_id, aspect, doc_id, hall_id, d_rank, s_rank, round(rrf_score, 8) AS
 SELECT query_id, aspect, doc_id, hall_id, {r6('cross_score')} AS cross_score, rerank_pos FROM rr""",
         "rerank_report": f"""{PIPE}
 SELECT query_id, rerank_pos, hall_id, hall_name, aspect, printf('%.4f', round(cross_score, 4)) AS cross_score,
-       substring(replace(text, chr(10), ' '), 1, 50) AS snippet FROM rr""",
+       text FROM rr""",
         "soft_weight_rollup": f"""{PIPE}
 SELECT query_id, hall_id, {r6('base_score')} AS base_score, n_found, {r6('total_score')} AS total_score FROM soft""",
         "step_weight_rollup": f"""{PIPE}
