@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import RETRIEVAL_TOP_N, RRF_K, RRF_MISSING_RANK
-from ..plans.strategy import checked_broadcast
 from .lexical import rank_within
 
 KEYS = ["query_id", "aspect", "doc_id"]
@@ -31,9 +30,9 @@ def rrf(dense_ranks: DataFrame, sparse_ranks: DataFrame, chunks: DataFrame,
     d = dense_ranks.select(*KEYS, F.col("rank").alias("d_rank"))
     s = sparse_ranks.select(*KEYS, F.col("rank").alias("s_rank"))
     fused = d.join(s, KEYS, "full_outer").withColumn("rrf_score", rrf_score(k=k, missing=missing))
-    # the fused set is bounded by queries x aspects x 2n: broadcast it past the chunk table
+    # the fused set holds at most 2n rows per query and aspect; whether it is broadcast is decided by its bytes at run time
     meta = chunks.select("doc_id", F.col("venue_id").alias("hall_id"), "hall_name",
                          F.col("aspect").alias("_chunk_aspect"), "text")
-    joined = (meta.join(checked_broadcast(fused), "doc_id")
+    joined = (meta.join(fused, "doc_id")
               .where(F.col("_chunk_aspect") == F.col("aspect")).drop("_chunk_aspect"))
     return rank_within(joined, ["query_id", "aspect"], "rrf_score", "doc_id", n, "rrf_rank")

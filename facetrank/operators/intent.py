@@ -6,8 +6,8 @@ no aspect keeps N = 1 and gets no candidates.
 
 The default scorer is model-free: the share of the query's distinct tokens
 that occur in the aspect's vocabulary.  Only the query tokens are looked up:
-the chunk tokens are semi-joined with the broadcast query-token set inside
-the scan stage before the distinct (aspect, term) aggregate.
+the chunk tokens are semi-joined with the query-token set before the distinct
+(aspect, term) aggregate.
 """
 
 from __future__ import annotations
@@ -16,20 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import INTENT_LABEL_COUNT, INTENT_THRESHOLD
-from ..plans.strategy import checked_broadcast
 from .lexical import tokens
 
 
 def vocabulary_scores(chunks: DataFrame, queries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """query_id, aspect, score.  With ``postings`` (aspect, term, ...) the corpus is not re-tokenised."""
     qtok = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    qb = checked_broadcast(qtok)
     nq = qtok.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
-    terms = F.broadcast(qb.select("term").distinct())
+    terms = qtok.select("term").distinct()
     words = (postings.select("aspect", "term") if postings is not None
              else chunks.select("aspect", F.explode(tokens("text")).alias("term")))
     vocab = words.join(terms, "term", "left_semi").distinct()
-    hits = vocab.join(qb, "term").groupBy("query_id", "aspect").agg(F.count(F.lit(1)).alias("nhit"))
+    hits = vocab.join(qtok, "term").groupBy("query_id", "aspect").agg(F.count(F.lit(1)).alias("nhit"))
     return hits.join(nq, "query_id").select("query_id", "aspect", (F.col("nhit") / F.col("nq")).alias("score"))
 
 

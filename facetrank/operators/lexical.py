@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import BM25_B, BM25_EPSILON, BM25_K1, RETRIEVAL_TOP_N
-from ..plans.strategy import checked_broadcast
 
 RANK_DIGITS = 9  # scores are ranked on this many decimals, then by id
 
@@ -88,11 +87,6 @@ def build_index(chunks: DataFrame, epsilon: float = BM25_EPSILON, materialize: s
     return Bm25Index(post, docs, aspects, terms)
 
 
-def aspect_stats(chunks: DataFrame) -> DataFrame:
-    """aspect, n_docs, avgdl (empty chunks count as length 0)."""
-    return build_index(chunks, materialize=False).aspects.select("aspect", "n_docs", "avgdl")
-
-
 def term_stats(chunks: DataFrame, index: Bm25Index | None = None,
                epsilon: float = BM25_EPSILON) -> tuple[DataFrame, DataFrame]:
     """Return (terms: aspect, term, df, idf; aspects: aspect, n_docs, avgdl, mean_idf, eps)."""
@@ -120,8 +114,8 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, query_aspects: DataFrame,
     wanted = (qt.join(qa, "query_id")
               .join(index.terms.select("aspect", "term", "idf"), ["aspect", "term"])
               .join(F.broadcast(index.aspects.select("aspect", "avgdl")), "aspect"))
-    # postings stream past the broadcast batch: no posting list is shuffled, however common the term
-    hits = index.postings.join(checked_broadcast(wanted), ["aspect", "term"])
+    # the batch side is small in bytes as a rule and then broadcast at run time; a hot term is split by the skew join
+    hits = index.postings.join(wanted, ["aspect", "term"])
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     contrib = (F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(k1 + 1.0)
                / (F.col("tf") + norm))
@@ -139,7 +133,7 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, query_aspects: DataFrame,
                .where(F.col("_rn") <= n).drop("_rn"))
     neg = F.broadcast(index.aspects.where(F.col("eps") < 0).select("aspect"))
     pad = first_n.unionByName(ids.join(neg, "aspect", "left_semi")).distinct()
-    qa = checked_broadcast(query_aspects.select("query_id", "aspect"))
+    qa = query_aspects.select("query_id", "aspect")
     pad_q = qa.join(pad, "aspect")
     cand = (scores.join(pad_q, ["query_id", "aspect", "doc_id"], "full_outer")
             .select("query_id", "aspect", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score")))

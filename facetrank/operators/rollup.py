@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import FINAL_TOP_N
-from ..plans.strategy import checked_broadcast
 from .lexical import rank_within
 
 
@@ -33,7 +32,7 @@ def soft_weight_rollup(reranked: DataFrame, n_aspects: DataFrame) -> DataFrame:
     ``n_aspects`` has one row per query (query_id, n_aspects); queries with
     N < 1 give no rows.
     """
-    v = _per_venue(reranked).join(checked_broadcast(n_aspects.select("query_id", "n_aspects")), "query_id")
+    v = _per_venue(reranked).join(n_aspects.select("query_id", "n_aspects"), "query_id")
     return (v.where(F.col("n_aspects") >= 1)
             .withColumn("total_score", F.col("base_score")
                         * (F.lit(1.0) + F.col("n_found") / F.col("n_aspects")))
@@ -55,10 +54,7 @@ def top_venues(rollup: DataFrame, n: int = FINAL_TOP_N) -> DataFrame:
 def final_report(rollup: DataFrame, venues: DataFrame, n: int = FINAL_TOP_N) -> DataFrame:
     """rank, query_id, hall_id, hall_name ('Unknown' if absent), total_score (4 places)."""
     top = top_venues(rollup, n)
-    # only the names of the ranked venues are read: semi-join with the bounded top-n ids
-    ids = checked_broadcast(top.select("hall_id").distinct())
-    names = (venues.select(F.col("venue_id").alias("hall_id"), "hall_name")
-             .join(ids, "hall_id", "left_semi"))
+    names = venues.select(F.col("venue_id").alias("hall_id"), "hall_name")
     return (top.join(names, "hall_id", "left")
             .select("query_id", "rank", "hall_id",
                     F.coalesce("hall_name", F.lit("Unknown")).alias("hall_name"),
@@ -71,4 +67,4 @@ def write_report(report: DataFrame, path: str) -> None:
     Scores are already fixed to 4 places by the report builders.  ``path``
     should be under the shared folder (``session.shared_path``)."""
     from ..sources.files import write_csv
-    write_csv(report, path, header=True)
+    write_csv(report, path, header=True, bom=True)

@@ -1,33 +1,17 @@
 """Physical choices that Catalyst cannot make on its own.
 
-``checked_broadcast`` broadcasts a side only after its row count has been
-checked against a bound; above the bound the side is returned unchanged and
-the join falls back to a shuffle (sort-merge) join.  The check runs on the
-small side only (the query batch), never on the corpus.
+Join sides carry no hints: adaptive execution broadcasts a side once its bytes
+are known, and splits skewed partitions otherwise.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Query batches are broadcast up to this many rows (each row a query, a query
-# term or a query vector of a few hundred floats).
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Count the side once (persisted, so the join reuses it) and broadcast it if small."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
 def materialize_small(df: DataFrame) -> DataFrame:
     """Persist a bounded intermediate result (a query batch's aspects, counts) used by several branches."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
