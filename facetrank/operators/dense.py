@@ -1,11 +1,11 @@
 """Dense (vector) retrieval: exact cosine top-n per aspect, and an LSH variant.
 
-Exact search never forms the query x corpus product as rows.  The query block
-(a bounded batch, row count checked) is broadcast once; each task multiplies
-its corpus batches against it with numpy, per aspect, and keeps a running
-top-n per (query, aspect).  A task therefore emits at most
-``queries x aspects x n`` rows, and a ``row_number() <= n`` window (partial
-group limit before its shuffle) finishes the global top-n.
+Exact search never forms the query x corpus product as rows, and no query
+reaches the driver.  The corpus is dealt to blocks by id, per aspect; query
+rows are copied to every block of their aspect.  A task multiplies one block of
+queries by one block of the corpus with numpy and emits the n best rows of each
+query; a ``row_number() <= n`` window (partial group limit before its shuffle)
+finishes.  ``corpus_blocks`` and ``query_blocks`` bound what one task holds.
 
 Order: cosine rounded to 9 decimals descending, then doc_id ascending; the
 same order is used for the local and the global cut, so the result is exact.
@@ -13,21 +13,20 @@ same order is used for the local and the global cut, so the result is exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import RETRIEVAL_TOP_N
+from ..functions.vectors import cosine, dot
 from .lexical import RANK_DIGITS, rank_within
 
-MAX_QUERY_VECTORS = 200_000
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 256
 NORM_FLOOR = 1e-12
-
-_OUT_SCHEMA = "query_id long, aspect string, doc_id long, sim double"
+LSH_TABLES, LSH_BITS, LSH_DIM = 8, 6, 64
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -35,73 +34,55 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(norms, NORM_FLOOR)
 
 
-def _dense_partition(qids: np.ndarray, qmat: np.ndarray, allowed: dict | None, n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}  # aspect -> (query index array, sims k x n, ids k x n)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            for aspect, g in pdf.groupby("aspect", sort=False):
-                qi = allowed.get(aspect) if allowed is not None else np.arange(len(qids))
-                if qi is None or len(qi) == 0:
-                    continue
-                dmat = _unit(np.stack(g["vector"].to_numpy()).astype(np.float64))
-                dids = g["doc_id"].to_numpy(dtype=np.int64)
-                prev = best.get(aspect)
-                sims_parts, ids_parts = [], []
-                for s in range(0, len(qi), QUERY_BLOCK):
-                    blk = qi[s:s + QUERY_BLOCK]
-                    sims = qmat[blk] @ dmat.T
-                    ids = np.broadcast_to(dids, sims.shape)
-                    if prev is not None:
-                        sims = np.concatenate([prev[1][s:s + QUERY_BLOCK], sims], axis=1)
-                        ids = np.concatenate([prev[2][s:s + QUERY_BLOCK], ids], axis=1)
-                    order = np.lexsort((ids, -np.round(sims, RANK_DIGITS)), axis=1)[:, :n]
-                    rows = np.arange(sims.shape[0])[:, None]
-                    sims_parts.append(sims[rows, order])
-                    ids_parts.append(ids[rows, order])
-                best[aspect] = (qi, np.concatenate(sims_parts, axis=0), np.concatenate(ids_parts, axis=0))
-        for aspect, (qi, sims, ids) in best.items():
-            k, w = sims.shape
-            yield pd.DataFrame({
-                "query_id": np.repeat(qids[qi], w),
-                "aspect": aspect,
-                "doc_id": ids.reshape(-1),
-                "sim": sims.reshape(-1),
-            })
-    return run
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
 
 
 def dense_candidates(corpus: DataFrame, query_vectors: DataFrame,
                      query_aspects: DataFrame | None = None, n: int = RETRIEVAL_TOP_N,
-                     max_queries: int = MAX_QUERY_VECTORS) -> DataFrame:
-    """Per-task top-n rows (query_id, aspect, doc_id, sim); not yet globally cut."""
-    spark = corpus.sparkSession
-    qcount = query_vectors.limit(max_queries + 1).count()
-    if qcount > max_queries:
-        raise ValueError(f"query batch over {max_queries} vectors; split the batch")
-    qrows = query_vectors.select("query_id", "vector").orderBy("query_id").collect()
-    qids = np.array([r["query_id"] for r in qrows], dtype=np.int64)
-    qmat = _unit(np.array([r["vector"] for r in qrows], dtype=np.float64)) if qrows else np.zeros((0, 1))
-    allowed = None
-    if query_aspects is not None:
-        pos = {q: i for i, q in enumerate(qids.tolist())}
-        allowed = {}
-        for r in query_aspects.select("query_id", "aspect").distinct().collect():
-            if r["query_id"] in pos:
-                allowed.setdefault(r["aspect"], []).append(pos[r["query_id"]])
-        allowed = {a: np.array(sorted(v), dtype=np.int64) for a, v in allowed.items()}
-    sc = spark.sparkContext
-    bq = sc.broadcast((qids, qmat, allowed))
-
-    def run(batches):
-        qi, qm, al = bq.value
-        yield from _dense_partition(qi, qm, al, n)(batches)
-
-    src = corpus.select("doc_id", "aspect", "vector")
+                     corpus_blocks: int | None = None, query_blocks: int = 1) -> DataFrame:
+    """Per-block top-n rows (query_id, aspect, doc_id, sim); not yet globally cut."""
+    blocks = corpus_blocks or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = query_vectors.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     if query_aspects is not None:
-        src = src.where(F.col("aspect").isin(list(allowed.keys()) or [None]))
-    return src.mapInPandas(run, _OUT_SCHEMA)
+        q = q.join(query_aspects.select("query_id", "aspect").distinct(), "query_id")
+    else:
+        aspects = corpus.agg(F.collect_set("aspect")).scalar()  # the fixed, small set of aspects
+        q = q.withColumn("_aspects", aspects).withColumn("aspect", F.explode("_aspects")).drop("_aspects")
+    q = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
+         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    c = (corpus.select("doc_id", "aspect", F.col("vector").cast("array<double>").alias("vector"))
+         .withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            qids, qmat = np.asarray(left.column("query_id")), _unit(_matrix(left.column("vector")))
+            ids, mat = np.asarray(right.column("doc_id")), _unit(_matrix(right.column("vector")))
+            keep = min(n, len(ids))
+            for s in range(0, len(qids), QUERY_BLOCK):
+                sims = qmat[s:s + QUERY_BLOCK] @ mat.T
+                rounded = np.round(sims, RANK_DIGITS)
+                # all that can be among the first n, ties at the n-th place included, then the exact order
+                least = np.partition(rounded, len(ids) - keep, axis=1)[:, len(ids) - keep]
+                row, col = np.nonzero(rounded >= least[:, None])
+                by = np.lexsort((ids[col], -rounded[row, col], row))
+                row, col = row[by], col[by]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < n], col[place < n]
+                out.append((qids[s:s + QUERY_BLOCK][row], ids[col], sims[row, col]))
+        cat = lambda k, t: np.concatenate([o[k] for o in out]).astype(t) if out else np.zeros(0, t)
+        aspect = left.column("aspect")[0].as_py() if left.num_rows else None
+        found = cat(0, np.int64)
+        return pa.table([pa.array(found), pa.array([aspect] * len(found), pa.string()),
+                         pa.array(cat(1, np.int64)), pa.array(cat(2, np.float64))],
+                        names=["query_id", "aspect", "doc_id", "sim"])
+
+    keys = ["aspect", "cb", "qb"]
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(
+        best, "query_id long, aspect string, doc_id long, sim double")
 
 
 def dense_topk(corpus: DataFrame, query_vectors: DataFrame,
@@ -111,29 +92,40 @@ def dense_topk(corpus: DataFrame, query_vectors: DataFrame,
     return rank_within(local, ["query_id", "aspect"], "sim", "doc_id", n)
 
 
-def dense_topk_lsh(corpus: DataFrame, query_vectors: DataFrame, n: int = RETRIEVAL_TOP_N,
-                   bucket_length: float = 0.5, num_tables: int = 4, seed: int = 42) -> DataFrame:
-    """Approximate top-n per (query, aspect) with random-projection LSH.
+def sign_planes(dim: int, tables: int, bits: int) -> list[list[list[float]]]:
+    """+1 or -1 for each (table, bit, dimension), by the first hex digit of an md5, so that SQL can follow."""
+    digit = lambda t, b, d: hashlib.md5(f"{t}:{b}:{d}".encode()).hexdigest()[0]
+    return [[[1.0 if digit(t, b, d) < "8" else -1.0 for d in range(dim)] for b in range(bits)] for t in range(tables)]
+
+
+def _buckets(vector: Column, planes: list[list[list[float]]]) -> Column:
+    """array<struct(t, bucket)>: in each table the signs of the vector's dot products with its planes."""
+    rows = []
+    for t, table in enumerate(planes):
+        bits = [F.when(dot(vector, F.array(*[F.lit(x) for x in plane])) >= 0, F.lit(2 ** b)).otherwise(F.lit(0))
+                for b, plane in enumerate(table)]
+        rows.append(F.struct(F.lit(t).alias("t"), sum(bits[1:], bits[0]).alias("bucket")))
+    return F.array(*rows)
+
+
+def lsh_pairs(corpus: DataFrame, query_vectors: DataFrame, tables: int = LSH_TABLES, bits: int = LSH_BITS,
+              dim: int = LSH_DIM) -> DataFrame:
+    """Distinct (query_id, doc_id) that share a bucket of sign projections in some table."""
+    planes = sign_planes(dim, tables, bits)
+    keyed = lambda df, key: df.select(key, F.explode(_buckets(F.col("vector"), planes)).alias("h")).select(
+        key, "h.t", "h.bucket")
+    return (keyed(query_vectors, "query_id").join(keyed(corpus, "doc_id"), ["t", "bucket"])
+            .select("query_id", "doc_id").distinct())
+
+
+def dense_topk_lsh(corpus: DataFrame, query_vectors: DataFrame, n: int = RETRIEVAL_TOP_N, tables: int = LSH_TABLES,
+                   bits: int = LSH_BITS, dim: int = LSH_DIM) -> DataFrame:
+    """Approximate top-n per (query, aspect): only pairs that share a bucket are compared.
 
-    Vectors are L2-normalised first; for unit vectors the Euclidean distance
-    is ``sqrt(2 - 2 cos)``, so distance order equals cosine order.  Only pairs
-    that share a bucket in some table are compared.
+    More bits make smaller buckets and more tables a higher recall; both grow with the corpus.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    from ..functions.vectors import l2_normalize
-
-    c = corpus.select("doc_id", "aspect",
-                      array_to_vector(l2_normalize(F.col("vector"))).alias("features"))
-    q = query_vectors.select("query_id",
-                             array_to_vector(l2_normalize(F.col("vector"))).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                      bucketLength=bucket_length, numHashTables=num_tables, seed=seed)
-    model = lsh.fit(c)
-    pairs = model.approxSimilarityJoin(q, c, 2.0, distCol="dist")
-    hits = pairs.select(F.col("datasetA.query_id").alias("query_id"),
-                        F.col("datasetB.aspect").alias("aspect"),
-                        F.col("datasetB.doc_id").alias("doc_id"),
-                        (F.lit(1.0) - F.col("dist") * F.col("dist") / 2.0).alias("sim"))
+    hits = (lsh_pairs(corpus, query_vectors, tables, bits, dim)
+            .join(query_vectors.select("query_id", F.col("vector").alias("qv")), "query_id")
+            .join(corpus.select("doc_id", "aspect", "vector"), "doc_id")
+            .select("query_id", "aspect", "doc_id", cosine("qv", "vector").alias("sim")))
     return rank_within(hits, ["query_id", "aspect"], "sim", "doc_id", n)

@@ -1,15 +1,12 @@
 """Gold set: venues whose chunks contain the query passage verbatim.
 
 ``contains(chunk.text, query)`` over every chunk and query would be a nested
-loop.  Instead every passage with at least five tokens is keyed by its 2nd to
-4th whitespace token: those tokens are whitespace-delimited inside the
-passage, so any chunk containing the passage contains them as consecutive
-tokens.  Chunks emit all their token trigrams (a map-side explode over the
-whole text), an equi-join with the broadcast passage keys finds the
-candidates, and ``contains`` confirms them.  Passages of three or four tokens
-are keyed by their 2nd token alone (a unigram join).  Only passages under three
-tokens have no interior token; those few (a checked, bounded set) are matched
-with a broadcast ``contains`` test.
+loop.  Instead every passage has a key that any text containing it has too: with
+five tokens or more its 2nd to 4th token (whitespace-delimited inside the
+passage), with three or four its 2nd token, and otherwise its first three
+characters (all of them if shorter).  Chunks emit their keys of these three
+kinds with nothing but their id; an equi-join finds the candidates, the texts
+are joined to these alone, and ``contains`` confirms them.
 """
 
 from __future__ import annotations
@@ -17,38 +14,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.strategy import checked_broadcast
 from .lexical import tokens
 
-MAX_SHORT_PASSAGES = 10_000
+def _keys(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, key: the distinct token trigrams, tokens, and grams of up to three characters of each chunk."""
+    tt = tokens("text")
+    places = lambda n: F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(
+        F.array().cast("array<int>"))
+    c = chunks.select("doc_id", tt.alias("tt"), F.split("text", "").alias("ch"))
+    three = F.transform(places(F.size("tt") - 2), lambda i: F.concat_ws(
+        " ", F.get("tt", i), F.get("tt", i + 1), F.get("tt", i + 2)))
+    # every gram of up to three characters, and the empty one
+    ch = F.col("ch")
+    chars = F.concat(
+        F.array(F.lit("")), ch, F.transform(ch, lambda x, i: F.concat(x, F.coalesce(F.get(ch, i + 1), F.lit("")))),
+        F.transform(ch, lambda x, i: F.concat(x, F.coalesce(F.get(ch, i + 1), F.lit("")), F.coalesce(F.get(ch, i + 2), F.lit("")))))
+    part = lambda grams: c.select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
+    return part(three), part(F.col("tt")), part(chars)
 
 
 def substring_gold(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, hall_id: distinct venues with a chunk containing the query text."""
     q = queries.select("query_id", "query", tokens("query").alias("qt"))
-    keyed = q.where(F.size("qt") >= 5).select(
-        "query_id", "query", F.concat_ws(" ", F.get("qt", 1), F.get("qt", 2), F.get("qt", 3)).alias("key"))
-    keyed1 = q.where((F.size("qt") >= 3) & (F.size("qt") < 5)).select("query_id", "query", F.get("qt", 1).alias("key"))
-    short = q.where(F.size("qt") < 3).select("query_id", "query")
-
-    c = chunks.select("doc_id", F.col("venue_id").alias("hall_id"), "text", tokens("text").alias("tt"))
-    grams = (c.where(F.size("tt") >= 3)
-             .select("doc_id", "hall_id", "text",
-                     F.explode(F.transform(F.sequence(F.lit(0), F.size("tt") - 3),
-                                           lambda i: F.concat_ws(" ", F.get(F.col("tt"), i),
-                                                                 F.get(F.col("tt"), i + 1),
-                                                                 F.get(F.col("tt"), i + 2)))).alias("key")))
-    hits = (grams.join(checked_broadcast(keyed), "key")
+    n = F.size("qt")
+    wanted = [
+        q.where(n >= 5).select("query_id", F.concat_ws(" ", F.get("qt", 1), F.get("qt", 2), F.get("qt", 3)).alias("key")),
+        q.where((n >= 3) & (n < 5)).select("query_id", F.get("qt", 1).alias("key")),
+        q.where(n < 3).select("query_id", F.substring("query", 1, 3).alias("key")),
+    ]
+    found = None
+    for keys, want in zip(_keys(chunks), wanted, strict=True):
+        hits = keys.join(want, "key").select("query_id", "doc_id")
+        found = hits if found is None else found.unionByName(hits)
+    return (found.distinct()
+            .join(chunks.select("doc_id", F.col("venue_id").alias("hall_id"), "text"), "doc_id")
+            .join(queries.select("query_id", "query"), "query_id")
             .where(F.col("text").contains(F.col("query")))
-            .select("query_id", "hall_id"))
-    if keyed1.limit(1).count() > 0:
-        unigrams = c.select("hall_id", "text", F.explode(F.array_distinct("tt")).alias("key"))
-        hits = hits.unionByName(unigrams.join(checked_broadcast(keyed1), "key")
-                                .where(F.col("text").contains(F.col("query"))).select("query_id", "hall_id"))
-    if short.limit(1).count() == 0:
-        return hits.distinct()
-    if short.count() > MAX_SHORT_PASSAGES:
-        raise ValueError("too many passages under three tokens for the broadcast contains path")
-    short_hits = (c.join(F.broadcast(short), F.col("text").contains(F.col("query")))
-                  .select("query_id", "hall_id"))
-    return hits.unionByName(short_hits).distinct()
+            .select("query_id", "hall_id").distinct())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.fixed import RETRIEVAL_TOP_N
 from ..functions.vectors import cosine, dot, l2_normalize
 from ..operators import dense, encode
 from ..sources import fixtures as fx
@@ -71,11 +72,33 @@ def q_dense_topk_lsh(spark, sf):
         "query_id", "aspect", "doc_id", F.round("sim", 6).alias("sim"), "rank")
 
 
+def _bucket_sql(v: str, plane_rows: list[list[float]]) -> str:
+    lists = [f"[{', '.join(f'{x:.0f}' for x in p)}]::DOUBLE[]" for p in plane_rows]
+    return " + ".join(f"(CASE WHEN list_dot_product({v}, {p}) >= 0 THEN {2 ** b} ELSE 0 END)" for b, p in enumerate(lists))
+
+
+def _lsh_sql() -> str:
+    planes = dense.sign_planes(dense.LSH_DIM, dense.LSH_TABLES, dense.LSH_BITS)
+    keyed = lambda cte, key: " UNION ALL ".join(
+        f"SELECT {key}, {t} AS t, {_bucket_sql('v', p)} AS bucket FROM {cte}" for t, p in enumerate(planes))
+    return f"""WITH q AS (SELECT b.item_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS v
+           FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+c AS (SELECT vec_id AS doc_id, CAST(label AS VARCHAR) AS aspect, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+qk AS ({keyed('q', 'query_id')}), ck AS ({keyed('c', 'doc_id')}),
+p AS (SELECT DISTINCT query_id, doc_id FROM qk JOIN ck USING (t, bucket)),
+s AS (SELECT p.query_id, c.aspect, p.doc_id, {sql_cos('q.v', 'c.v')} AS sim
+      FROM p JOIN q USING (query_id) JOIN c USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, aspect ORDER BY round(sim, 9) DESC, doc_id) AS rank FROM s)
+SELECT query_id, aspect, doc_id, round(sim, 6) AS sim, rank FROM r WHERE rank <= {RETRIEVAL_TOP_N}"""
+
+
+SQL_LSH = _lsh_sql()
+
 REGISTRY = {
     "encode_texts": (q_encode_texts, SQL_ENCODE),
     "mean_pool": (q_mean_pool, SQL_POOL),
     "l2_normalize": (q_l2_normalize, SQL_L2),
     "cosine_pairs": (q_cosine_pairs, SQL_COS),
     "dot_pairs": (q_dot_pairs, SQL_DOT),
-    "dense_topk_lsh": (q_dense_topk_lsh, None),
+    "dense_topk_lsh": (q_dense_topk_lsh, SQL_LSH),
 }
