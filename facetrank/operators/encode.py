@@ -72,9 +72,3 @@ def mean_pool(tokens: DataFrame, group: str, vector: str = "vector", mask: str |
                                       F.sum("_m").alias("n"))
     return agg.select(group, F.col("pos").cast("long").alias("pos"),
                       (F.col("s") / F.greatest(F.col("n"), F.lit(MASK_FLOOR))).alias("value"))
-
-
-def as_array(long: DataFrame, group: str) -> DataFrame:
-    """group, vector: positions gathered back in order (a group holds one row per dimension)."""
-    return long.groupBy(group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("vector"))

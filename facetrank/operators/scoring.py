@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import compose_query, negation_factor
+from ..functions.text import negation_factor
 from ..functions.vectors import cosine, dot
 from ..sources import fixtures as fx
 from .lexical import RANK_DIGITS, rank_within
@@ -249,15 +249,22 @@ def _score_pairs(pairs: DataFrame, uw: DataFrame, terms: DataFrame) -> DataFrame
     return pairs.join(s, ["user_id", "id"], "left").select("user_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+NO_TAG = "_no_tag"  # a feature that no hall has: users without a known tag get it, and so zero scores
+
+
+def with_untagged(hd: HallData, uw: DataFrame) -> DataFrame:
+    """The weights with a row for every user that has none."""
+    return hd.users.select("user_id").distinct().join(uw, "user_id", "left").select(
+        "user_id", F.coalesce("feature", F.lit(NO_TAG)).alias("feature"), F.coalesce("a", F.lit(1.0)).alias("a"))
+
+
 def matched_then_discovery(hd: HallData, uw: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     """Matched halls (hard filter) first, then the best of the rest: user_id, id, matched, score, rank."""
     # both halves read the hard-filter pairs and the term table: materialise each once
     pairs = hard_filter(hd.users, hd.halls).persist(StorageLevel.MEMORY_AND_DISK)
     terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
     matched = ranked(_score_pairs(pairs, uw, terms), n=n).withColumn("matched", F.lit(True))
-    # users without tags still get matched rows and a discovery fill of zero scores
-    all_uw = hd.users.select("user_id").join(uw, "user_id", "left")
-    disc = weighted_topk(all_uw.where(F.col("feature").isNotNull()), terms, hd.halls.select("id"), n, exclude=pairs)
+    disc = weighted_topk(with_untagged(hd, uw), terms, hd.halls.select("id"), n, exclude=pairs)
     disc = disc.withColumn("matched", F.lit(False))
     both = matched.select("user_id", "id", "matched", "score").unionByName(disc.select("user_id", "id", "matched", "score"))
     w = Window.partitionBy("user_id").orderBy(F.col("matched").desc(), F.round("score", RANK_DIGITS).desc(), F.col("id"))
@@ -278,12 +285,13 @@ def rec_behaviour(hd: HallData, points: DataFrame, n: int = 10, nan_policy: str
     uw = tag_user_weights(hd, points, fixed.BEHAVIOUR_BONUS_R8)
     terms = tag_terms(hd, "behaviour")
     items = hd.halls.select("id")
+    every = with_untagged(hd, uw)
     if nan_policy == "skip":
-        return weighted_topk(uw, terms, items, n)
-    big = 1e6
-    # a missing feature weighs -1e6: complete halls always rank first
-    full = weighted_topk(uw, _with_missing_penalty(terms, items, uw, big), items, n)
-    complete = full.where(F.col("score") > -big / 2)
+        return weighted_topk(every, terms, items, n)
+    # a missing feature weighs -1e15, more than any sum of points: complete halls always rank first
+    big = 1e15
+    full = weighted_topk(every, _with_missing_penalty(terms, items, uw, big), items, n)
+    complete = full.where(F.col("score") > -big / 10)
     n_complete = complete.groupBy("user_id").agg(F.count(F.lit(1)).alias("k"))
     # fill: the first 2n halls by id hold at least n halls that are not complete for the user
     first_ids = [r["id"] for r in items.orderBy("id").limit(2 * n).collect()]  # a bounded top-k
@@ -374,6 +382,3 @@ def minmax_rank(analyzed: DataFrame, weights: dict[str, float] = fixed.MINMAX_WE
             .withColumn("final_score", F.col("price_norm") * weights["w_price"]
                         + F.col("food_score") * weights["w_food"] + F.col("parking_score") * weights["w_parking"]))
 
-
-def composed_queries(users: DataFrame) -> DataFrame:
-    return users.select("user_id", compose_query("selected_tags", "raw_query").alias("query"))

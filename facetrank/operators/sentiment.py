@@ -95,3 +95,9 @@ def item_weight(item: F.Column) -> F.Column:
     for c, w in fixed.MODEL_RANK_WEIGHTS:
         expr = F.when(item == c, F.lit(w)) if expr is None else expr.when(item == c, F.lit(w))
     return expr.otherwise(F.lit(fixed.MODEL_RANK_OTHER_WEIGHT))
+
+
+def hall_totals(scores: DataFrame) -> DataFrame:
+    """model, hall_id, final_score: the weighted buckets of all of a hall's items, summed."""
+    return (scores.groupBy("model", "hall_id")
+            .agg(F.sum(F.col("score") * item_weight(F.col("item"))).alias("final_score")))

@@ -485,15 +485,16 @@ FROM documents d LEFT JOIN labels l USING (doc_id)"""
 
 
 def q_top_plus_random(spark, sf, top: int = 10, seed: int = fixed.RANDOM_SEED):
-    s = _scores(spark, sf).withColumn("final_score", F.col("score") * sentiment.item_weight(F.col("item")))
+    halls = fx.chunks(spark, sf).select("doc_id", F.col("venue_id").alias("hall_id"))
+    s = sentiment.hall_totals(_scores(spark, sf).join(halls, "doc_id"))
     # three models hold a third of the rows each: the limit sits in the window (partial group limit)
-    top_rows = rank_within(s, ["model"], "final_score", "doc_id", top, "pos").withColumn("part", F.lit("top"))
-    rest = s.join(top_rows.select("model", "doc_id"), ["model", "doc_id"], "left_anti")
-    key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))))
-    w = F.row_number().over(Window.partitionBy("model").orderBy(key, "doc_id"))
+    top_rows = rank_within(s, ["model"], "final_score", "hall_id", top, "pos").withColumn("part", F.lit("top"))
+    rest = s.join(top_rows.select("model", "hall_id"), ["model", "hall_id"], "left_anti")
+    key = F.md5(F.concat_ws(":", F.col("hall_id").cast("string"), F.lit(str(seed))))
+    w = F.row_number().over(Window.partitionBy("model").orderBy(key, "hall_id"))
     rnd = (rest.withColumn("_rn", w).where(F.col("_rn") <= top)
            .withColumn("pos", F.col("_rn").cast("long")).withColumn("part", F.lit("random")))
-    cols = ["model", "doc_id", F.round("final_score", 6).alias("final_score"), "part", "pos"]
+    cols = ["model", "hall_id", F.round("final_score", 6).alias("final_score"), "part", "pos"]
     return top_rows.select(*cols).unionByName(rnd.select(*cols))
 
 
@@ -503,14 +504,15 @@ def _iw_sql(col: str) -> str:
 
 
 SQL_TOPRAND = f"""{SENT},
-f AS (SELECT doc_id, model, score * {_iw_sql('item')} AS final_score FROM ss),
-r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(final_score, 9) DESC, doc_id) AS pos FROM f),
-t AS (SELECT model, doc_id, final_score, 'top' AS part, pos FROM r WHERE pos <= 10),
-rest AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.model = f.model AND t.doc_id = f.doc_id)),
-rr AS (SELECT model, doc_id, final_score, 'random' AS part,
-              row_number() OVER (PARTITION BY model ORDER BY md5(CAST(doc_id AS VARCHAR) || ':' || '{fixed.RANDOM_SEED}'), doc_id) AS pos FROM rest)
-SELECT model, doc_id, round(final_score, 6) AS final_score, part, pos FROM t
-UNION ALL SELECT model, doc_id, round(final_score, 6), part, pos FROM rr WHERE pos <= 10"""
+hall AS (SELECT doc_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS hall_id FROM documents),
+f AS (SELECT hall_id, model, sum(score * {_iw_sql('item')}) AS final_score FROM ss JOIN hall USING (doc_id) GROUP BY hall_id, model),
+r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(final_score, 9) DESC, hall_id) AS pos FROM f),
+t AS (SELECT model, hall_id, final_score, 'top' AS part, pos FROM r WHERE pos <= 10),
+rest AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.model = f.model AND t.hall_id = f.hall_id)),
+rr AS (SELECT model, hall_id, final_score, 'random' AS part,
+              row_number() OVER (PARTITION BY model ORDER BY md5(CAST(hall_id AS VARCHAR) || ':' || '{fixed.RANDOM_SEED}'), hall_id) AS pos FROM rest)
+SELECT model, hall_id, round(final_score, 6) AS final_score, part, pos FROM t
+UNION ALL SELECT model, hall_id, round(final_score, 6), part, pos FROM rr WHERE pos <= 10"""
 
 
 def q_minmax_rank(spark, sf):

@@ -48,7 +48,13 @@ VECTOR_SCHEMA = T.StructType([
 ])
 
 
-def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> None:
+BOM = "\ufeff"
+
+
+def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite", bom: bool = False) -> None:
+    """``bom``: every file starts with a UTF-8 byte order mark (before the first column's name)."""
+    if bom and header:
+        df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
     w = df.write.mode(mode).option("header", str(header).lower())
     for k, v in CSV_OPTIONS.items():
         w = w.option(k, v)

@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin"]
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(E.catalog.all_queries()))
 def test_no_cross_product(spark, key):
     df = E.queries()[key](spark, SF)
     qe = df._jdf.queryExecution()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from facetrank.operators import fusion, lexical, metrics, rollup
 from facetrank.operators.dense import dense_topk
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_rrf_values(spark):
     rows = [(1, 1), (2, 5), (1, None), (28, 28), (50, 50), (50, None)]
@@ -182,7 +184,7 @@ def test_lsh_returns_exact_cosines_in_rank_order(spark):
     qs = [(q, [rnd.uniform(-1, 1) for _ in range(8)]) for q in range(3)]
     corpus = spark.createDataFrame(docs, "doc_id long, aspect string, vector array<float>")
     qv = spark.createDataFrame(qs, "query_id long, vector array<float>")
-    rows = dense_topk_lsh(corpus, qv, n=5, bucket_length=2.0, num_tables=3).collect()
+    rows = dense_topk_lsh(corpus, qv, n=5, tables=3, bits=2, dim=8).collect()
     assert rows
     vec = {i: v for i, _, v in docs}
     qvec = dict(qs)
@@ -200,6 +202,51 @@ def test_lsh_returns_exact_cosines_in_rank_order(spark):
         assert sims == sorted(sims, reverse=True) and len(g) <= 5
 
 
+def test_lsh_prunes_and_finds(spark):
+    from facetrank.operators import dense
+    from facetrank.sources import fixtures as fx
+    sf = "/root/testdata/sf0.01"
+    corpus, qv = fx.vectors(spark, sf), fx.query_vectors(spark, sf)
+    every = corpus.count() * qv.count()
+    assert dense.lsh_pairs(corpus, qv).count() < 0.2 * every
+    top = lambda df: {(r["query_id"], r["doc_id"]) for r in df.where("rank <= 5").collect()}
+    exact, found = top(dense.dense_topk(corpus, qv)), top(dense.dense_topk_lsh(corpus, qv))
+    assert len(exact & found) / len(exact) > 0.15   # far above the share of pairs compared for the nearest ones
+    near = dense.dense_topk(corpus, qv).where("sim > 0.7").select("query_id", "doc_id")
+    hit = near.join(dense.lsh_pairs(corpus, qv), ["query_id", "doc_id"], "left_semi").count()
+    assert hit / near.count() > 0.6
+
+
+def test_dense_blocks_agree(spark):
+    from facetrank.operators import dense
+    from facetrank.sources import fixtures as fx
+    corpus, qv = fx.vectors(spark, SF), fx.query_vectors(spark, SF)
+    one = dense.rank_within(dense.dense_candidates(corpus, qv, corpus_blocks=1), ["query_id", "aspect"], "sim", "doc_id", 50)
+    many = dense.rank_within(dense.dense_candidates(corpus, qv, corpus_blocks=5, query_blocks=3),
+                             ["query_id", "aspect"], "sim", "doc_id", 50)
+    key = lambda df: sorted((r["query_id"], r["aspect"], r["rank"], r["doc_id"], round(r["sim"], 9)) for r in df.collect())
+    assert key(one) == key(many)
+    assert dense.dense_candidates(corpus, qv, corpus_blocks=1, n=3).count() == 3 * qv.count() * corpus.select("aspect").distinct().count()
+
+
+def test_gold_with_every_kind_of_passage(spark):
+    from facetrank.operators import gold
+    texts = [(0, 1, "alpha beta gamma delta epsilon zeta"), (1, 2, "x beta gamma y"), (2, 3, "prealpha, b"), (3, 4, ""), (4, 4, "éa")]
+    passages = ["alpha beta gamma delta epsilon", "beta gamma delta", "pha, b", "a", "é", "ph", "beta", "", "nowhere", "beta gamma"]
+    ch = spark.createDataFrame(texts, "doc_id long, venue_id long, text string")
+    q = spark.createDataFrame(list(enumerate(passages)), "query_id long, query string")
+    got = {(r["query_id"], r["hall_id"]) for r in gold.substring_gold(ch, q).collect()}
+    assert got == {(i, v) for i, p in enumerate(passages) for _, v, t in texts if p in t}
+
+
+def test_csv_starts_with_a_byte_order_mark(spark, tmp_path):
+    from facetrank.operators.rollup import write_report
+    df = spark.createDataFrame([(1, "가, \"b\"\nc")], "rank long, hall_name string").coalesce(1)
+    write_report(df, str(tmp_path / "r"))
+    part = next((tmp_path / "r").glob("part-*"))
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfrank,hall_name")
+
+
 def test_checkpointed_index_equals_persisted(spark):
     ch = spark.createDataFrame(CHUNKS, SCHEMA)
     q = spark.createDataFrame([(0, "a e"), (1, "g c a")], "query_id long, query string")

@@ -175,3 +175,30 @@ def test_streaming_click_counts_equal_batch(spark):
     streamed = {(r["user_id"], r["feature"]): r["points"] for r in sprofile.read_profile(spark, sink).collect()}
     batch = {(r["user_id"], r["feature"]): r["v"] for r in profile.click_counts(fx.actions(spark, sf), hf3).collect()}
     assert streamed == batch and len(batch) > 0
+
+
+def test_users_without_a_known_tag_get_the_first_halls(spark):
+    hd = _hall_data(spark, ["no such tag"], SET1)
+    points = profile.profile_points(hd.actions, hd.hf13)
+    rows = sorted(scoring.rec_behaviour(hd, points, n=4).collect(), key=lambda r: r["rank"])
+    assert [(r["id"], r["score"]) for r in rows] == [(1, 0.0), (2, 0.0), (3, 0.0), (4, 0.0)]
+    rows = sorted(scoring.rec_behaviour(hd, points, n=4, nan_policy="propagate").collect(), key=lambda r: r["rank"])
+    assert [r["id"] for r in rows] == [1, 2, 3, 4]
+    # matched halls (place, type, price) first, then the others by id at score 0
+    rows = sorted(scoring.rec_ordered_tags(hd, n=8).collect(), key=lambda r: r["rank"])
+    matched = [i for i, _, loc, p, t, _ in HALLS if loc == "강남구" and t == "어두운홀" and p <= 5000]
+    rest = [i for i, *_ in HALLS if i not in matched]
+    assert [r["id"] for r in rows] == (matched + rest)[:8]
+    assert [r["matched"] for r in rows] == [True] * min(8, len(matched)) + [False] * (8 - min(8, len(matched)))
+
+
+def test_hall_totals_sum_all_items(spark):
+    from facetrank.functions import fixed
+    from facetrank.operators import sentiment
+    items = [c for c, _ in fixed.MODEL_RANK_WEIGHTS][:2]
+    w = dict(fixed.MODEL_RANK_WEIGHTS)
+    df = spark.createDataFrame([("m1", 7, items[0], 2), ("m1", 7, items[1], -1), ("m1", 8, items[1], 2)],
+                               "model string, hall_id long, item string, score int")
+    got = {(r["model"], r["hall_id"]): r["final_score"] for r in sentiment.hall_totals(df).collect()}
+    assert got[("m1", 7)] == pytest.approx(2 * w[items[0]] - w[items[1]])
+    assert got[("m1", 8)] == pytest.approx(2 * w[items[1]])
