@@ -17,6 +17,7 @@ are packed each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,8 @@ GRAIN = 64          # tokens a queue sends at least, unless it runs dry
 END_ID = 1
 QUEUES = 1024       # the largest sources have a queue of their own, the others share one
 TEMPERATURE = 0.7   # default targets: a source's share of tokens to this power
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+CHUNK_TOKENS = 4_000_000   # tokens cut at once (one longer document is a chunk)
 REST = "\x00rest"   # label of the shared queue
 NULL = "\x00null"   # label of the null source's queue
 
@@ -41,27 +43,72 @@ class WordEncoder:
     """Token ids of texts by one encoding per distinct blank-separated piece.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    pieces in order.  The cache is bounded: it starts anew when full.
+    pieces in order.  A piece of Latin letters and then signs is the ids of its letters, in lower case, and
+    of its signs: the tokenizer splits there and lower-cases.  Such parts are one pre-token each and end
+    in a token marked as a word end, so many are encoded in one call and told apart by these marks.
+    Other pieces are encoded one by one.  The caches are bounded: they start anew when full.
     """
 
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
+
     def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one core
         from tokenizers import Tokenizer
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
-
-    def ids(self, text: str, end: bytes) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        missing = [p for p in set(pieces) if p not in cache]
+        self.parts: dict[str, bytes] = {}
+
+    def _each(self, pieces: list[str], cache: dict[str, bytes]) -> None:
+        for p, e in zip(pieces, self.encode(pieces, add_special_tokens=False), strict=True):
+            cache[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        plain, other, new = [], [], set()
+        for p in pieces:
+            m = self.PLAIN.fullmatch(p)
+            if m:
+                word, signs = m[1].lower(), m[2]
+                plain.append((p, word, signs))
+                if word not in self.parts:
+                    new.add(word)
+                if signs and signs not in self.parts:
+                    new.add(signs)
+            else:
+                other.append(p)
+        if new:
+            parts = list(new)
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.encode(
+                [" ".join(parts[i:i + 500]) for i in range(0, len(parts), 500)], add_special_tokens=False)])
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(parts):
+                raw, at = ids.tobytes(), 0
+                for p, e in zip(parts, (4 * (last + 1)).tolist(), strict=True):
+                    self.parts[p] = raw[at:e]
+                    at = e
+            else:                                          # a tokenizer without such marks
+                self._each(parts, self.parts)
+        for p, word, signs in plain:
+            self.cache[p] = self.parts[word] + self.parts[signs] if signs else self.parts[word]
+        self._each(other, self.cache)
+
+    def ids(self, texts: list[str], end: bytes) -> list[bytes]:
+        """The ids of each text (little-endian, 4 bytes an id), with ``end`` after them."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        pieces = set().union(*split)
+        missing = pieces.difference(self.cache)
         if missing:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-                missing = list(set(pieces))
-            for p, e in zip(missing, self.encode(missing, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([cache[p] for p in pieces]) + end
+            self._learn(list(missing if len(self.cache) <= CACHE_WORDS else pieces))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, pieces)) + end for pieces in split]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id",
@@ -73,13 +120,14 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
         sent: dict[str, int] = {}
         for batch in batches:
             ids, n, start = [], [], []
-            sources = batch.column("source").to_pylist()
-            for text, source in zip(batch.column("text"), sources, strict=True):
-                got = enc.ids(text.as_py() or "", end)
-                ids.append(np.frombuffer(got, "<u4").astype("<u2").tobytes())
-                n.append(len(got) // 4)
+            sources, texts = batch.column("source").to_pylist(), batch.column("text").to_pylist()
+            for k in range(0, len(texts), 64):
+                some = enc.ids([t or "" for t in texts[k:k + 64]], end)
+                ids += [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in some]
+                n += [len(x) // 4 for x in some]
+            for source, size in zip(sources, n, strict=True):
                 start.append(sent.get(source, 0))
-                sent[source] = start[-1] + n[-1]
+                sent[source] = start[-1] + size
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("source"), batch.column("part"), pa.array(n, pa.int64()),
                  pa.array(start, pa.int64()), pa.array(ids, pa.binary())],
@@ -115,37 +163,49 @@ class Rounds:
         return np.where(r >= self.first[-1], self.ends[-1],
                         np.minimum(self.clock[p] + (r - self.first[p]) * self.step[p], self.ends[p]))
 
-    def sent(self, r: np.ndarray) -> np.ndarray:
-        """Tokens that every queue (columns) has sent when round r (rows) starts."""
-        v = self.at(r)[:, None]
-        credit = (np.floor(self.weight * v / self.grain) * self.grain).astype(np.int64)
-        return np.where(v >= self.dry, self.total, np.minimum(credit, self.total))
-
-    def sent_by(self, q: int, r: np.ndarray) -> np.ndarray:
-        v = self.at(r)
+    def sent(self, q: np.ndarray | int, v: np.ndarray) -> np.ndarray:
+        """Tokens that queue q has sent at clock v."""
         credit = (np.floor(self.weight[q] * v / self.grain) * self.grain).astype(np.int64)
         return np.where(v >= self.dry[q], self.total[q], np.minimum(credit, self.total[q]))
 
-    def round_of(self, q: int, x: int) -> int:
-        """The round that sends token x of queue q."""
-        lo, hi = 0, int(self.first[-1])
-        while hi - lo > 1:
+    def round_of(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The rounds that send tokens x of queues q."""
+        lo, hi = np.zeros(len(x), np.int64), np.full(len(x), int(self.first[-1]), np.int64)
+        while (hi - lo > 1).any():
             mid = (lo + hi) // 2
-            if self.sent_by(q, np.array([mid]))[0] <= x:
-                lo = mid
-            else:
-                hi = mid
+            low = self.sent(q, self.at(mid)) <= x
+            lo, hi = np.where(low, mid, lo), np.where(low, hi, np.maximum(mid, lo + 1))
         return lo
 
-    def pieces(self, q: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """(bounds a..b in the queue, place of each bound's piece in the stream) for tokens [a, b)."""
-        r = np.arange(self.round_of(q, a), self.round_of(q, b - 1) + 1)
-        now, after = self.sent(r), self.sent(r + 1)
-        keep = after[:, q] > now[:, q]
-        now, after = now[keep], after[keep]
-        place = now.sum(1) + (after[:, :q] - now[:, :q]).sum(1)       # where this queue's turn begins
-        lo, hi = np.maximum(now[:, q], a), np.minimum(after[:, q], b)
-        return np.stack([lo, hi]), place + lo - now[:, q]
+    def pieces(self, q: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+        """Pieces of the documents i with tokens [a, b) of queue q, in order: i, first and end token, place in the stream."""
+        r0, r1 = self.round_of(q, a), self.round_of(q, b - 1)
+        n = r1 - r0 + 1
+        doc = np.repeat(np.arange(len(a)), n)
+        r = np.repeat(r0 - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        v, w, mine = self.at(r), self.at(r + 1), q[doc]
+        now, after = self.sent(mine, v), self.sent(mine, w)
+        place = np.zeros(len(r), np.int64)                  # where this queue's turn in the round begins
+        for s in range(len(self.total)):
+            own = self.sent(s, v)
+            place += np.where(s < mine, self.sent(s, w), own)
+        lo, hi = np.maximum(now, a[doc]), np.minimum(after, b[doc])
+        place = place + lo - now
+        keep = hi > lo
+        doc, lo, hi, place = doc[keep], lo[keep], hi[keep], place[keep]
+        # cut at window ends
+        cuts = (place % window + (hi - lo) - 1) // window + 1
+        j = np.arange(cuts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(cuts)[:-1]]), cuts)
+        doc, lo, hi, place = (np.repeat(x, cuts) for x in (doc, lo, hi, place))
+        begin = np.where(j > 0, (place // window + j) * window, place)
+        end = np.minimum((place // window + j + 1) * window, place + hi - lo)
+        lo, hi, place = lo + begin - place, lo + end - place, begin
+        # and join what touches inside a window
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + hi[:-1] - lo[:-1]) | (place[1:] % window == 0)
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(doc)]]) - 1 if len(first) else first
+        return doc[first], lo[first], hi[last], place[first]
 
 
 def queue_totals(tokens: DataFrame, queues: int = QUEUES) -> list[tuple[str, int]]:
@@ -183,35 +243,25 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     index = {q: i for i, q in enumerate(names)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, at, ids_out = [], [], []
-            first, n = batch.column("first").to_pylist(), batch.column("n").to_pylist()
-            queue_at = batch.column("queue").to_pylist()
-            for i, ids in enumerate(batch.column("ids")):
-                (lo, hi), place = rounds.pieces(index[queue_at[i]], first[i], first[i] + n[i])
-                # cut at window ends as well, and join what touches inside a window
-                cuts = []
-                for x, y, p in zip(lo.tolist(), hi.tolist(), place.tolist(), strict=True):
-                    while x < y:
-                        room = min(y - x, window - p % window)
-                        if cuts and cuts[-1][1] == x and cuts[-1][2] + (x - cuts[-1][0]) == p and p % window:
-                            cuts[-1][1] = x + room
-                        else:
-                            cuts.append([x, x + room, p])
-                        x, p = x + room, p + room
-                wide = np.frombuffer(ids.as_py(), "<u2").astype("<u4").tobytes()
-                for x, y, p in cuts:
-                    s = x - first[i]
-                    rows.append((s, y - x, n[i], p // window, p % window))
-                    at.append(i)
-                    ids_out.append(wide[4 * s:4 * (s + y - x)])
-            cols = np.array(rows, dtype=np.int64).reshape(-1, 5)
-            for k in range(0, len(at), 20_000):
-                e = min(len(at), k + 20_000)
+        for whole in batches:
+            n_all = np.asarray(whole.column("n"))
+            at = 0
+            while at < len(n_all):                          # some rows at a time, by their tokens
+                size = max(1, int(np.searchsorted(np.cumsum(n_all[at:]), CHUNK_TOKENS)))
+                batch = whole.slice(at, size)
+                at += size
+                n, first = np.asarray(batch.column("n")), np.asarray(batch.column("first"))
+                names = batch.column("queue").to_pylist()
+                q = np.array([index[x] for x in names], dtype=np.int64)
+                doc, lo, hi, place = rounds.pieces(q, first, first + n, window)
+                # pieces follow each other through the documents' ids: only the bounds are new
+                ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2").astype("<u4")
+                bounds = np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32) * 4
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(at[k:e])),
-                     *[pa.array(cols[k:e, c]) for c in range(5)], pa.array(ids_out[k:e], pa.binary()),
-                     pa.array([queue_at[i] for i in at[k:e]])],
+                    [batch.column("doc_id").take(pa.array(doc)), pa.array(lo - first[doc]), pa.array(hi - lo),
+                     pa.array(n[doc]), pa.array(place // window), pa.array(place % window),
+                     pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds), pa.py_buffer(ids)]),
+                     batch.column("queue").take(pa.array(doc))],
                     names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "queue"])
 
     kind = dict(tokens.dtypes)["doc_id"]
