@@ -6,11 +6,15 @@ bucket of that minimiser; equal windows have equal minimisers, so they meet ther
 windows by a hash of their words, puts the words of equal hashes side by side, and so finds exactly
 which windows start earlier elsewhere.
 
-Before travelling, each task finds repeats among its own windows the same way; only its earliest copy of a
-window travels, the others are marked on the spot.  So a passage that a third of all documents share
-reaches its bucket once per task and block of rows, not once per document.
-
-All that travels between a block of rows and a bucket is one compressed message: the distinct words, the
+Documents are dealt to batches by id, once; the three passes over them read that same exchange.
+1. A batch sends its distinct minimisers to their buckets and learns which occur anywhere else.  A
+   super-k-mer whose minimiser occurs once in the corpus holds no repeated window and stays at home.
+2. The others travel.  Before that, a batch finds repeats among its own windows; only its earliest copy of
+   a window travels, the others are marked on the spot.  So a passage that a third of all documents
+   share reaches its bucket once per batch, not once per document.
+3. The marked word ranges go back to the batches, which cut them out.
+
+All that travels between a batch and a bucket is one compressed message: the distinct words, the
 super-k-mers as numbers of these words, their places, and the places already marked.
 
 A place is (doc_id, start), compared as numbers.  Equal doc_ids with different texts are told apart by a hash
@@ -23,8 +27,6 @@ repeated rows each get the same result; an empty table gives no rows; other colu
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +35,8 @@ from pyspark.sql import functions as F
 from .common import documents, ready, shuffle_partitions
 
 K = 20             # words of a window
-M = 6              # words of a minimiser's gram
-BLOCK_CHARS = 12_000_000   # characters of texts a task works on at once (one longer text is a block)
-PER_PARTITION = 4  # buckets for each shuffle partition: a task holds one bucket at a time
+M = 3              # words of a minimiser's gram
+PER_PARTITION = 2  # batches and buckets for each shuffle partition: a task holds one at a time
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NULL_ID = -(2 ** 63)
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -156,61 +157,89 @@ def unpacked(message: bytes) -> tuple[list[str], np.ndarray, np.ndarray, np.ndar
     return words, ids, sizes, places, np.frombuffer(b, "<i8", n_marks * 4, at).reshape(4, -1).T
 
 
-def messages(rows: list[tuple[int, int, str]], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, message) of a block of rows (doc_id, key, text)."""
-    import xxhash
-    number: dict[str, int] = {}
-    names: list[str] = []
-    parts, lengths = [], []
-    for _, _, text in rows:
-        w = WORD.findall(text)
-        for x in set(w):
-            if x not in number:
-                number[x] = len(names)
-                names.append(x)
-        parts.append(np.fromiter(map(number.__getitem__, w), dtype=np.int64, count=len(w)))
-        lengths.append(len(w))
-    words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    if len(words) < K:
-        return
-    n = np.array(lengths)
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    row = np.repeat(np.arange(len(n)), n)
-    pos = np.arange(len(words)) - first[row]
-    at = np.flatnonzero(pos <= (n - K)[row])                     # where windows begin
-    if not len(at):
-        return
-    word_hash = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in names), dtype=np.uint64, count=len(names))[words]
-    least = sliding_min(gram_hashes(word_hash, M), K - M + 1)[at]
-    doc = np.array([r[0] for r in rows], dtype=np.int64)[row[at]]
-    key = np.array([r[1] for r in rows], dtype=np.int64)[row[at]]
-    start = pos[at]
-    marked = not_first(gram_hashes(word_hash, K)[at], at, words, doc, key, start)
-    marks = runs(marked, doc, key, start)
-    # super-k-mers: unmarked windows, one after the other, of one minimiser
-    keep = np.flatnonzero(~marked)
-    a, m = at[keep], least[keep]
-    new = np.concatenate([[True], (a[1:] != a[:-1] + 1) | (m[1:] != m[:-1])]) if len(a) else np.zeros(0, bool)
-    head = np.flatnonzero(new)
-    size = np.diff(np.concatenate([head, [len(a)]]))
-    bucket = (m[head] % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    head, size, bucket = head[by], size[by], bucket[by]
-    ends = np.flatnonzero(np.concatenate([bucket[1:] != bucket[:-1], [True]])) + 1 if len(bucket) else []
-    mark_bucket = np.abs(marks[:, 0] % buckets)
-    todo, lo = {}, 0
-    for e in ends:
-        todo[int(bucket[lo])] = (lo, int(e))
-        lo = int(e)
-    for b in sorted(set(todo) | set(mark_bucket.tolist())):
-        lo, hi = todo.get(b, (0, 0))
-        h, s = head[lo:hi], size[lo:hi]
-        count = s + K - 1
-        ids = words[np.repeat(a[h] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-                    + np.arange(count.sum())] if len(h) else np.zeros(0, np.int64)
-        used, local = np.unique(ids, return_inverse=True)
-        places = np.stack([doc[keep[h]], key[keep[h]], start[keep[h]]], axis=1).reshape(-1, 3)
-        yield b, packed([names[i] for i in used.tolist()], local, count, places, marks[mark_bucket == b])
+class Batch:
+    """Words, windows and minimisers of the texts of a batch, rows (doc, key, text)."""
+
+    def __init__(self, rows: list[tuple[int, int, str]]):
+        import xxhash
+        number: dict[str, int] = {}
+        names: list[str] = []
+        parts = []
+        for _, _, text in rows:
+            w = WORD.findall(text)
+            for x in set(w):
+                if x not in number:
+                    number[x] = len(names)
+                    names.append(x)
+            parts.append(np.fromiter(map(number.__getitem__, w), dtype=np.int64, count=len(w)))
+        self.names = names
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        n = np.array([len(w) for w in parts], dtype=np.int64)
+        first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        pos = np.arange(len(self.words)) - first[row]
+        self.at = np.flatnonzero(pos <= (n - K)[row])                # where windows begin
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in names), dtype=np.uint64, count=len(names))
+        self.hashes = hashes[self.words]
+        self.grams = gram_hashes(self.hashes, M) if len(self.at) else np.zeros(0, np.uint64)
+        self.least = sliding_min(self.grams, K - M + 1)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        of = row[self.at]
+        self.doc = np.array([r[0] for r in rows], dtype=np.int64)[of]
+        self.key = np.array([r[1] for r in rows], dtype=np.int64)[of]
+        self.start = pos[self.at]
+
+    def runs_of(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Super-k-mers among the windows ``keep``: where each begins in ``keep``, and its number of windows."""
+        a, m = self.at[keep], self.least[keep]
+        if not len(a):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1] + 1) | (m[1:] != m[:-1])]))
+        return head, np.diff(np.concatenate([head, [len(a)]]))
+
+    def minimisers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct minimisers, and whether the batch itself holds each more than once."""
+        every = np.arange(len(self.at))
+        head, size = self.runs_of(every)
+        if not len(head):
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        value = self.least[head]
+        # a minimiser may also repeat inside one super-k-mer, as in a text that goes round in circles
+        span = size + K - M
+        inside = np.repeat(self.at[head] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+        times = np.add.reduceat(self.grams[inside] == np.repeat(value, span), np.concatenate([[0], np.cumsum(span)[:-1]]),
+                                dtype=np.int64)
+        by = np.argsort(value, kind="stable")
+        value, times = value[by], times[by]
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        return value[first], np.add.reduceat(times, first) > 1
+
+    def messages(self, repeated: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+        """(bucket, message) of the super-k-mers whose minimisers are among ``repeated`` (sorted)."""
+        if not len(repeated) or not len(self.at):
+            return []
+        near = np.minimum(np.searchsorted(repeated, self.least), len(repeated) - 1)
+        mine = np.flatnonzero(repeated[near] == self.least)
+        if not len(mine):
+            return []
+        at, doc, key, start = self.at[mine], self.doc[mine], self.key[mine], self.start[mine]
+        marked = not_first(gram_hashes(self.hashes, K)[at], at, self.words, doc, key, start)
+        marks = runs(marked, doc, key, start)
+        keep = mine[~marked]
+        head, size = self.runs_of(keep)
+        bucket = (self.least[keep[head]] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        head, size, bucket = head[by], size[by], bucket[by]
+        mark_bucket = marks[:, 0] % buckets
+        out = []
+        for b in sorted(set(bucket.tolist()) | set(mark_bucket.tolist())):
+            lo, hi = np.searchsorted(bucket, [b, b + 1])
+            h, count = keep[head[lo:hi]], size[lo:hi] + K - 1
+            ids = self.words[np.repeat(self.at[h] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count)
+                             + np.arange(count.sum())] if len(h) else np.zeros(0, np.int64)
+            used, local = np.unique(ids, return_inverse=True)
+            places = np.stack([self.doc[h], self.key[h], self.start[h]], axis=1).reshape(-1, 3)
+            out.append((b, packed([self.names[i] for i in used.tolist()], local, count, places, marks[mark_bucket == b])))
+        return out
 
 
 def resolved(blobs: list[bytes]) -> np.ndarray:
@@ -239,73 +268,101 @@ def resolved(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate([out, runs(marked, doc, key, start)])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc, key, spans: the word ranges to remove of each document, from columns doc, key and text."""
-    spark = docs.sparkSession
-    ready(spark)
-    buckets = PER_PARTITION * shuffle_partitions(spark)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, chars = [], 0
-
-        def flush():
-            got = list(messages(rows, buckets))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in got], pa.int32()), pa.array([m for _, m in got], pa.binary())],
-                names=["bucket", "message"])
-
-        for batch in batches:
-            for doc, key, text in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(),
-                                      batch.column("text"), strict=True):
-                t = text.as_py() or ""
-                rows.append((doc, key, t))
-                chars += len(t)
-                if chars >= BLOCK_CHARS:
-                    yield flush()
-                    rows, chars = [], 0
-        if rows:
-            yield flush()
+def _rows(table: pa.Table) -> list[tuple[int, int, str]]:
+    return list(zip(table.column("doc").to_pylist(), table.column("key").to_pylist(),
+                    [t or "" for t in table.column("text").to_pylist()], strict=True))
 
-    def settle(table: pa.Table) -> pa.Table:
-        out = resolved(table.column("message").to_pylist())
-        return pa.table([pa.array(out[:, c]) for c in range(4)], names=["doc", "key", "first", "end"])
 
-    sent = docs.select("doc", "key", "text").mapInArrow(send, "bucket int, message binary")
-    found = sent.groupBy("bucket").applyInArrow(settle, "doc long, key long, first long, end long")
-    return found.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+def _squeezed(values: np.ndarray, flags: np.ndarray) -> bytes:
+    import zstandard
+    return zstandard.compress(np.array([len(values)], "<i8").tobytes() + np.diff(values, prepend=np.uint64(0)).astype("<u8").tobytes()
+                              + np.packbits(flags).tobytes(), 1)
+
+
+def _expanded(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+    b = zstandard.decompress(blob)
+    n = int(np.frombuffer(b, "<i8", 1)[0])
+    return (np.cumsum(np.frombuffer(b, "<u8", n, 8)).astype(np.uint64),
+            np.unpackbits(np.frombuffer(b, np.uint8, -1, 8 + 8 * n), count=n).astype(bool))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words, joined by one blank) of every row."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"),
-        F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    spans = repeated_spans(rows)
-    joined = rows.join(spans, ["doc", "key"], "left")
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                words = WORD.findall(text.as_py() or "")
-                cover = spans.as_py()
-                if cover:
-                    edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(edge, [c["first"] for c in cover], 1)
-                    np.add.at(edge, [c["end"] for c in cover], -1)
-                    left = np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()
-                    n_removed.append(len(words) - len(left))
-                    kept.append(" ".join([words[i] for i in left]))
-                else:
-                    n_removed.append(0)
-                    kept.append(" ".join(words))
-                n_words.append(len(words))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                 pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+    spark = docs.sparkSession
+    ready(spark)
+    n = PER_PARTITION * shuffle_partitions(spark)
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    rows = docs.select(F.col(id_col).alias("doc_id"), doc.alias("doc"), F.xxhash64(F.col(text_col)).alias("key"),
+                       F.col(text_col).alias("text"), F.pmod(F.xxhash64(doc), F.lit(n)).cast("int").alias("batch"))
+
+    def sent(batch, found: list[tuple[int, bytes]]) -> pa.Table:
+        return pa.table([pa.array([b for b, _ in found], pa.int32()), pa.array([batch] * len(found), pa.int32()),
+                         pa.array([m for _, m in found], pa.binary())], names=["bucket", "batch", "message"])
+
+    def ask(table: pa.Table) -> pa.Table:
+        values, twice = Batch(_rows(table)).minimisers()
+        bucket = (values % np.uint64(n)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")       # values stay sorted inside a bucket
+        cuts = np.searchsorted(bucket[by], np.arange(n + 1))
+        return sent(table.column("batch")[0].as_py(), [
+            (b, _squeezed(values[by[cuts[b]:cuts[b + 1]]], twice[by[cuts[b]:cuts[b + 1]]]))
+            for b in range(n) if cuts[b] < cuts[b + 1]])
+
+    def answer(table: pa.Table) -> pa.Table:
+        got = [_expanded(m) for m in table.column("message").to_pylist()]
+        value = np.concatenate([v for v, _ in got])
+        times = np.concatenate([1 + f.astype(np.int64) for _, f in got])
+        by = np.argsort(value, kind="stable")
+        value, times = value[by], times[by]
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        repeated = value[first][np.add.reduceat(times, first) > 1]
+        batches, out = table.column("batch").to_pylist(), []
+        for batch, (v, _) in zip(batches, got, strict=True):
+            own = v[np.isin(v, repeated, assume_unique=True)]
+            if len(own):
+                out.append((batch, _squeezed(own, np.ones(len(own), bool))))
+        return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())],
+                        names=["batch", "message"])
+
+    def travel(left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted = [_expanded(m)[0] for m in right.column("message").to_pylist()]
+        if not wanted or not left.num_rows:
+            return sent(0, [])
+        return sent(left.column("batch")[0].as_py(), Batch(_rows(left)).messages(np.sort(np.concatenate(wanted)), n))
+
+    def settle(table: pa.Table) -> pa.Table:
+        out = resolved(table.column("message").to_pylist())
+        return pa.table([pa.array(out[:, c]) for c in range(4)], names=["doc", "key", "first", "end"])
 
+    def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        gone: dict[tuple[int, int], list] = {}
+        for d, k, a, b in zip(*[right.column(c).to_pylist() for c in ("doc", "key", "first", "end")], strict=True):
+            gone.setdefault((d, k), []).append((a, b))
+        n_words, n_removed, kept = [], [], []
+        for d, k, text in _rows(left):
+            words = WORD.findall(text)
+            cover = gone.get((d, k))
+            n_words.append(len(words))
+            if cover:
+                edge = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(edge, [a for a, _ in cover], 1)
+                np.add.at(edge, [b for _, b in cover], -1)
+                words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
+            n_removed.append(n_words[-1] - len(words))
+            kept.append(" ".join(words))
+        return pa.table([left.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                         pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    asked = rows.groupBy("batch").applyInArrow(ask, "bucket int, batch int, message binary")
+    replies = asked.groupBy("bucket").applyInArrow(answer, "batch int, message binary")
+    moved = rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
+        travel, "bucket int, batch int, message binary")
+    spans = moved.select("bucket", "message").groupBy("bucket").applyInArrow(
+        settle, "doc long, key long, first long, end long")
+    spans = spans.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int"))
     kind = dict(docs.dtypes)[id_col]
-    return joined.select("doc_id", "text", "spans").mapInArrow(
+    return rows.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(
         remove, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 

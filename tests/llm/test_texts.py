@@ -3,6 +3,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,8 +190,10 @@ def test_substrings_small_blocks_and_collisions(monkeypatch):
     rows = [(i, 0, " ".join(f"w{j % 23}" for j in range(i, i + 120))) for i in range(12)] + [(5, 0, None or "")]
     monkeypatch.setattr(substrings, "gram_hashes", lambda h, n: (h[:max(0, len(h) - n + 1)] % 3))  # nearly all collide
     blobs = {}
-    for part in (rows[:5], rows[5:]):
-        for b, m in substrings.messages(part, 4):
+    parts = [substrings.Batch(rows[:5]), substrings.Batch(rows[5:])]
+    for part in parts:
+        assert (part.minimisers()[0] == np.unique(part.least)).all()
+        for b, m in part.messages(np.unique(np.concatenate([x.least for x in parts])), 4):
             blobs.setdefault(b, []).append(m)
     gone = {}
     for b in blobs.values():
@@ -200,6 +203,13 @@ def test_substrings_small_blocks_and_collisions(monkeypatch):
     assert {d: len(x) for d, x in gone.items()} == {d: x[1] for d, x in want.items() if x[1]}
 
 
+def test_circular_texts_repeat_inside_one_super_k_mer(spark):
+    rows = [(1, "x " * 22), (2, "a b " * 30), (3, " ".join(f"w{i}" for i in range(40))), (4, " ".join(f"v{i % 25}" for i in range(60)))]
+    want = brute_kept(rows)
+    for r in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r.n_words, r.n_removed, r.kept) == want[r.doc_id]
+
+
 def test_substrings_no_rows(spark, no_docs):
     assert substrings.deduplicated(no_docs).count() == 0
 
