@@ -199,8 +199,8 @@ def candidates(signed: DataFrame) -> DataFrame:
     # least members by partial aggregates, however many share a key
     shares = rows.groupBy("band", "key", "share").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     least = shares.groupBy("band", "key").agg(F.min("least").alias("all_least"), F.sum("n").alias("n")).filter("n > 1")
-    near = shares.drop("n").join(least.drop("n"), ["band", "key"])
-    rows = rows.join(near, ["band", "key", "share"])
+    near = shares.drop("n").join(least.drop("n").hint("merge"), ["band", "key"])
+    rows = rows.join(near.hint("merge"), ["band", "key", "share"])
     pairs = rows.select(F.explode(F.array(
         F.struct(F.col("all_least").alias("a"), F.col("id").alias("b")),
         F.struct(F.col("least").alias("a"), F.col("id").alias("b")))).alias("p")).select("p.*")
@@ -224,8 +224,9 @@ def verified(pairs: DataFrame, rows: DataFrame, idf, threshold: float = THRESHOL
             take = pa.array(ok, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
+    # both sides grow with the corpus: shuffled alike at every size, and hot texts split by the skew join
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = rows.join(needed, "id", "left_semi")
+    texts = rows.join(needed.hint("merge"), "id", "left_semi").hint("merge")
     half = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = half.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
