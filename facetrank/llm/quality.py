@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, let, words_of
+from .common import documents, let, ready, words_of, written
 
 RISK = 0.02     # false rejections of good texts allowed in a stratum
 DELTA = 0.05    # chance that any certificate is wrong
@@ -41,6 +41,9 @@ GRID = {
 }
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_lines", "_stop", "_upper", "_letters")
+
+
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text.
 
@@ -163,22 +166,26 @@ def cutoffs(rows: DataFrame, labels: DataFrame, stratum: str = "lang", risk: flo
             .agg(F.max_by("t.cutoff", "t.strict").alias("cutoff")))
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK,
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", risk: float = RISK,
            delta: float = DELTA) -> DataFrame:
-    """Measures, base_failed and kept of every row.  Texts are read once more for the labelled ones."""
-    rows = measured(docs)
-    # labelled texts first: only they are measured for the thresholds
-    ids = labels.select("doc_id").distinct()
-    cut = cutoffs(measured(docs.join(ids, "doc_id", "left_semi")), labels, stratum, risk, delta)
+    """Id, stratum, measures, base_failed and kept of every row.
+
+    Texts are read once: their measures, a few numbers a row, are written to the shared folder, and
+    thresholds and verdicts are worked out on these.
+    """
+    ready(docs.sparkSession)
+    rows = written(measured(docs).select(F.col(id_col).alias("doc_id"), F.col(stratum).alias("_in"), *COUNTS), "quality")
+    cut = cutoffs(rows, labels, "_in", risk, delta)
     wide = cut.groupBy("_stratum").pivot("measure", list(GRID)).agg(F.first("cutoff"))
     wide = wide.select(F.col("_stratum"), *[F.col(m).alias(f"_cut_{m}") for m in GRID])
-    df = rows.join(wide, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    df = rows.join(wide, F.col("_in").eqNullSafe(F.col("_stratum")), "left")
     bad = F.lit(False)
     for name, (sign, _) in GRID.items():
         m = MEASURES[name]()
         c = F.col(f"_cut_{name}")
         bad = bad | F.coalesce((m > c) if sign > 0 else (m < c), F.lit(False))
-    return df.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad)
+    return df.select(F.col("doc_id").alias(id_col), F.col("_in").alias(stratum), *COUNTS,
+                     base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
