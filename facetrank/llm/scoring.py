@@ -20,7 +20,6 @@ repeat a doc_id get a result each; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -32,16 +31,13 @@ from .common import documents, ready, shuffle_partitions, written
 
 ORDER = 4
 START, END = 0xFE, 0xFF
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-END_WORD = ""       # no word is empty, so the end token counts under the empty string
+END_WORD = b""      # no word is empty, so the end token counts under the empty one
 CHUNK = 1 << 21     # bytes of text worked on at once
-PER_PARTITION = 2   # batches and buckets for each shuffle partition
+PER_PARTITION = 1   # batches and buckets for each shuffle partition
 
 
-def grams(text: str, order: int = ORDER) -> np.ndarray:
+def grams(raw: bytes, order: int = ORDER) -> np.ndarray:
     """One key per byte and the end: its ``order`` preceding bytes and itself, the byte lowest."""
-    raw = text.encode("utf-8", "replace")
     b = np.frombuffer(bytes([START]) * order + raw + bytes([END]), dtype=np.uint8).astype(np.uint64)
     key = np.zeros(len(raw) + 1, dtype=np.uint64)
     for j in range(order + 1):
@@ -137,11 +133,12 @@ def _loosen(blob: bytes) -> bytes:
 
 
 def _texts(table: pa.Table):
+    """The texts' bytes, A-Z in lower case.  ``bytes.split()`` then cuts at exactly the six blanks of a word."""
     for x in table.column("text"):
-        yield (x.as_py() or "").translate(LOWER)
+        yield (x.as_py() or "").encode("utf-8", "replace").lower()
 
 
-def _distinct(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+def _distinct(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """Distinct grams and words of a batch with their training counts, both in a fixed order."""
     parts, held = [], np.asarray(table.column("held_out"))
     words: dict[bool, Counter] = {True: Counter(), False: Counter()}
@@ -160,7 +157,7 @@ def _distinct(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, list
         todo[h].append(g)
         size += len(g)
         w = words[h]
-        w.update(WORD.findall(text))
+        w.update(text.split())
         w[END_WORD] += 1
         if size > CHUNK:
             flush()
@@ -201,7 +198,7 @@ def model_tables(rows: DataFrame, order: int = ORDER) -> DataFrame:
         for b, i in _by_bucket((h % np.uint64(buckets)).astype(np.int64)):
             kind.append("w")
             bucket.append(b)
-            blob = "\n".join([names[j] for j in i.tolist()]).encode()
+            blob = b"\n".join([names[j] for j in i.tolist()])
             message.append(_press(np.array([len(i)], "<i8"), word_counts[i].astype("<u4"), np.frombuffer(blob, np.uint8)))
         k, c = counted(keys[counts > 0] & np.uint64(0xFFFF), counts[counts > 0])
         kind.append("l")
@@ -253,7 +250,7 @@ def answers(asked: DataFrame, low: np.ndarray, order: int = ORDER) -> DataFrame:
                 out.append(_press(np.array([len(own)], "<i8"), np.diff(own, prepend=np.uint64(0)).astype("<u8"),
                                   score[np.searchsorted(k, own)]))
         else:
-            words = [m[8 + 4 * x:].decode().split("\n") for m, x in zip(messages, n, strict=True)]
+            words = [m[8 + 4 * x:].split(b"\n") for m, x in zip(messages, n, strict=True)]
             counts = [np.frombuffer(m, "<u4", x, 8) for m, x in zip(messages, n, strict=True)]
             sums: Counter = Counter()
             for w, c in zip(words, counts, strict=True):
@@ -261,7 +258,7 @@ def answers(asked: DataFrame, low: np.ndarray, order: int = ORDER) -> DataFrame:
                     sums[x] += y
             total, distinct = sum(sums.values()), sum(1 for v in sums.values() if v)
             for w in words:
-                blob = "\n".join(w).encode()
+                blob = b"\n".join(w)
                 out.append(_press(np.array([len(w)], "<i8"), np.array([sums[x] for x in w], dtype="<i8"),
                                   np.frombuffer(blob, np.uint8)))
         first = [1] + [0] * (len(out) - 1)
@@ -298,20 +295,20 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
                 keys.append(np.cumsum(np.frombuffer(raw, "<u8", n, 8)))
                 logs.append(np.frombuffer(raw, "<f8", n, 8 + 8 * n))
             else:
-                known.update(zip(raw[8 + 8 * n:].decode().split("\n"), np.frombuffer(raw, "<i8", n, 8).tolist(), strict=True))
+                known.update(zip(raw[8 + 8 * n:].split(b"\n"), np.log10(np.frombuffer(raw, "<i8", n, 8) + 0.1).tolist(), strict=True))
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         by = np.argsort(key)
         key, log = key[by], (np.concatenate(logs)[by] if logs else np.zeros(0))
-        value = {w: (np.log10(c + 0.1), c > 0) for w, c in known.items()}
         out = {"n": [], "k": [], "base": [], "score": []}
         for text in _texts(left):
-            words = WORD.findall(text)
+            words = text.split()
             words.append(END_WORD)
-            found = [value[w] for w in words]
+            logs = np.fromiter(map(known.__getitem__, words), dtype=float, count=len(words))
+            k, c = counted(grams(text, order))       # distinct grams in order: lookups stay close together
             out["n"].append(len(words))
-            out["k"].append(sum(1 for f in found if f[1]))
-            out["base"].append(float(sum(f[0] for f in found) - len(words) * floor))
-            out["score"].append(float(log[np.searchsorted(key, grams(text, order))].sum()))
+            out["k"].append(int((logs > 0).sum()))   # log10(c + 0.1) is above 0 from c = 1 on
+            out["base"].append(float(logs.sum() - len(words) * floor))
+            out["score"].append(float((log[np.searchsorted(key, k)] * c).sum()))
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(out["n"], pa.int64()),
                          pa.array(out["k"], pa.int64()), pa.array(np.full(len(out["n"]), tokens, dtype=np.int64)),
                          pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64())],
