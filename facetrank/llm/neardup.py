@@ -11,10 +11,18 @@ similarity.  The triple (r, c, b) comes from a table of TRIPLES rows by a hash o
 weight grid makes a itself a table; ties are broken by a hash of the shingle.
 
 BANDS bands of ROWS samples make the candidates.  Equal word sequences are first made one (their least doc_id
-stands for them).  Within a bucket no pairs are enumerated: every member is compared with the bucket's
-least member, and with the least of the bucket's share it falls in, for SHARES shares by id.  Pairs are verified by
-exact weighted Jaccard similarity >= THRESHOLD on whole texts; the classes are the connected components of the
-verified links, by label propagation with pointer jumping, on tables in the shared folder.
+stands for them).  Pairs are verified by exact weighted Jaccard similarity >= THRESHOLD on whole texts; the classes
+are the connected components of the verified links, by label propagation with pointer jumping, on tables in the
+shared folder.
+
+Candidates come in two passes.  First every member of a bucket is compared with the bucket's least member, and with
+the least of the bucket's share it falls in, for SHARES shares by id; this settles groups of copies in linear time.
+Then buckets whose members are not yet of one class (a template shared by many texts) are gone through whole: all
+pairs of members of different classes, in cells of two groups of GROUP members, dealt to tasks by cell.  A pair is
+verified if at least AGREE of its BANDS x ROWS samples agree, which a pair of similarity THRESHOLD misses with
+probability 2e-6.  This pass grows with the square of the members of such a bucket.
+
+n_links counts the links that were verified to form the classes, not all similar pairs of a class.
 
 Edge cases: a text of 1 to SHINGLE - 1 words is one shingle; texts without a word (null, empty, blank) and
 rows without doc_id stand alone; rows that repeat a doc_id with different texts join classes through their
@@ -42,6 +50,8 @@ LOWEST = -32
 TRIPLES = 1 << 14
 SLOTS = 1 << 16
 SHARES = 16          # shares of a bucket with a least member of their own
+GROUP = 256          # members of a group, when all pairs of a bucket are gone through
+AGREE = 30           # equal samples of a pair worth verifying: P(Binomial(56, 0.8) < 30) = 2e-6
 CHUNK = 50_000       # shingles sampled at once
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 U64 = np.uint64
@@ -151,7 +161,8 @@ def word_idf(rows: DataFrame) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, idf) -> DataFrame:
-    """id, digest of the word sequence, and the BANDS band keys of every text with a word.  Written once."""
+    """id, digest of the word sequence, the BANDS band keys and the samples (4 bytes each) of every text with a word.
+    Written once."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         words, sampler, weights = Words(), Sampler(), idf.value
@@ -168,11 +179,13 @@ def signatures(rows: DataFrame, idf) -> DataFrame:
                     for j in range(BANDS):
                         for x in s[j * ROWS:(j + 1) * ROWS]:
                             bands[j] = mixed(bands[j] * U64(0x9E3779B97F4A7C15) + x)
-                flat = bands.T.astype(U64).view(np.int64).reshape(-1)
+                flat = np.ascontiguousarray(bands.T).view(np.int64).reshape(-1)
+                sketch = np.ascontiguousarray(mixed(s).T.astype("<u4"))
                 return pa.RecordBatch.from_arrays(
                     [pa.array([p[0] for p in pending], pa.int64()), pa.array([p[1] for p in pending], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(pending) + 1) * BANDS, pa.int32()), pa.array(flat))],
-                    names=["id", "digest", "bands"])
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(pending) + 1) * BANDS, pa.int32()), pa.array(flat)),
+                     pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    names=["id", "digest", "bands", "sketch"])
 
             for i, text in zip(ids, b.column("text"), strict=True):
                 w = words(text.as_py() or "")
@@ -188,14 +201,18 @@ def signatures(rows: DataFrame, idf) -> DataFrame:
                 yield flush()
 
     return written(rows.filter(F.col("id").isNotNull()).mapInArrow(
-        sign, "id long, digest binary, bands array<long>"), "near-signatures")
+        sign, "id long, digest binary, bands array<long>, sketch binary"), "near-signatures")
+
+
+def members(signed: DataFrame, *columns: str) -> DataFrame:
+    """Each representative in its BANDS buckets, with the share of the bucket it falls in."""
+    share = F.pmod(F.xxhash64("id", "band"), F.lit(SHARES)).cast("int")
+    return signed.select("id", *columns, F.posexplode("bands").alias("band", "key")).withColumn("share", share)
 
 
 def candidates(signed: DataFrame) -> DataFrame:
     """Distinct pairs a < b of representatives that share a band, at most 2 x BANDS for a text."""
-    rows = signed.select("id", F.posexplode("bands").alias("band", "key"))
-    share = F.pmod(F.xxhash64("id", "band"), F.lit(SHARES)).cast("int")
-    rows = rows.withColumn("share", share)
+    rows = members(signed)
     # least members by partial aggregates, however many share a key
     shares = rows.groupBy("band", "key", "share").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     least = shares.groupBy("band", "key").agg(F.min("least").alias("all_least"), F.sum("n").alias("n")).filter("n > 1")
@@ -207,6 +224,73 @@ def candidates(signed: DataFrame) -> DataFrame:
     return pairs.filter("a < b").distinct()
 
 
+def unsettled(signed: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
+    """The other pairs a < b worth verifying: of different classes in ``found``, in a bucket of three and more."""
+    classed = signed.join(found.withColumnRenamed("id", "_id").hint("merge"), F.col("id") == F.col("_id"), "left") \
+        .select("id", "bands", F.coalesce("class", "id").alias("class"))
+    rows = members(classed, "class")
+    shares = rows.groupBy("band", "key", "share").agg(
+        F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    whole = shares.groupBy("band", "key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # a bucket of two has been compared with its least member
+    open_ = whole.filter("n > 2 and low <> high").select(
+        "band", "key", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))
+    here = shares.select("band", "key", "share").join(open_.hint("merge"), ["band", "key"])
+    rows = written(rows.join(here.hint("merge"), ["band", "key", "share"]).drop("share"), "near-open")
+    # a member goes to the cells of its group with every group of the bucket
+    mine = F.pmod(F.xxhash64("key", "id"), F.col("groups")).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    rows = rows.select("id", "class", "band", "key", "mine", F.least("mine", "other").alias("lo"),
+                       F.greatest("mine", "other").alias("hi"))
+    rows = rows.join(signed.select("id", "sketch").hint("merge"), "id")
+    cells = rows.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
+
+    def compare(ids, own, mine, lo, hi, band, sketch) -> tuple[np.ndarray, np.ndarray]:
+        left, right = (np.flatnonzero(mine == lo), np.flatnonzero(mine == hi))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(left), 64):
+            some = left[at:at + 64]
+            same = sketch[some][:, None, :] == sketch[right][None, :, :]
+            good = (same.sum(2) >= AGREE) & (own[some][:, None] != own[right][None, :])
+            # once a pair: in the first band it shares
+            shared = same.reshape(*same.shape[:2], BANDS, ROWS).all(3)
+            good &= ~shared[:, :, :band].any(2)
+            if lo == hi:
+                good &= ids[some][:, None] < ids[right][None, :]
+            i, j = np.nonzero(good)
+            out.append((ids[some[i]], ids[right[j]]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([o[0] for o in out], [o[1] for o in out]))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []                            # the rows of the cell that may go on
+
+        def pairs_of(t: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+            col = {c: t.column(c).to_numpy() for c in ("id", "class", "mine", "lo", "hi", "band")}
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u4").reshape(-1, BANDS * ROWS)
+            found = [compare(col["id"][s:e], col["class"][s:e], col["mine"][s:e], col["lo"][s], col["hi"][s],
+                             int(col["band"][s]), sketch[s:e]) for s, e in zip(first[:-1], first[1:], strict=True) if e - s > 1]
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        def starts(t: pa.Table) -> np.ndarray:
+            cell = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "lo", "hi")])
+            return np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+            first = starts(t)
+            if len(first) > 1:
+                yield pairs_of(t.slice(0, first[-1]), first)
+            held = [t.slice(first[-1])]
+        if held:
+            yield pairs_of(held[0], np.array([0, held[0].num_rows]))
+
+    return written(cells.mapInArrow(run, "a long, b long").join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-more")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs whose texts are similar enough."""
     spark = pairs.sparkSession
@@ -262,13 +346,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     idf = spark.sparkContext.broadcast(word_idf(rows))
     signed = signatures(rows, idf)
     # equal word sequences become one; a doc_id with several texts is linked to each
-    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"),
+                                        F.first("sketch").alias("sketch"))
     member = written(signed.select("id", "digest").distinct().join(reps.select("digest", "rep"), "digest")
                      .select("id", "rep"), "near-members")
-    pairs = written(candidates(reps.select(F.col("rep").alias("id"), "bands")), "near-pairs")
+    reps = reps.select(F.col("rep").alias("id"), "bands", "sketch")
+    pairs = written(candidates(reps.select("id", "bands")), "near-pairs")
     links = written(verified(pairs, rows, idf, threshold).distinct(), "near-links")
     same = member.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     comp = components(links.unionByName(same))
+    more = unsettled(reps, comp, pairs)
+    more = written(verified(more, rows, idf, threshold).distinct(), "near-links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comp = components(links.unionByName(same))
     count = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     return (member.select("id").distinct().join(comp, "id", "left").join(count, "id", "left")
             .select("id", F.coalesce("class", "id").alias("class"),

@@ -229,6 +229,22 @@ def test_neardup_query(spark):
     assert len(set(got.values())) < len(got)
 
 
+def test_pairs_inside_a_template_shared_by_hundreds(spark):
+    """Texts that share most of their weight, with pairs of near copies that no hub belongs to."""
+    rng = np.random.default_rng(4)
+    template = [f"t{i}" for i in range(1400)]
+    rows = []
+    for p in range(150):
+        own = [f"p{p}w{i}" for i in range(16)]
+        for side in range(2):
+            end = [f"p{p}s{side}e{i}" for i in range(14 + p % 4)]
+            rows.append((int(rng.integers(1 << 40)), " ".join(template + own + end)))
+    want = brute_classes(spark, rows)
+    assert len(set(want.values())) == 150                           # the pairs; the template alone links nothing
+    got = {r.id: r["class"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_neardup_no_rows_and_blanks(spark, no_docs, edge_docs):
     assert neardup.classes(no_docs).count() == 0
     assert neardup.classes(edge_docs.filter("doc_id in (202, 203, 204)")).count() == 0
