@@ -6,8 +6,9 @@ regression on a bounded sample.  Decoding is loss-weighted: a bit counts by the
 language's own training texts on which its classifier was right; the codeword of least total loss
 wins, and a small gap to the next one flags the text as ambiguous.
 
-Training uses at most PER_LANGUAGE texts of each of the LANGUAGES most frequent labels, those with the
-smallest hash of their id; the thresholds of that hash come from an id-only pass.  Prediction reads
+Training uses every label, with at most PER_LANGUAGE texts each and SAMPLE in all (an even share a label, an error
+if there are more labels than that): those with the smallest hash of their id; the thresholds of that hash come
+from an id-only pass.  Prediction reads
 whole texts, and of a row nothing but the text.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; null labels are not
@@ -30,7 +31,7 @@ from .common import documents, ready
 
 DIM = 4096
 PER_LANGUAGE = 600    # training texts of a language at most
-LANGUAGES = 64        # languages at most, the most frequent labels
+SAMPLE = 38_400       # training texts of all languages together at most
 AMBIGUOUS = 0.05      # least gap, in score, between the best codeword and the next
 UNKNOWN = "und"
 RESULT = ("lang_pred", "score", "second", "ambiguous")
@@ -65,9 +66,10 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
         return np.array(cols, dtype=np.float32).T.reshape(n, -1)
     rng, bits = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n)))
     best, far = None, -1
-    for _ in range(200):
+    for _ in range(int(min(200, max(1, 4e9 // (n * n * bits))))):    # fewer draws where each is dear
         code = rng.choice([-1.0, 1.0], size=(n, bits)).astype(np.float32)
-        gap = ((bits - code @ code.T) / 2 + np.eye(n) * bits).min()
+        gap = min(((bits - code[i:i + 1000] @ code.T) / 2 + np.eye(len(code[i:i + 1000]), n, i) * bits).min()
+                  for i in range(0, n, 1000))
         if gap > far and (np.abs(code.sum(0)) < n).all():
             best, far = code, gap
     return best
@@ -124,21 +126,21 @@ class Model:
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-        per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Train on a bounded sample: at most ``languages`` x ``per_language`` texts reach the driver, as vectors."""
+        per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
+    """Train on a bounded sample of every label: at most ``sample`` texts reach the driver, as vectors."""
     h = F.xxhash64(F.col(id_col))
     ids = docs.filter(train & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(label_col).cast("string").alias("label"), h.alias("h"))
-    top = [r["label"] for r in ids.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()]
+    labels = ids.select("label").distinct().count()
+    if not labels:
+        return Model([], np.zeros((0, DIM), np.float32), np.zeros(0, int))
+    each = min(per_language, sample // labels)
+    if not each:
+        raise ValueError(f"{labels} labels, but the sample holds {sample} texts: less than one a label")
     # the smallest hashes of each label: planned with a limit per group in every task, before the shuffle
     first = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    least = ids.filter(F.col("label").isin(top)).withColumn("r", first).filter(F.col("r") <= per_language) \
-        .groupBy("label").agg(F.max("h").alias("h")).collect()
-    if not least:
-        return Model([], np.zeros((0, DIM), np.float32), np.zeros(0, int))
-    chosen = F.lit(False)
-    for r in least:
-        chosen = chosen | ((F.col(label_col).cast("string") == r["label"]) & (h <= r["h"]))
+    least = ids.withColumn("r", first).filter(F.col("r") <= each) \
+        .groupBy(F.col("label").alias("_label")).agg(F.max("h").alias("_least"))   # at most ``sample`` rows
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,10 +150,14 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                 [pa.array([x for x, _ in keep], pa.string()),
                  pa.array([features(t).astype("<f2").tobytes() for _, t in keep], pa.binary())], names=["label", "v"])
 
-    rows = docs.filter(train & F.col(text_col).isNotNull() & chosen).select(
-        F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")) \
-        .mapInArrow(vectors, "label string, v binary").groupBy("label", "v").agg(F.count(F.lit(1)).alias("n")) \
-        .orderBy("label", "v").limit(languages * per_language).collect()
+    chosen = docs.filter(train & F.col(text_col).isNotNull()).select(
+        F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), h.alias("h")) \
+        .join(F.broadcast(least), (F.col("label") == F.col("_label")) & (F.col("h") <= F.col("_least"))) \
+        .select("label", "text").mapInArrow(vectors, "label string, v binary")
+    # rows that repeat an id share its hash: their label is cut to its share, not the labels to the sample
+    rows = chosen.groupBy("label", "v").agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("v"))).filter(F.col("r") <= each) \
+        .orderBy("label", "v").collect()
     names = sorted({r["label"] for r in rows})
     x = np.stack([np.frombuffer(r["v"], "<f2") for r in rows]).astype(np.float32) if rows else np.zeros((0, DIM), np.float32)
     return Model(names, x, np.array([names.index(r["label"]) for r in rows], dtype=int))

@@ -41,6 +41,21 @@ def test_langid_edges(spark, edge_docs, no_docs):
     assert {r.lang_pred for r in langid.identify(edge_docs, one).collect()} == {"en", "und"}
 
 
+def test_langid_learns_every_label(spark):
+    rng = np.random.default_rng(2)
+    lex = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for _ in range(90)]
+    rows = [(100 * n + i, " ".join(rng.choice(lex[n], 30)), f"l{n:02}") for n in range(90) for i in range(8 if n < 64 else 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    train = F.col("doc_id") % 100 != 0
+    model = langid.fit(docs, train)
+    assert model.languages == [f"l{n:02}" for n in range(90)]
+    got = langid.identify(docs.filter(~train), model).collect()
+    assert len(got) == 90 and sum(r.lang_pred == r.lang for r in got) >= 86
+    assert langid.fit(docs, train, sample=100).languages == model.languages       # one text each
+    with pytest.raises(ValueError, match="90 labels"):
+        langid.fit(docs, train, sample=89)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 7, 20])
 def test_codewords_are_distinct(n):
     code = langid.codewords(n)
