@@ -88,6 +88,25 @@ def totals(rows: DataFrame, targets: dict | None) -> list[tuple]:
     return [(s, b, False) for s, b in top] + ([(None, rest, True)] if rest else [])
 
 
+def in_order(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """hash, id, size and checksum of a row: rows of a queue sorted by them are in the order of (slot, offset)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10)
+            .cast("long").alias("_h"), F.col(id_col).alias("_id"),
+            (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc")]
+
+
+def allotted(rows: DataFrame, targets: dict[str | None, int] | None = None,
+             period: int = PERIOD) -> tuple[list[tuple], dict[int, int]]:
+    """(source, bytes, whether shared) of the queues by number, and their slots, for rows with _source and _size."""
+    found = totals(rows, targets)
+    # queues are numbered by name; a null source first, the shared queue last
+    found.sort(key=lambda x: (x[2], x[0] is not None, str(x[0])))
+    weights = {i: (targets[s] if targets is not None and not r else max(1, math.isqrt(b)))
+               for i, (s, b, r) in enumerate(found)}
+    return found, shares(weights, period)
+
+
 def mix(docs: DataFrame, targets: dict[str | None, int] | None = None, period: int = PERIOD,
         block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -99,20 +118,11 @@ def mix(docs: DataFrame, targets: dict[str | None, int] | None = None, period: i
     """
     spark = docs.sparkSession
     ready(spark)
-    text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
-        F.col(source_col).alias("_source"), (F.octet_length(text) + 1).cast("long").alias("_size"),
-        F.col(id_col).alias("_id"), F.crc32(text.cast("binary")).alias("_crc"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10)
-        .cast("long").alias("_h"))
-    found = totals(rows.select("_source", "_size"), targets)
-    # queues are numbered by name; a null source first, the shared queue last
-    found.sort(key=lambda x: (x[2], x[0] is not None, str(x[0])))
-    weights = {i: (targets[s] if targets is not None and not r else max(1, math.isqrt(b)))
-               for i, (s, b, r) in enumerate(found)}
-    plan = schedule(spark, shares(weights, period), period) if weights else small_table(
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
+                       F.col(source_col).alias("_source"), *in_order(id_col, text_col))
+    found, slots = allotted(rows.select("_source", "_size"), targets, period)
+    plan = schedule(spark, slots, period) if slots else small_table(
         spark, [], [("queue", "int"), ("k", "int"), ("slot", "int"), ("release", "long"), ("deadline", "long"),
                     ("n", "int")])
     shared = next((i for i, x in enumerate(found) if x[2]), None)

@@ -1,5 +1,7 @@
 """The pipeline against its stages worked out one by one by brute force."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,35 @@ def test_stages_and_run(spark, edge_docs, source, tmp_path):
     check_packed(step("pack", four).collect(), [(r.doc_id, r.text) for r in four.collect()])
 
 
+def test_packed_stream_follows_the_mixing(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(i, "word%d and some more " % i * (10 + i % 7), s) for i, s in enumerate(["big"] * 900 + ["mid"] * 90 + [None] * 60)],
+        "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    stages = dict(corpus_pipeline.STAGES)
+    path = str(tmp_path / "mixed")
+    stages["mix"](spark, docs, SF).repartition(5).write.parquet(path)      # read again in any order
+    got = sorted(stages["pack"](spark, spark.read.parquet(path), SF).collect(), key=lambda p: (p.sequence_id, p.offset))
+    mixed = mixing.mix(docs).orderBy("slot", "offset").collect()
+    per, seen, places = {}, {}, {}
+    for p in got:
+        if p.start == 0:
+            seen.setdefault(p.queue, []).append(p.doc_id)
+        places.setdefault(p.queue, []).append((p.sequence_id, p.length))
+    label = lambda s: "\x00null" if s is None else s
+    for r in mixed:
+        per.setdefault(label(r.source), []).append(r.doc_id)
+    assert seen == per
+    size = {}
+    for r in mixed:
+        size[label(r.source)] = size.get(label(r.source), 0) + r["size"]
+    total = sum(math.isqrt(b) for b in size.values())
+    head = min(max(s for s, _ in x) for x in places.values())              # windows before the first queue is dry
+    assert head > 5
+    for q, x in places.items():
+        sent = sum(n for s, n in x if s < head)
+        assert abs(sent - head * 2048 * math.isqrt(size[q]) / total) < 2048 / 10 + 0.01 * head * 2048
+
+
 def test_run_is_the_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
