@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (langid, mixing, neardup, neighbours, packing, quality, scoring, secrets, sharding,
+from . import (langid, mixing, neardup, neighbours, packing, phrases, quality, scoring, secrets, sharding,
                substrings)
 
 QUERIES = {
@@ -16,8 +16,10 @@ QUERIES = {
     "op8_nearest": neighbours.op8_nearest,
     "op9_score": scoring.op9_score,
     "op10_shards": sharding.op10_shards,
+    "op11_phrases": phrases.op11_phrases,
 }
 
 SQL = {
     "op1_mix": mixing.SQL,
+    "op11_phrases": phrases.SQL,
 }
