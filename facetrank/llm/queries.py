@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (langid, mixing, neardup, neighbours, packing, phrases, quality, scoring, secrets, sharding,
+from . import (divergence, langid, mixing, neardup, neighbours, packing, phrases, quality, scoring, secrets, sharding,
                substrings)
 
 QUERIES = {
@@ -17,9 +17,11 @@ QUERIES = {
     "op9_score": scoring.op9_score,
     "op10_shards": sharding.op10_shards,
     "op11_phrases": phrases.op11_phrases,
+    "op12_audit": divergence.op12_audit,
 }
 
 SQL = {
     "op1_mix": mixing.SQL,
     "op11_phrases": phrases.SQL,
+    "op12_audit": divergence.SQL,
 }
