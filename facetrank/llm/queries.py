@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (divergence, langid, mixing, neardup, neighbours, packing, phrases, quality, scoring, secrets, sharding,
-               substrings)
+from . import (divergence, langid, mixing, neardup, neighbours, packing, phrases, private, quality, scoring, secrets,
+               sharding, substrings)
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_shards": sharding.op10_shards,
     "op11_phrases": phrases.op11_phrases,
     "op12_audit": divergence.op12_audit,
+    "op13_private": private.op13_private,
 }
 
 SQL = {
