@@ -26,7 +26,9 @@ from .lexical import RANK_DIGITS, rank_within
 
 QUERY_BLOCK = 256
 NORM_FLOOR = 1e-12
-LSH_TABLES, LSH_BITS, LSH_DIM = 8, 6, 64
+# recall of the exact top 50 on the given vectors: 0.94 and 0.97 at sf0.01 and sf0.1 (they have next to no structure, so
+# this takes nearly all pairs; ``ann`` has the index for vectors that cluster)
+LSH_TABLES, LSH_BITS, LSH_DIM = 10, 2, 64
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import RETRIEVAL_TOP_N
 from ..functions.vectors import cosine, dot, l2_normalize
-from ..operators import dense, encode
+from ..operators import ann, dense, encode
 from ..sources import fixtures as fx
+from .oracle import QVEC, dense_ranked
 from .oracle import cosine as sql_cos
 
 DIMS = 64
@@ -72,6 +73,11 @@ def q_dense_topk_lsh(spark, sf):
         "query_id", "aspect", "doc_id", F.round("sim", 6).alias("sim"), "rank")
 
 
+def q_dense_topk_ivf(spark, sf):
+    return ann.dense_topk_ivf(fx.vectors(spark, sf), fx.query_vectors(spark, sf)).select(
+        "query_id", "aspect", "doc_id", F.round("sim", 6).alias("sim"), "rank")
+
+
 def _bucket_sql(v: str, plane_rows: list[list[float]]) -> str:
     lists = [f"[{', '.join(f'{x:.0f}' for x in p)}]::DOUBLE[]" for p in plane_rows]
     return " + ".join(f"(CASE WHEN list_dot_product({v}, {p}) >= 0 THEN {2 ** b} ELSE 0 END)" for b, p in enumerate(lists))
@@ -94,6 +100,12 @@ SELECT query_id, aspect, doc_id, round(sim, 6) AS sim, rank FROM r WHERE rank <=
 
 SQL_LSH = _lsh_sql()
 
+# the index skips cells, not results: the SQL compares every pair
+SQL_IVF = f"""WITH queries AS (SELECT item_id AS query_id FROM benchmark),{QVEC},
+corp AS (SELECT vec_id AS doc_id, CAST(label AS VARCHAR) AS aspect, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+{dense_ranked('corp', None)[1:]}
+SELECT query_id, aspect, doc_id, round(sim, 6) AS sim, rank FROM dense"""
+
 REGISTRY = {
     "encode_texts": (q_encode_texts, SQL_ENCODE),
     "mean_pool": (q_mean_pool, SQL_POOL),
@@ -101,4 +113,5 @@ REGISTRY = {
     "cosine_pairs": (q_cosine_pairs, SQL_COS),
     "dot_pairs": (q_dot_pairs, SQL_DOT),
     "dense_topk_lsh": (q_dense_topk_lsh, SQL_LSH),
+    "dense_topk_ivf": (q_dense_topk_ivf, SQL_IVF),
 }

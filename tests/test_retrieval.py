@@ -202,19 +202,29 @@ def test_lsh_returns_exact_cosines_in_rank_order(spark):
         assert sims == sorted(sims, reverse=True) and len(g) <= 5
 
 
-def test_lsh_prunes_and_finds(spark):
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_lsh_recall(spark, sf):
     from facetrank.operators import dense
     from facetrank.sources import fixtures as fx
-    sf = "/root/testdata/sf0.01"
     corpus, qv = fx.vectors(spark, sf), fx.query_vectors(spark, sf)
-    every = corpus.count() * qv.count()
-    assert dense.lsh_pairs(corpus, qv).count() < 0.2 * every
-    top = lambda df: {(r["query_id"], r["doc_id"]) for r in df.where("rank <= 5").collect()}
+    top = lambda df: {(r["query_id"], r["aspect"], r["doc_id"]) for r in df.collect()}
     exact, found = top(dense.dense_topk(corpus, qv)), top(dense.dense_topk_lsh(corpus, qv))
-    assert len(exact & found) / len(exact) > 0.15   # far above the share of pairs compared for the nearest ones
-    near = dense.dense_topk(corpus, qv).where("sim > 0.7").select("query_id", "doc_id")
-    hit = near.join(dense.lsh_pairs(corpus, qv), ["query_id", "doc_id"], "left_semi").count()
-    assert hit / near.count() > 0.6
+    assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_lsh_prunes_vectors_that_cluster(spark):
+    import numpy as np
+
+    from facetrank.operators import dense
+    rng = np.random.default_rng(1)
+    m = rng.standard_normal((40, 64))[rng.integers(0, 40, 2000)] + 0.05 * rng.standard_normal((2000, 64))
+    corpus = spark.createDataFrame([(i, "x", v.tolist()) for i, v in enumerate(m)], "doc_id long, aspect string, vector array<double>")
+    qv = corpus.where("doc_id % 40 = 0").selectExpr("doc_id as query_id", "vector")
+    pairs = dense.lsh_pairs(corpus, qv, tables=8, bits=6)
+    assert pairs.count() < 0.3 * 2000 * 50
+    near = dense.dense_topk(corpus, qv, n=20).where("sim > 0.9").select("query_id", "doc_id")
+    hit = near.join(pairs, ["query_id", "doc_id"], "left_semi").count()
+    assert hit / near.count() >= 0.9
 
 
 def test_dense_blocks_agree(spark):
