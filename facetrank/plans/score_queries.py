@@ -15,6 +15,7 @@ from ..functions.text import negation_factor as neg_expr
 from ..operators import profile, reshape, scoring, sentiment
 from ..operators.lexical import rank_within
 from ..sources import fixtures as fx
+from ..streaming import profile as streaming
 from . import sqlx
 from .oracle import cosine as sql_cos
 from .sqlx import NVEC, lit
@@ -370,7 +371,28 @@ SELECT user_id, feature, round(points, 6) AS points FROM pts2"""
 
 
 def q_active_interests(spark, sf):
-    return profile.active_interests(points_v1(_hd(spark, sf))).select("user_id", "feature", _r6("points"))
+    """Every user starts with all thirteen counters at zero; those still at zero are not active."""
+    hd = _hd(spark, sf)
+    base = hd.actions.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(f) for f in F13])).alias("feature"))
+    counters = base.join(points_v1(hd), ["user_id", "feature"], "left").select(
+        "user_id", "feature", F.coalesce("points", F.lit(0.0)).alias("points"))
+    return profile.active_interests(counters).select("user_id", "feature", _r6("points"))
+
+
+def _streamed(spark, sf, features, rules):
+    return streaming.streamed_profile(fx.table(spark, sf, "events"), fx.hall_features(spark, sf, features), rules)
+
+
+def q_stream_clicks(spark, sf):
+    return _streamed(spark, sf, F3, fixed.ACTION_POINTS_CLICKS).select("user_id", "feature", F.col("points").alias("v"))
+
+
+def q_stream_points(spark, sf):
+    return _streamed(spark, sf, F13, fixed.ACTION_POINTS_V1).select("user_id", "feature", _r6("points"))
+
+
+def q_stream_points_v2(spark, sf):
+    return _streamed(spark, sf, F13, fixed.ACTION_POINTS_V2).select("user_id", "feature", _r6("points"))
 
 
 SQL_ACTIVE = f"""{BASE}, {_points(fixed.ACTION_POINTS_V1, 'pts1')}
@@ -559,6 +581,9 @@ REGISTRY = {
     "profile_points": (q_profile_points, SQL_PTS1),
     "profile_points_v2": (q_profile_points_v2, SQL_PTS2),
     "active_interests": (q_active_interests, SQL_ACTIVE),
+    "stream_clicks": (q_stream_clicks, SQL_CLICKS),
+    "stream_points": (q_stream_points, SQL_PTS1),
+    "stream_points_v2": (q_stream_points_v2, SQL_PTS2),
     "sentiment_scores": (q_sentiment_scores, SQL_SENT_SCORES),
     "score_pivot": (q_score_pivot, SQL_PIVOT),
     "score_means": (q_score_means, SQL_MEANS),

@@ -101,14 +101,16 @@ FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"""
 
 
 def q_vector_upsert(spark, sf):
-    """Old rows: every embedding (version 0).  New load: every embedding shifted by
-    n/2 ids with its vector negated (version 1): half updates, half inserts."""
+    """A stored table of every embedding (version 0), and a load of every embedding shifted by n/2 ids with its vector
+    negated (version 1): half updates, half inserts."""
     v = fx.vectors(spark, sf)
     n = fx.table(spark, sf, "embeddings").select(F.count(F.lit(1))).scalar()
     old = v.withColumn("version", F.lit(0))
     new = v.select((F.col("doc_id") + F.floor(n / 2)).cast("long").alias("doc_id"), "aspect",
                    F.transform("vector", lambda x: -x).alias("vector"), F.lit(1).alias("version"))
-    return upsert.upsert(old, new).select("doc_id", "aspect", "version", "vector")
+    table = upsert.KeyedTable(spark, shared_path(spark, "vector-table"), old.schema, ["doc_id"], "version").create(old)
+    table.merge(new)
+    return table.read().select("doc_id", "aspect", "version", "vector")
 
 
 SQL_UPSERT = f"""WITH v AS (SELECT vec_id AS doc_id, CAST(label AS VARCHAR) AS aspect, embedding AS vector FROM embeddings),
