@@ -128,10 +128,14 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, query_aspects: DataFrame,
     """Top-n per (query, aspect), zero-score chunks included: query_id, aspect, doc_id, score, rank."""
     index = index or build_index(chunks, epsilon)
     scores = bm25_scores(index, queries, query_aspects, k1, b)
-    ids = index.docs.select("aspect", "doc_id")
+    return padded(scores, index.docs.select("aspect", "doc_id"), index.aspects, query_aspects, n)
+
+
+def padded(scores: DataFrame, ids: DataFrame, aspects: DataFrame, query_aspects: DataFrame, n: int) -> DataFrame:
+    """The top n of scored chunks and of chunks that score 0 (``ids``: aspect, doc_id of every chunk)."""
     first_n = (ids.withColumn("_rn", F.row_number().over(Window.partitionBy("aspect").orderBy("doc_id")))
                .where(F.col("_rn") <= n).drop("_rn"))
-    neg = F.broadcast(index.aspects.where(F.col("eps") < 0).select("aspect"))
+    neg = aspects.where(F.col("eps") < 0).select("aspect")
     pad = first_n.unionByName(ids.join(neg, "aspect", "left_semi")).distinct()
     qa = query_aspects.select("query_id", "aspect")
     pad_q = qa.join(pad, "aspect")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense, fusion, intent, lexical, metrics, rerank, rollup
+from ..operators import dense, fusion, intent, lexical, metrics, postings, rerank, rollup
 from ..sources import fixtures as fx
 from . import two_stage as ts
 
@@ -36,6 +36,13 @@ def q_bm25_topk(spark, sf):
         "query_id", "aspect", "doc_id", _r6("score"), "rank")
 
 
+def q_bm25_topk_stored(spark, sf):
+    q = fx.queries(spark, sf)
+    qa = lexical.all_aspects(q, fx.DOCUMENT_ASPECTS)
+    index = postings.load(spark, postings.store(fx.chunks(spark, sf)))
+    return postings.search(index, q, qa).ranked.select("query_id", "aspect", "doc_id", _r6("score"), "rank")
+
+
 def q_dense_topk(spark, sf):
     return dense.dense_topk(fx.vectors(spark, sf), fx.query_vectors(spark, sf)).select(
         "query_id", "aspect", "doc_id", _r6("sim"), "rank")
@@ -115,6 +122,7 @@ def q_eval_metrics(spark, sf):
 CORE: dict[str, Query] = {
     "bm25_stats": q_bm25_stats,
     "bm25_topk": q_bm25_topk,
+    "bm25_topk_stored": q_bm25_topk_stored,
     "dense_topk": q_dense_topk,
     "rrf": q_rrf,
     "intent_aspects": q_intent_aspects,

@@ -199,6 +199,7 @@ SELECT query_id, n_gold,
        round(CASE WHEN {ideal_dcg('n_gold')} > 0 THEN coalesce(dcg, 0.0) / ({ideal_dcg('n_gold')}) ELSE 0.0 END, 6) AS ndcg
 FROM m""",
     }
+    out["bm25_topk_stored"] = out["bm25_topk"]
     return out
 
 
