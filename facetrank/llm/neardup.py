@@ -1,59 +1,65 @@
 """Near-duplicate documents: consistent weighted sampling of TF-IDF shingles, banded and verified.
 
 A text is its bag of SHINGLE-word shingles.  A shingle weighs its count times the mean inverse document
-frequency of its words, rounded to a geometric grid of ratio GRID.  Document frequencies are counted over all
-texts in SLOTS hashed slots (a proven size), so the table fits any task however large the corpus.
+frequency of its words.  Document frequencies are counted over all texts in SLOTS hashed slots (a fixed size, so the
+table fits any task however large the corpus).
 
 Improved consistent weighted sampling draws, for hash k and shingle i of weight S, r and c from
 Gamma(2, 1) and b from U(0, 1), and takes t = floor(ln S / r + b), a = c exp(-r (t - b + 1)); the least a
 gives the sample (i, t).  Two texts agree on a sample with probability equal to their weighted Jaccard
-similarity.  The triple (r, c, b) comes from a table of TRIPLES rows by a hash of (k, i), which with the
-weight grid makes a itself a table; ties are broken by a hash of the shingle.
+similarity.  The triple (r, c, b) comes from a table of TRIPLES rows by a hash of (k, i).  For sampling alone,
+weights are rounded to a geometric grid of ratio GRID, which makes a a table (of as many levels as the largest
+weight needs); ties are broken by a hash of the shingle.
 
-BANDS bands of ROWS samples make the candidates.  Equal word sequences are first made one (their least doc_id
-stands for them).  Pairs are verified by exact weighted Jaccard similarity >= THRESHOLD on whole texts; the classes
+BANDS bands of ROWS samples make the candidates.  Equal word sequences are first made one node.  Candidates are
+verified by weighted Jaccard similarity >= THRESHOLD of the whole texts, on the weights as they are; the classes
 are the connected components of the verified links, by label propagation with pointer jumping, on tables in the
 shared folder.
 
 Candidates come in two passes.  First every member of a bucket is compared with the bucket's least member, and with
-the least of the bucket's share it falls in, for SHARES shares by id; this settles groups of copies in linear time.
-Then buckets whose members are not yet of one class (a template shared by many texts) are gone through whole: all
-pairs of members of different classes, in cells of two groups of GROUP members, dealt to tasks by cell.  A pair is
-verified if at least AGREE of its BANDS x ROWS samples agree, which a pair of similarity THRESHOLD misses with
-probability 2e-6.  This pass grows with the square of the members of such a bucket.
+the least of the bucket's share it falls in, for SHARES shares by node; this settles groups of copies in linear time.
+Then buckets whose members are not yet of one class (a template shared by many texts) are gone through whole, in cells of
+two groups of GROUP members.  A cell holds its members' texts and takes pairs of different classes in order of how
+many of their samples agree (at least AGREE of BANDS x ROWS, which a pair of similarity THRESHOLD misses with
+probability 2e-6); a pair whose classes an earlier pair has joined is passed over, and so is one that the distances to
+a few pivots rule out (1 - similarity is a metric).  A cell sends only the links that joined classes: fewer than it has
+members.  The cells of a bucket grow with the square of its groups.
 
 n_links counts the links that were verified to form the classes, not all similar pairs of a class.
 
-Edge cases: a text of 1 to SHINGLE - 1 words is one shingle; texts without a word (null, empty, blank) and
-rows without doc_id stand alone; rows that repeat a doc_id with different texts join classes through their
-doc_id; an empty table gives no rows; other columns are ignored.
+Edge cases: a text of 1 to SHINGLE - 1 words is one shingle; texts without a word (null, empty, blank) stand alone;
+rows are known by doc_id and text, so rows of one doc_id with different texts are of one class only if the texts are
+alike, and rows without doc_id belong to the class of their text; a class is named by its least doc_id (null if it has
+none); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, ready, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
-GRID = 1.1           # ratio of neighbouring weights
-LEVELS = 128         # weights from GRID**-32 (0.05) to GRID**95 (8,500), the ends held
+GRID = 1.1           # ratio of neighbouring weights, in sampling
+LEVELS = 128         # levels at first, from GRID**LOWEST; more when a weight needs them
 LOWEST = -32
 TRIPLES = 1 << 14
-SLOTS = 1 << 16
+SLOTS = 1 << 20
+PACK = 1 << 12       # slots that reach the driver as one row
 SHARES = 16          # shares of a bucket with a least member of their own
-GROUP = 256          # members of a group, when all pairs of a bucket are gone through
+GROUP = 512          # members of a group, when a bucket is gone through whole
+PIVOTS = 4
 AGREE = 30           # equal samples of a pair worth verifying: P(Binomial(56, 0.8) < 30) = 2e-6
 CHUNK = 50_000       # shingles sampled at once
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+WORDS_HELD = 500_000
 U64 = np.uint64
 
 
@@ -64,30 +70,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-class Words:
+class Words(dict):
     """64-bit hashes of words, cached; the cache starts anew when full."""
 
-    def __init__(self, most: int = 500_000):
-        self.cache: dict[str, int] = {}
-        self.most = most
-
-    def __call__(self, text: str) -> np.ndarray:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
-        w = WORD.findall(text)
-        cache = self.cache
-        if len(cache) > self.most:
-            cache.clear()
-        for x in set(w):
-            if x not in cache:
-                cache[x] = xxhash.xxh3_64_intdigest(x)
-        return np.fromiter(map(cache.__getitem__, w), dtype=U64, count=len(w))
+        if len(self) >= WORDS_HELD:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def __call__(self, text: str | bytes) -> np.ndarray:
+        # bytes are cut at exactly the six blanks
+        w = (text.encode("utf-8", "replace") if isinstance(text, str) else text).split()
+        return np.fromiter(map(self.__getitem__, w), dtype=U64, count=len(w))
 
 
 def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of a text and their weight levels."""
+    """Sorted distinct shingle hashes of a text and their weights."""
     n = len(words)
     if not n:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0)
     k = min(SHINGLE, n)
     w = idf[(words & U64(SLOTS - 1)).astype(np.int64)]
     h, weight = np.zeros(n - k + 1, U64), np.zeros(n - k + 1)
@@ -95,24 +98,28 @@ def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for j in range(k):
             h = mixed(h * U64(0x9E3779B97F4A7C15) + words[j:n - k + 1 + j])
             weight = weight + w[j:n - k + 1 + j]
-    weight = weight / k
     by = np.argsort(h, kind="stable")
-    h, weight = h[by], weight[by]
+    h, weight = h[by], weight[by] / k
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     tf = np.diff(np.concatenate([at, [len(h)]]))
-    level = np.rint(np.log(tf * weight[at]) / np.log(GRID)).astype(np.int64) - LOWEST
-    return h[at], np.clip(level, 0, LEVELS - 1)
+    return h[at], tf * weight[at]
+
+
+def levels(weight: np.ndarray) -> np.ndarray:
+    """Places of weights on the sampling grid."""
+    return np.maximum(0, np.rint(np.log(weight) / np.log(GRID)).astype(np.int64) - LOWEST)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard: sum of minima over sum of maxima."""
-    if not len(a[0]) or not len(b[0]):
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
         return 0.0
-    grid = GRID ** np.arange(LOWEST, LOWEST + LEVELS)
-    wa, wb = grid[a[1]], grid[b[1]]
-    common, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = np.minimum(wa[ia], wb[ib]).sum()
-    return float(low / (wa.sum() + wb.sum() - low))
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    both = b[0][at] == a[0]
+    low = np.minimum(a[1][both], b[1][at[both]]).sum()
+    return float(low / (a[1].sum() + b[1].sum() - low))
 
 
 class Sampler:
@@ -120,16 +127,22 @@ class Sampler:
 
     def __init__(self, samples: int = BANDS * ROWS, seed: int = 5):
         rng = np.random.default_rng(seed)
-        r, c, b = rng.gamma(2, 1, TRIPLES), rng.gamma(2, 1, TRIPLES), rng.random(TRIPLES)
-        log_s = (np.arange(LEVELS) + LOWEST)[:, None] * np.log(GRID)
-        t = np.floor(log_s / r + b)
-        a = np.log(c) - r * (t - b + 1)                      # log a, for each level and triple
-        _, rank = np.unique(a, return_inverse=True)
-        self.rank = rank.reshape(-1).astype(U64) << U64(40)  # order of a on top, the shingle's hash below
+        self.r, self.c, self.b = rng.gamma(2, 1, TRIPLES), rng.gamma(2, 1, TRIPLES), rng.random(TRIPLES)
         self.odd = rng.integers(0, 2 ** 63, samples, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+        self._grow(LEVELS)
+
+    def _grow(self, count: int) -> None:
+        self.levels = count
+        log_s = (np.arange(count) + LOWEST)[:, None] * np.log(GRID)
+        t = np.floor(log_s / self.r + self.b)
+        a = np.log(self.c) - self.r * (t - self.b + 1)       # log a, for each level and triple
+        # order of a on top (24 bits, the same for any number of levels), the shingle's hash below
+        self.rank = np.clip((a + 100) / 120 * 2 ** 24, 0, 2 ** 24 - 1).astype(U64).reshape(-1) << U64(40)
 
     def __call__(self, h: np.ndarray, level: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """samples x texts keys; text j owns the shingles from starts[j] to the next."""
+        if level.max(initial=0) >= self.levels:
+            self._grow(int(level.max()) + 1)
         out = np.empty((len(self.odd), len(starts)), dtype=U64)
         base = level.astype(np.int64) * TRIPLES
         with np.errstate(over="ignore"):
@@ -142,76 +155,89 @@ class Sampler:
 
 
 def word_idf(rows: DataFrame) -> np.ndarray:
-    """ln(1 + N / df) of each hashed slot over all texts; SLOTS numbers reach the driver."""
+    """ln(1 + N / df) of each hashed slot over all texts; SLOTS numbers reach the driver, PACK of them a row."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, df, n = Words(), np.zeros(SLOTS + 1, dtype=np.int64), 0
+        words, df, n = Words(), np.zeros(SLOTS, dtype=np.int64), 0
         for b in batches:
             for text in b.column("text"):
-                slot = np.unique((words(text.as_py() or "") & U64(SLOTS - 1)).astype(np.int64))
-                df[slot] += 1
-                n += len(slot) > 0
-        df[SLOTS] = n                                        # texts with a word
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["slot", "df"])
+                h = words(text.as_py() or b"")
+                df[np.unique((h & U64(SLOTS - 1)).astype(np.int64))] += 1
+                n += len(h) > 0
+        at = [k for k in range(SLOTS // PACK) if df[k * PACK:(k + 1) * PACK].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*at, -1], pa.int32()), pa.array([df[k * PACK:(k + 1) * PACK].tobytes() for k in at] + [
+                np.int64(n).tobytes()], pa.binary())], names=["pack", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
+        return pa.table([table.column("pack").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["pack", "counts"])
 
-    df = np.zeros(SLOTS + 1)
-    for r in rows.select("text").mapInArrow(count, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df")).collect():
-        df[r["slot"]] = r["df"]
-    return np.log1p(max(1.0, df[SLOTS]) / np.maximum(1, df[:SLOTS]))
+    df, n = np.zeros(SLOTS), 1
+    schema = "pack int, counts binary"
+    for r in rows.select("text").mapInArrow(count, schema).groupBy("pack").applyInArrow(add, schema).collect():
+        if r["pack"] < 0:
+            n = max(1, int(np.frombuffer(r["counts"], np.int64)[0]))
+        else:
+            df[r["pack"] * PACK:(r["pack"] + 1) * PACK] = np.frombuffer(r["counts"], np.int64)
+    return np.log1p(n / np.maximum(1, df))
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def signatures(rows: DataFrame, idf) -> DataFrame:
-    """id, digest of the word sequence, the BANDS band keys and the samples (4 bytes each) of every text with a word.
-    Written once."""
+    """id, tkey (of the text), digest of the word sequence, the BANDS band keys and the samples (4 bytes each) of every text
+    with a word.  Written once."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         words, sampler, weights = Words(), Sampler(), idf.value
         for b in batches:
-            ids = b.column("id").to_pylist()
-            pending: list = []
+            held: list = []
             size = 0
 
-            def flush():
-                starts = np.concatenate([[0], np.cumsum([len(p[2]) for p in pending])[:-1]]).astype(np.int64)
-                s = sampler(np.concatenate([p[2] for p in pending]), np.concatenate([p[3] for p in pending]), starts)
-                bands = np.zeros((BANDS, len(pending)), U64)
+            def flush(id_, tkey):
+                starts = np.concatenate([[0], np.cumsum([len(p[2]) for p in held])[:-1]]).astype(np.int64)
+                s = sampler(np.concatenate([p[2] for p in held]), np.concatenate([p[3] for p in held]), starts)
+                bands = np.zeros((BANDS, len(held)), U64)
                 with np.errstate(over="ignore"):
                     for j in range(BANDS):
                         for x in s[j * ROWS:(j + 1) * ROWS]:
                             bands[j] = mixed(bands[j] * U64(0x9E3779B97F4A7C15) + x)
                 flat = np.ascontiguousarray(bands.T).view(np.int64).reshape(-1)
                 sketch = np.ascontiguousarray(mixed(s).T.astype("<u4"))
+                take = pa.array([p[0] for p in held], pa.int64())
                 return pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in pending], pa.int64()), pa.array([p[1] for p in pending], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(pending) + 1) * BANDS, pa.int32()), pa.array(flat)),
+                    [id_.take(take), tkey.take(take), pa.array([p[1] for p in held], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * BANDS, pa.int32()), pa.array(flat)),
                      pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    names=["id", "digest", "bands", "sketch"])
+                    names=["id", "tkey", "digest", "bands", "sketch"])
 
-            for i, text in zip(ids, b.column("text"), strict=True):
-                w = words(text.as_py() or "")
+            for i, text in enumerate(b.column("text")):
+                w = words(text.as_py() or b"")
                 if not len(w):
                     continue
-                h, level = shingles(w, weights)
-                pending.append((i, xxhash.xxh3_128_digest(w.tobytes()), h, level))
+                h, weight = shingles(w, weights)
+                held.append((i, xxhash.xxh3_128_digest(w.tobytes()), h, levels(weight)))
                 size += len(h)
                 if size > CHUNK:
-                    yield flush()
-                    pending, size = [], 0
-            if pending:
-                yield flush()
+                    yield flush(b.column("id"), b.column("tkey"))
+                    held, size = [], 0
+            if held:
+                yield flush(b.column("id"), b.column("tkey"))
 
-    return written(rows.filter(F.col("id").isNotNull()).mapInArrow(
-        sign, "id long, digest binary, bands array<long>, sketch binary"), "near-signatures")
+    return written(rows.select("id", "tkey", "text").mapInArrow(
+        sign, "id long, tkey binary, digest binary, bands array<long>, sketch binary"), "near-signatures")
 
 
 def members(signed: DataFrame, *columns: str) -> DataFrame:
-    """Each representative in its BANDS buckets, with the share of the bucket it falls in."""
+    """Each node in its BANDS buckets, with the share of the bucket it falls in."""
     share = F.pmod(F.xxhash64("id", "band"), F.lit(SHARES)).cast("int")
     return signed.select("id", *columns, F.posexplode("bands").alias("band", "key")).withColumn("share", share)
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of representatives that share a band, at most 2 x BANDS for a text."""
+    """Distinct pairs a < b of nodes that share a band, at most 2 x BANDS for a text."""
     rows = members(signed)
     # least members by partial aggregates, however many share a key
     shares = rows.groupBy("band", "key", "share").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
@@ -224,8 +250,8 @@ def candidates(signed: DataFrame) -> DataFrame:
     return pairs.filter("a < b").distinct()
 
 
-def unsettled(signed: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-    """The other pairs a < b worth verifying: of different classes in ``found``, in a bucket of three and more."""
+def open_buckets(signed: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets of three and more whose members are of several classes in ``found``: id, class, band, key, groups."""
     classed = signed.join(found.withColumnRenamed("id", "_id").hint("merge"), F.col("id") == F.col("_id"), "left") \
         .select("id", "bands", F.coalesce("class", "id").alias("class"))
     rows = members(classed, "class")
@@ -236,71 +262,119 @@ def unsettled(signed: DataFrame, found: DataFrame, tried: DataFrame) -> DataFram
     open_ = whole.filter("n > 2 and low <> high").select(
         "band", "key", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))
     here = shares.select("band", "key", "share").join(open_.hint("merge"), ["band", "key"])
-    rows = written(rows.join(here.hint("merge"), ["band", "key", "share"]).drop("share"), "near-open")
+    return written(rows.join(here.hint("merge"), ["band", "key", "share"]).drop("share"), "near-open")
+
+
+def cell_links(ids: np.ndarray, classes: np.ndarray, mine: np.ndarray, lo: int, hi: int, band: int, sketch: np.ndarray,
+               texts: list[bytes], words: Words, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Verified links that join classes within a cell: members of group ``lo`` with those of group ``hi``."""
+    left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+    one, two, agree = [], [], []
+    for at in range(0, len(left), 64):
+        some = left[at:at + 64]
+        same = sketch[some][:, None, :] == sketch[right][None, :, :]
+        count = same.sum(2)
+        good = (count >= AGREE) & (classes[some][:, None] != classes[right][None, :])
+        # once a pair: in the first band it shares
+        good &= ~same.reshape(*same.shape[:2], BANDS, ROWS).all(3)[:, :, :band].any(2)
+        if lo == hi:
+            good &= ids[some][:, None] < ids[right][None, :]
+        i, j = np.nonzero(good)
+        one.append(some[i])
+        two.append(right[j])
+        agree.append(count[i, j])
+    one, two, agree = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two, agree))
+    bags: dict[int, tuple] = {}
+
+    def bag(i: int) -> tuple:
+        if i not in bags:
+            bags[i] = shingles(words(texts[i]), idf)
+        return bags[i]
+
+    if len(one) > PIVOTS * len(ids):                     # distances to a few members rule most pairs out
+        pivots = np.unique(classes, return_index=True)[1][:PIVOTS]
+        for p in pivots.tolist():
+            far = np.array([1 - similarity(bag(i), bag(p)) for i in range(len(ids))])
+            near = np.abs(far[one] - far[two]) <= 1 - threshold + 1e-9
+            one, two, agree = one[near], two[near], agree[near]
+    parent = {c: c for c in classes.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for k in np.argsort(-agree, kind="stable").tolist():
+        i, j = int(one[k]), int(two[k])
+        a, b = root(int(classes[i])), root(int(classes[j]))
+        if a != b and similarity(bag(i), bag(j)) >= threshold:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
+
+
+def within(opened: DataFrame, nodes: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links between classes inside the open buckets."""
     # a member goes to the cells of its group with every group of the bucket
     mine = F.pmod(F.xxhash64("key", "id"), F.col("groups")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    rows = opened.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     rows = rows.select("id", "class", "band", "key", "mine", F.least("mine", "other").alias("lo"),
                        F.greatest("mine", "other").alias("hi"))
-    rows = rows.join(signed.select("id", "sketch").hint("merge"), "id")
-    cells = rows.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
-
-    def compare(ids, own, mine, lo, hi, band, sketch) -> tuple[np.ndarray, np.ndarray]:
-        left, right = (np.flatnonzero(mine == lo), np.flatnonzero(mine == hi))
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(left), 64):
-            some = left[at:at + 64]
-            same = sketch[some][:, None, :] == sketch[right][None, :, :]
-            good = (same.sum(2) >= AGREE) & (own[some][:, None] != own[right][None, :])
-            # once a pair: in the first band it shares
-            shared = same.reshape(*same.shape[:2], BANDS, ROWS).all(3)
-            good &= ~shared[:, :, :band].any(2)
-            if lo == hi:
-                good &= ids[some][:, None] < ids[right][None, :]
-            i, j = np.nonzero(good)
-            out.append((ids[some[i]], ids[right[j]]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([o[0] for o in out], [o[1] for o in out]))
-        return np.minimum(a, b), np.maximum(a, b)
+    held = nodes.select("id", "sketch").join(texts.hint("merge"), "id")
+    cells = rows.join(held.hint("merge"), "id").repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, weights = Words(), idf.value
         held: list[pa.Table] = []                            # the rows of the cell that may go on
 
-        def pairs_of(t: pa.Table, first: np.ndarray) -> pa.RecordBatch:
-            col = {c: t.column(c).to_numpy() for c in ("id", "class", "mine", "lo", "hi", "band")}
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u4").reshape(-1, BANDS * ROWS)
-            found = [compare(col["id"][s:e], col["class"][s:e], col["mine"][s:e], col["lo"][s], col["hi"][s],
-                             int(col["band"][s]), sketch[s:e]) for s, e in zip(first[:-1], first[1:], strict=True) if e - s > 1]
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
         def starts(t: pa.Table) -> np.ndarray:
             cell = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "lo", "hi")])
             return np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1])
 
+        def links_of(t: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+            col = {c: t.column(c).to_numpy() for c in ("id", "class", "mine", "lo", "hi", "band")}
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u4").reshape(-1, BANDS * ROWS)
+            found = []
+            for s, e in zip(first[:-1], first[1:], strict=True):
+                if e - s > 1:
+                    found += cell_links(col["id"][s:e], col["class"][s:e], col["mine"][s:e], col["lo"][s], col["hi"][s],
+                                        int(col["band"][s]), sketch[s:e], t.column("text").slice(s, e - s).to_pylist(), words,
+                                        weights, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
+                                               pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.concat_tables([*held, pa.Table.from_batches([batch])])
             first = starts(t)
             if len(first) > 1:
-                yield pairs_of(t.slice(0, first[-1]), first)
+                yield links_of(t.slice(0, first[-1]), first)
             held = [t.slice(first[-1])]
         if held:
-            yield pairs_of(held[0], np.array([0, held[0].num_rows]))
+            yield links_of(held[0], np.array([0, held[0].num_rows]))
 
-    return written(cells.mapInArrow(run, "a long, b long").join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-more")
+    return cells.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose texts are similar enough."""
-    spark = pairs.sparkSession
+def texts_of(rows: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
+    """id (of a node), text (as bytes): one text of each node in ``needed``."""
+    wanted = nodes.join(needed.hint("merge"), "id", "left_semi").select(
+        "id", F.col("tkey").alias("_tkey"), F.coalesce("first", F.lit(0)).alias("_first"), F.col("first").isNull().alias("_none"))
+    own = rows.select("text", "tkey", F.coalesce("id", F.lit(0)).alias("_own"), F.col("id").isNull().alias("_bare"))
+    on = (F.col("tkey") == F.col("_tkey")) & (F.col("_own") == F.col("_first")) & (F.col("_bare") == F.col("_none"))
+    return own.join(wanted.hint("merge"), on).select("id", "text").dropDuplicates(["id"])
+
 
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs whose texts are similar enough."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = Words(), idf.value
         for batch in batches:
             ok, kept = [], (None, None)
             for i, (ta, tb) in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
-                a, b = ta.as_py() or "", tb.as_py() or ""
+                a, b = ta.as_py(), tb.as_py()
                 if kept[0] != b:                            # rows come in runs of one text
                     kept = (b, shingles(words(b), weights))
                 if similarity(shingles(words(a), weights), kept[1]) >= threshold:
@@ -310,7 +384,7 @@ def verified(pairs: DataFrame, rows: DataFrame, idf, threshold: float = THRESHOL
 
     # both sides grow with the corpus: shuffled alike at every size, and hot texts split by the skew join
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = rows.join(needed.hint("merge"), "id", "left_semi").hint("merge")
+    texts = written(texts_of(rows, nodes, needed), "near-texts").hint("merge")
     half = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = half.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
@@ -338,36 +412,64 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "class")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, class, n_links for every id that has a word: links counts verified links between different texts."""
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each (doc_id, text) that has a word, as often as it occurs: id, tkey, class (a number), n_links."""
     spark = docs.sparkSession
     ready(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("tkey"),
+                       F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     idf = spark.sparkContext.broadcast(word_idf(rows))
     signed = signatures(rows, idf)
-    # equal word sequences become one; a doc_id with several texts is linked to each
-    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"),
-                                        F.first("sketch").alias("sketch"))
-    member = written(signed.select("id", "digest").distinct().join(reps.select("digest", "rep"), "digest")
-                     .select("id", "rep"), "near-members")
-    reps = reps.select(F.col("rep").alias("id"), "bands", "sketch")
-    pairs = written(candidates(reps.select("id", "bands")), "near-pairs")
-    links = written(verified(pairs, rows, idf, threshold).distinct(), "near-links")
-    same = member.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    comp = components(links.unionByName(same))
-    more = unsettled(reps, comp, pairs)
-    more = written(verified(more, rows, idf, threshold).distinct(), "near-links")
-    if not more.isEmpty():
+    # equal word sequences become one node; written, so that its number stays
+    one = signed.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tkey")).alias("one"),
+                                       F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = written(one.select("digest", F.col("one.id").alias("first"), F.col("one.tkey").alias("tkey"), "bands", "sketch",
+                               F.monotonically_increasing_id().alias("id")), "near-nodes")
+    pairs = written(candidates(nodes.select("id", "bands")), "near-pairs")
+    links = written(verified(pairs, rows, nodes, idf, threshold).distinct(), "near-links")
+    comp = components(links)
+    opened = open_buckets(nodes.select("id", "bands"), comp)
+    if not opened.isEmpty():
+        texts = texts_of(rows, nodes, opened.select("id").distinct())
+        more = written(within(opened, nodes, texts, idf, threshold).distinct(), "near-links")
         links = links.unionByName(more)
-        comp = components(links.unionByName(same))
+        comp = components(links)
     count = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    return (member.select("id").distinct().join(comp, "id", "left").join(count, "id", "left")
-            .select("id", F.coalesce("class", "id").alias("class"),
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    named = nodes.select("digest", "id").join(comp, "id", "left").join(count, "id", "left").select(
+        F.col("digest").alias("of"), F.coalesce("class", "id").alias("class"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return signed.select("id", "tkey", "digest").join(named, F.col("digest") == F.col("of")).select(
+        "id", "tkey", "class", "n_links")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id, tkey, class (its least doc_id), n_links for every distinct (doc_id, text) that has a word; n_links counts verified
+    links between different texts."""
+    found = written(classified(docs, id_col, text_col, threshold), "near-classes")
+    name = found.groupBy("class").agg(F.min("id").alias("name"))
+    rows = found.distinct().join(name.withColumnRenamed("class", "_class"), F.col("class") == F.col("_class"))
+    return rows.select("id", "tkey", F.col("name").alias("class"), "n_links")
+
+
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every class: the least doc_id (a null one last), of its rows one.  Rows without a word all stay."""
+    found = written(classified(docs, id_col, text_col), "near-classes")
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tkey")).alias("one"))
+    best = best.select(F.col("one.none").alias("_none"), F.coalesce("one.id", F.lit(0)).alias("_id"), F.col("one.tkey").alias("_tkey"))
+    text, own = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`").cast("long")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), own.isNull().alias("_none"),
+                        F.coalesce(own, F.lit(0)).alias("_id"), text_key(F.col(f"`{text_col}`")).alias("_tkey"),
+                        text.rlike(r"[^\x20\x09-\x0D]").alias("_word"))
+    keys = ["_none", "_id", "_tkey"]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    stay = whole.filter("_word").join(best.hint("merge"), keys, "left_semi").withColumn("_n", first).filter("_n = 1")
+    return whole.filter("not _word").select("doc.*").unionByName(stay.select("doc.*"))
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = classes(docs)
-    return docs.select("doc_id").join(found, docs["doc_id"] == found["id"], "left").select(
+    found = classes(docs).select(F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_none"), "tkey", "class", "n_links")
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"),
+                       F.col("doc_id").isNull().alias("_none"), text_key(F.col("text")).alias("tkey"))
+    return rows.join(found, ["_id", "_none", "tkey"], "left").select(
         "doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -236,6 +236,56 @@ def test_classes_match_brute_force(spark, edge_docs, edge_rows):
     assert all(got[100 + j] == 1 for j in range(6) if len(edge_rows[1][1].split()) > 100) and got[200] == got[201] == 2
 
 
+def plain_similarity(a, b, idf):
+    """Weighted Jaccard of TF-IDF shingles, without hashes or grids."""
+    def bag(words):
+        k = min(neardup.SHINGLE, len(words))
+        out = {}
+        for i in range(len(words) - k + 1):
+            g = tuple(words[i:i + k])
+            out[g] = out.get(g, 0) + sum(idf[w] for w in g) / k
+        return out
+    a, b = bag(a), bag(b)
+    return sum(min(a[g], b[g]) for g in a if g in b) / sum(max(a.get(g, 0), b.get(g, 0)) for g in a.keys() | b.keys())
+
+
+def test_similarity_is_plain_weighted_jaccard(edge_rows):
+    rng = np.random.default_rng(6)
+    lex = [f"w{i}" for i in range(60)]
+    texts = [list(rng.choice(lex, n)) for n in (40, 200, 3, 900)]
+    texts += [[*texts[1][:150], *rng.choice(lex, 40)], [*texts[3], *["a", "b", "c", "d", "e"] * 700], ["a", "b", "c", "d", "e"] * 900]
+    df = {w: sum(w in t for t in texts) for t in texts for w in t}
+    idf = {w: math.log(1 + len(texts) / n) for w, n in df.items()}
+    words, slots = neardup.Words(), np.zeros(neardup.SLOTS)
+    for w, v in idf.items():
+        slots[int(words(w)[0]) & (neardup.SLOTS - 1)] = v
+    bags = [neardup.shingles(words(" ".join(t)), slots) for t in texts]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert neardup.similarity(bags[i], bags[j]) == pytest.approx(plain_similarity(a, b, idf), abs=1e-9)
+
+
+def test_counts_of_repeated_words_are_not_clipped(spark):
+    """Five words 2,000 and 20,000 times: weighted Jaccard 0.1, two classes."""
+    rows = [(1, "a b c d e " * 2_000), (2, "a b c d e " * 20_000), (3, "a b c d e " * 19_000), (4, "x y z " * 10)]
+    got = {r.id: r["class"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def test_one_row_of_a_class_is_kept(spark):
+    a, b = "one two three four five six seven eight", "one two three four five six seven eight nine"
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, a, 5), (1, a, 5), (1, a, 5), (2, a, 6), (None, a, 7), (None, a, 7), (3, long, 1), (3, long + " end", 2), (4, long + " z", 3),
+            (None, b, 8), (None, b, 8), (9, None, 1), (9, None, 1), (None, "", 1), (None, " \t", 1), (5, " " + a + "  ", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int").repartition(3)
+    # the ninth word is rare and weighs more than the others: a and b are below 0.8
+    want = [(1, a, 5), (3, long, 1), (None, b, 8), (9, None, 1), (9, None, 1), (None, "", 1), (None, " \t", 1)]
+    got = [tuple(r) for r in neardup.kept(docs).collect()]
+    order = lambda x: sorted(x, key=str)
+    got = [x if x[1] != long + " end" else (3, long, 1) for x in got]     # two texts of doc_id 3: either may stand
+    assert order(got) == order(want)
+
+
 def test_neardup_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = brute_classes(spark, rows)
@@ -276,4 +326,9 @@ def test_samples_agree_as_often_as_weighted_jaccard_says():
         lb = np.array([dict(zip(a.tolist(), la.tolist(), strict=True)).get(x, 40) for x in pick[order].tolist()])
         sa = sampler(a, la, np.array([0]))[:, 0]
         sb = sampler(pick[order], lb, np.array([0]))[:, 0]
-        assert (sa == sb).mean() == pytest.approx(neardup.similarity((a, la), (pick[order], lb)), abs=0.05)
+        weight = lambda level: neardup.GRID ** (level + neardup.LOWEST)
+        assert (sa == sb).mean() == pytest.approx(neardup.similarity((a, weight(la)), (pick[order], weight(lb))), abs=0.05)
+        assert (neardup.levels(weight(la)) == la).all()
+    high = np.full(len(a), 400)                                      # levels beyond the first table
+    assert (sampler(a, high, np.array([0])) == neardup.Sampler(samples=2000)(a, high, np.array([0]))).all()
+    assert sampler.levels == 401
