@@ -6,13 +6,12 @@ negative idf is replaced by ``epsilon * mean idf`` of the aspect's vocabulary.
 
 Plan shape
 ----------
-* postings: one explode of the token array per chunk and a count per
-  (aspect, doc, term); the partial aggregate collapses repeated tokens inside
-  the map task, so only distinct postings are shuffled.
-* scoring: the query terms (a bounded batch, size checked) are broadcast and
-  the postings stream past them; no posting list is shuffled before the sum,
-  however common the term.  Partial aggregation then sums per (query, aspect,
-  doc).
+* postings: for a query batch, the tokens of a chunk are semi-joined with the batch's terms before anything is counted, so
+  only postings that some query asks for are shuffled.  Lengths are the sizes of the token arrays.
+* document frequencies need the whole vocabulary (its mean idf replaces negative ones): each chunk's distinct tokens,
+  pre-aggregated in the map task.
+* scoring: the batch's terms meet the postings by an equi-join; adaptive execution broadcasts the small side by its bytes
+  and splits a hot term.  Partial aggregation then sums per (query, aspect, doc).
 * padding: the top-n always has ``min(n, chunks in aspect)`` rows because
   unscored chunks score 0.  Candidates are the scored chunks plus the first n
   chunks of the aspect by id (a ``row_number() <= n`` window, planned with a
@@ -56,32 +55,40 @@ class Bm25Index:
     terms: DataFrame      # aspect, term, df, idf
 
 
-def build_index(chunks: DataFrame, epsilon: float = BM25_EPSILON, materialize: str | bool = "persist") -> Bm25Index:
-    """Tokenise the chunks once.
+def build_index(chunks: DataFrame, epsilon: float = BM25_EPSILON, materialize: str | bool = "persist",
+                queries: DataFrame | None = None) -> Bm25Index:
+    """Postings and statistics of the chunks.
 
+    queries: a batch the index is for; only postings of its terms are then made, and whole-corpus work is left to
+    the document frequencies, which are counted once a chunk and pre-aggregated before their shuffle.
     materialize: "persist" keeps the postings in executor memory/disk for the
     branches of one query batch (lost blocks are recomputed from the lineage);
     "checkpoint" writes them to the shared folder (``spark.checkpoint.dir``),
     cutting the lineage, for an index that outlives the batch; False plans inline.
+    Nothing runs before a result is asked for, but for "checkpoint".
     """
-    post = postings(chunks)
+    toks = chunks.select("aspect", "doc_id", tokens("text").alias("toks"))
+    post = postings(chunks) if queries is None else (
+        toks.select("aspect", "doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+        .join(query_terms(queries).select("term").distinct(), "term", "left_semi")
+        .groupBy("aspect", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     if materialize == "checkpoint":
         post = post.checkpoint(eager=True)
     elif materialize:
         post = post.persist(StorageLevel.MEMORY_AND_DISK)
-        post.count()
-    docs = post.groupBy("aspect", "doc_id").agg(F.max("dl").alias("dl"))
-    # one row per aspect: the aspect vocabulary is a fixed, small set
-    asp = F.broadcast(docs.groupBy("aspect").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
-    df_ = (post.where(F.col("term").isNotNull())
+    docs = toks.select("aspect", "doc_id", F.size("toks").alias("dl"))
+    asp = docs.groupBy("aspect").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df_ = (toks.select("aspect", F.explode(F.array_distinct("toks")).alias("term"))
            .groupBy("aspect", "term").agg(F.count(F.lit(1)).alias("df")))
     raw = (df_.join(asp.select("aspect", "n_docs"), "aspect")
            .withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    if materialize:
+        raw = raw.persist(StorageLevel.MEMORY_AND_DISK)     # read for the mean and for the terms
     mean = raw.groupBy("aspect").agg(F.avg("raw_idf").alias("mean_idf"))
     aspects = (asp.join(mean, "aspect", "left").withColumn("eps", F.lit(epsilon) * F.col("mean_idf")))
     if materialize:
         aspects = aspects.persist(StorageLevel.MEMORY_AND_DISK)
-    terms = (raw.join(F.broadcast(aspects.select("aspect", "eps")), "aspect")
+    terms = (raw.join(aspects.select("aspect", "eps"), "aspect")
              .select("aspect", "term", "df",
                      F.when(F.col("raw_idf") < 0, F.col("eps")).otherwise(F.col("raw_idf")).alias("idf")))
     return Bm25Index(post, docs, aspects, terms)
@@ -113,7 +120,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, query_aspects: DataFrame,
     qa = query_aspects.select("query_id", "aspect")
     wanted = (qt.join(qa, "query_id")
               .join(index.terms.select("aspect", "term", "idf"), ["aspect", "term"])
-              .join(F.broadcast(index.aspects.select("aspect", "avgdl")), "aspect"))
+              .join(index.aspects.select("aspect", "avgdl"), "aspect"))
     # the batch side is small in bytes as a rule and then broadcast at run time; a hot term is split by the skew join
     hits = index.postings.join(wanted, ["aspect", "term"])
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
@@ -126,7 +133,7 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, query_aspects: DataFrame,
               n: int = RETRIEVAL_TOP_N, k1: float = BM25_K1, b: float = BM25_B,
               epsilon: float = BM25_EPSILON, index: Bm25Index | None = None) -> DataFrame:
     """Top-n per (query, aspect), zero-score chunks included: query_id, aspect, doc_id, score, rank."""
-    index = index or build_index(chunks, epsilon)
+    index = index or build_index(chunks, epsilon, queries=queries)
     scores = bm25_scores(index, queries, query_aspects, k1, b)
     return padded(scores, index.docs.select("aspect", "doc_id"), index.aspects, query_aspects, n)
 

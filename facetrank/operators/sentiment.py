@@ -66,10 +66,10 @@ def sentiment_scores(docs: DataFrame, labelled: DataFrame, aspects: list[str]) -
 
 def similarity_buckets(docs: DataFrame, doc_vectors: DataFrame, ref_vectors: DataFrame,
                        aspects: list[str]) -> DataFrame:
-    """doc_id, item, model, score.  ref_vectors: (model, item, rvec) - bounded, broadcast."""
+    """doc_id, item, model, score.  ref_vectors: (model, item, rvec).  A document without a vector scores 0."""
     d = (docs.select("doc_id", "text", personal_column("aspect", aspects).alias("item"))
-         .join(doc_vectors, "doc_id"))
-    x = d.join(F.broadcast(ref_vectors), "item")
+         .join(doc_vectors, "doc_id", "left"))
+    x = d.join(ref_vectors, "item")
     c = cosine("vector", "rvec")
     t = F.coalesce(F.col("text"), F.lit(""))
     skip = (F.length(t) < 5) | (F.lower(t) == "none")

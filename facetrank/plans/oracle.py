@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from ..functions.fixed import (BM25_B, BM25_EPSILON, BM25_K1, FINAL_TOP_N, INTENT_THRESHOLD,
                                METRIC_K, RETRIEVAL_TOP_N, RRF_K, RRF_MISSING_RANK)
+from ..operators.encode import DIMS, MAX_TOKENS
 from ..sources.fixtures import DOCUMENT_ASPECTS
 
 TOK = "list_filter(string_split_regex({c}, '\\s+'), lambda x: x <> '')"
@@ -82,8 +83,18 @@ dense_all AS (SELECT q.query_id, c.aspect, c.doc_id, {cosine('q.v', 'c.v')} AS s
 QVEC = """
 qvec AS (SELECT q.query_id, CAST(e.embedding AS DOUBLE[]) AS v FROM queries q JOIN embeddings e ON e.vec_id = q.query_id)"""
 
-CHUNK_VEC = """
-cvec AS (SELECT c.doc_id, c.aspect, CAST(e.embedding AS DOUBLE[]) AS v FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id)"""
+
+
+def encoded(name: str, source: str, ids: str, text: str) -> str:
+    """CTEs ending in ``name`` (ids, v): token bucket counts of the first 512 tokens, punctuation left out."""
+    return f"""
+{name}_t AS (SELECT {ids}, list_filter({tok(text)}[1:{MAX_TOKENS}], lambda t: NOT regexp_full_match(t, '[!-/:-@\\[-`{{-~]+')) AS ts FROM {source}),
+{name}_b AS (SELECT {ids}, list_transform(ts, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {DIMS}) AS bs FROM {name}_t),
+{name} AS (SELECT {ids}, list_transform(range({DIMS}), lambda d: CAST(len(list_filter(bs, lambda b: b = d)) AS DOUBLE)) AS v FROM {name}_b)"""
+
+
+QVEC_TEXT = encoded("qvec", "queries", "query_id", "query")
+CVEC_TEXT = encoded("cvec", "chunks", "doc_id, aspect", "text")
 
 ALL_QA = f"""
 qa_all AS (SELECT q.query_id, v.aspect FROM queries q JOIN (VALUES {_values(DOCUMENT_ASPECTS)}) v(aspect) ON true)"""
@@ -134,7 +145,7 @@ top AS (SELECT * FROM (SELECT query_id, hall_id, total_score,
 GOLD = """
 gold AS (SELECT DISTINCT q.query_id, c.venue_id AS hall_id FROM queries q JOIN chunks c ON contains(c.text, q.query))"""
 
-PIPE = f"WITH {CHUNKS},{BM25_STATS},{INTENT},{QVEC},{CHUNK_VEC},{fused('kept')},{RERANK},{ROLLUP},{GOLD}"
+PIPE = f"WITH {CHUNKS},{BM25_STATS},{INTENT},{QVEC_TEXT},{CVEC_TEXT},{fused('kept')},{RERANK},{ROLLUP},{GOLD}"
 
 
 def ideal_dcg(g: str, k: int = METRIC_K) -> str:
@@ -155,11 +166,11 @@ SELECT query_id, aspect, doc_id, round(score, 6) AS score, rank FROM bm25""",
 vcorp AS (SELECT vec_id AS doc_id, CAST(label AS VARCHAR) AS aspect, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 {dense_ranked('vcorp', None)[1:]}
 SELECT query_id, aspect, doc_id, round(sim, 6) AS sim, rank FROM dense""",
-        "rrf": f"""WITH {CHUNKS},{BM25_STATS},{ALL_QA},{QVEC},{CHUNK_VEC},{fused(qa)}
+        "rrf": f"""WITH {CHUNKS},{BM25_STATS},{ALL_QA},{QVEC_TEXT},{CVEC_TEXT},{fused(qa)}
 SELECT query_id, aspect, doc_id, hall_id, d_rank, s_rank, round(rrf_score, 8) AS rrf_score, rrf_rank FROM cand""",
         "intent_aspects": f"""WITH {CHUNKS},{INTENT}
 SELECT k.query_id, k.aspect, round(k.score, 6) AS score, c.n_aspects FROM kept k JOIN counts c USING (query_id)""",
-        "hybrid_candidates": f"""WITH {CHUNKS},{BM25_STATS},{INTENT},{QVEC},{CHUNK_VEC},{fused('kept')}
+        "hybrid_candidates": f"""WITH {CHUNKS},{BM25_STATS},{INTENT},{QVEC_TEXT},{CVEC_TEXT},{fused('kept')}
 SELECT query_id, aspect, doc_id, hall_id, d_rank, s_rank, round(rrf_score, 8) AS rrf_score, rrf_rank FROM cand""",
         "rerank": f"""{PIPE}
 SELECT query_id, aspect, doc_id, hall_id, {r6('cross_score')} AS cross_score, rerank_pos FROM rr""",

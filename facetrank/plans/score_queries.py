@@ -488,7 +488,7 @@ SQL_SIMB = f"""WITH {_emb()},
 d AS (SELECT doc_id, coalesce(text, '') AS text, {_item_sql('lang')} AS item FROM documents),
 ref(model, item, off) AS (VALUES {', '.join(f"('{m}', {lit(c)}, {4 * k + j})" for k, m in enumerate(sentiment.SIM_MODELS) for j, c in enumerate(fixed.PERSONAL_COLUMNS))}),
 rv AS (SELECT r.model, r.item, e.v AS rvec FROM ref r JOIN emb e ON e.vec_id = {NVEC} - 1 - r.off),
-x AS (SELECT d.doc_id, d.item, rv.model, d.text, {sql_cos('e.v', 'rv.rvec')} AS c FROM d JOIN emb e ON e.vec_id = d.doc_id JOIN rv USING (item))
+x AS (SELECT d.doc_id, d.item, rv.model, d.text, {sql_cos('e.v', 'rv.rvec')} AS c FROM d LEFT JOIN emb e ON e.vec_id = d.doc_id JOIN rv USING (item))
 SELECT doc_id, item, model, CASE WHEN length(text) < 5 OR lower(text) = 'none' THEN 0
        WHEN c > {fixed.SIMILARITY_HIGH} THEN 2 WHEN c < {fixed.SIMILARITY_LOW} THEN -1 ELSE 0 END AS score FROM x"""
 

@@ -11,14 +11,15 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import reshape, upsert
+from ..operators import encode, reshape, upsert
 from ..session import shared_path
 from ..sources import files, html
 from ..sources import fixtures as fx
 from . import sqlx
+from .oracle import CHUNKS, CVEC_TEXT
 from .sqlx import lit
 
-WORD_PATTERN = "[A-Za-z]{2,}"  # parameter of the word counts (the reference uses Hangul words)
+WORD_PATTERN = r"\p{L}{2,}"  # parameter of the word counts (the reference uses Hangul words)
 ASPECT_PARAM = "en"
 PATCH_SCHEMA = "id long, patched long"
 
@@ -81,11 +82,11 @@ SQL_CSV = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
 def _chunk_vector_table(spark, sf) -> DataFrame:
     c = fx.chunks(spark, sf)
-    e = fx.embedding_lookup(spark, sf).withColumnRenamed("vec_id", "doc_id")
     # index row id "{venue}_{aspect}_{row}" over a stable key (the chunk id), not a generated index
     key = F.concat_ws("_", F.col("venue_id").cast("string"), "aspect", F.col("doc_id").cast("string"))
-    return c.join(e, "doc_id").select("doc_id", key.alias("chunk_key"), "venue_id", "hall_name",
-                                      F.col("text").alias("text_chunk"), "vector", "aspect")
+    rows = c.select("doc_id", key.alias("chunk_key"), "venue_id", "hall_name", F.col("text").alias("text_chunk"), "aspect", "text")
+    kept = ("chunk_key", "venue_id", "hall_name", "text_chunk", "aspect")
+    return encode.encode_pooled(rows, keep=kept).withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
 
 
 def q_vector_table_roundtrip(spark, sf):
@@ -94,10 +95,10 @@ def q_vector_table_roundtrip(spark, sf):
     return files.read_vectors(spark, path)
 
 
-SQL_VEC_RT = """SELECT d.doc_id, CAST(CAST(regexp_extract(d.source, '(\\d+)$', 1) AS BIGINT) AS VARCHAR) || '_' || d.lang || '_' || CAST(d.doc_id AS VARCHAR) AS chunk_key,
-       CAST(regexp_extract(d.source, '(\\d+)$', 1) AS BIGINT) AS venue_id, d.source AS hall_name,
-       coalesce(d.text, '') AS text_chunk, e.embedding AS vector, d.lang AS aspect
-FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"""
+SQL_VEC_RT = f"""WITH {CHUNKS},{CVEC_TEXT}
+SELECT doc_id, CAST(venue_id AS VARCHAR) || '_' || aspect || '_' || CAST(doc_id AS VARCHAR) AS chunk_key,
+       venue_id, hall_name, text AS text_chunk, list_transform(v, lambda x: round(x / greatest(sqrt(list_dot_product(v, v)), 1e-12), 6)) AS vector, aspect
+FROM chunks JOIN cvec USING (doc_id, aspect)"""
 
 
 def q_vector_upsert(spark, sf):

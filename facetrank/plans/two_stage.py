@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import FINAL_TOP_N, RETRIEVAL_TOP_N
-from ..operators import dense, fusion, gold, intent, lexical, metrics, rerank, rollup
+from ..operators import dense, encode, fusion, gold, intent, lexical, metrics, rerank, rollup
+from ..session import shared_path
+from ..sources import files
 from ..sources import fixtures as fx
 from .strategy import materialize_small
 
@@ -34,16 +36,24 @@ class Inputs:
     def index(self) -> lexical.Bm25Index:
         """BM25 postings and statistics, built once for the whole query batch."""
         if self._index is None:
-            self._index = lexical.build_index(self.chunks)
+            self._index = lexical.build_index(self.chunks, queries=self.queries)
         return self._index
 
     @classmethod
     def from_sf(cls, spark: SparkSession, sf_dir: str) -> "Inputs":
-        return cls(fx.chunks(spark, sf_dir), fx.chunk_vectors(spark, sf_dir),
-                   fx.queries(spark, sf_dir), fx.query_vectors(spark, sf_dir),
+        chunks, queries = fx.chunks(spark, sf_dir), fx.queries(spark, sf_dir)
+        return cls(chunks, chunk_index(chunks), queries, encode.encode_pooled(queries, "query", "query_id"),
                    fx.venues(spark, sf_dir), fx.DOCUMENT_ASPECTS)
 
 
+def chunk_index(chunks: DataFrame) -> DataFrame:
+    """The dense index: every chunk's pooled token vector, written once to the shared folder."""
+    spark = chunks.sparkSession
+    path = shared_path(spark, "chunk-index")
+    files.write_vectors(encode.encode_pooled(chunks, keep=("aspect",)), path)
+    return files.read_vectors(spark, path).select("doc_id", "aspect", "vector")
+
+
 def hybrid_candidates(inp: Inputs, query_aspects: DataFrame, n: int = RETRIEVAL_TOP_N) -> DataFrame:
     sparse = lexical.bm25_topk(inp.chunks, inp.queries, query_aspects, n, index=inp.index)
     dense_ = dense.dense_topk(inp.chunk_vectors, inp.query_vectors, query_aspects, n)

@@ -8,7 +8,7 @@ from ..functions.fixed import RETRIEVAL_TOP_N
 from ..functions.vectors import cosine, dot, l2_normalize
 from ..operators import ann, dense, encode
 from ..sources import fixtures as fx
-from .oracle import QVEC, dense_ranked
+from .oracle import CHUNKS, CVEC_TEXT, QVEC, dense_ranked
 from .oracle import cosine as sql_cos
 
 DIMS = 64
@@ -27,13 +27,27 @@ n AS (SELECT doc_id, sqrt(sum(c * c)) AS norm FROM b GROUP BY doc_id)
 SELECT b.doc_id, b.dim, round(b.c / greatest(n.norm, 1e-12), 6) AS value FROM b JOIN n USING (doc_id)"""
 
 
+def q_encode_pooled(spark, sf):
+    """Sparse view of the pooled token vectors of all chunks: doc_id, dim, value (non-zero dims)."""
+    v = encode.encode_pooled(fx.chunks(spark, sf))
+    return (v.select("doc_id", F.posexplode("vector").alias("dim", "value"))
+            .where(F.col("value") != 0).select("doc_id", "dim", F.round("value", 6).alias("value")))
+
+
+SQL_ENCODE_POOLED = f"""WITH {CHUNKS},{CVEC_TEXT},
+x AS (SELECT doc_id, unnest(range({DIMS})) AS dim, unnest(v) AS c, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS norm FROM cvec)
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(c / norm, 6) AS value FROM x WHERE c <> 0"""
+
+
 def q_mean_pool(spark, sf):
-    v = fx.vectors(spark, sf).withColumnRenamed("aspect", "label")
-    return encode.mean_pool(v, "label").select("label", "pos", F.round("value", 6).alias("value"))
+    """Mean vector of a label under a mask: rows whose first component is negative are masked."""
+    v = fx.vectors(spark, sf).withColumnRenamed("aspect", "label").withColumn("mask", F.when(F.get("vector", F.lit(0)) < 0, 0).otherwise(1))
+    return encode.mean_pool(v, "label", mask="mask").select("label", "pos", F.round("value", 6).alias("value"))
 
 
-SQL_POOL = """WITH x AS (SELECT CAST(label AS VARCHAR) AS label, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)
-SELECT label, pos, round(sum(CAST(v AS DOUBLE) * 1.0) / greatest(sum(1.0), 1e-9), 6) AS value FROM x GROUP BY label, pos"""
+SQL_POOL = """WITH x AS (SELECT CAST(label AS VARCHAR) AS label, CASE WHEN embedding[1] < 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS m,
+                         unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)
+SELECT label, pos, round(sum(CAST(v AS DOUBLE) * m) / greatest(sum(m), 1e-9), 6) AS value FROM x GROUP BY label, pos"""
 
 
 def q_l2_normalize(spark, sf):
@@ -108,6 +122,7 @@ SELECT query_id, aspect, doc_id, round(sim, 6) AS sim, rank FROM dense"""
 
 REGISTRY = {
     "encode_texts": (q_encode_texts, SQL_ENCODE),
+    "encode_pooled": (q_encode_pooled, SQL_ENCODE_POOLED),
     "mean_pool": (q_mean_pool, SQL_POOL),
     "l2_normalize": (q_l2_normalize, SQL_L2),
     "cosine_pairs": (q_cosine_pairs, SQL_COS),

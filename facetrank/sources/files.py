@@ -43,7 +43,7 @@ VECTOR_SCHEMA = T.StructType([
     T.StructField("venue_id", T.LongType()),
     T.StructField("hall_name", T.StringType()),
     T.StructField("text_chunk", T.StringType()),
-    T.StructField("vector", T.ArrayType(T.FloatType())),
+    T.StructField("vector", T.ArrayType(T.DoubleType())),
     T.StructField("aspect", T.StringType()),
 ])
 

@@ -265,3 +265,48 @@ def test_checkpointed_index_equals_persisted(spark):
     b = lexical.bm25_topk(ch, q, qa, index=lexical.build_index(ch, materialize="persist"))
     key = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 9), r["rank"]) for r in df.collect())
     assert key(a) == key(b) and len(key(a)) == 10
+
+
+def test_gold_in_several_groups_of_passages(spark):
+    from facetrank.operators import gold
+    texts = [(i, i % 7, f"start {i} middle word{i % 13} the end é{i}") for i in range(60)] + [(60, None, "word1 x"), (61, 3, None)]
+    passages = ["word1", "word1 the", "é5", "", "middle", "nowhere", "word1", None] + [f"start {i}" for i in range(0, 60, 9)]
+    ch = spark.createDataFrame(texts, "doc_id long, venue_id long, text string")
+    q = spark.createDataFrame(list(enumerate(passages)), "query_id long, query string")
+    want = {(i, v) for i, p in enumerate(passages) if p is not None for _, v, t in texts if t is not None and p in t}
+    for size in (1 << 20, 200):                              # one group, and a group for a passage or two
+        got = [(r["query_id"], r["hall_id"]) for r in gold.substring_gold(ch, q, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert gold.substring_gold(ch, q.filter("false")).count() == 0
+    assert gold.substring_gold(ch.filter("false"), q).count() == 0
+
+
+def test_pooling_under_a_mask():
+    import numpy as np
+
+    from facetrank.operators import encode
+    v = np.array([[1.0, 0.0], [0.0, 3.0], [5.0, 5.0]])
+    assert encode.pooled(v, np.array([1.0, 1.0, 0.0])).tolist() == pytest.approx([1 / math.sqrt(10), 3 / math.sqrt(10)])
+    assert encode.pooled(v, np.zeros(3)).tolist() == [0.0, 0.0]
+    vectors, mask = encode.HashedTokens()(["a", "=", "b!", "--"])
+    assert mask.tolist() == [1, 0, 1, 0] and (vectors.sum(1) == 1).all()
+
+
+def test_every_chunk_gets_a_vector_and_tokens_are_cut(spark):
+    import numpy as np
+
+    from facetrank.operators import encode
+    texts = ["a b", "", None, " = - ", " ".join(["a"] * 512 + ["zebra"] * 100), " é b"]
+    df = spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "doc_id long, aspect string, text string")
+    got = {r.doc_id: np.array(r.vector) for r in encode.encode_pooled(df, keep=("aspect",)).collect()}
+    bucket = encode.HashedTokens().bucket
+    assert len(got) == 6 and all(len(v) == encode.DIMS for v in got.values())
+    assert not got[1].any() and not got[2].any() and not got[3].any()
+    assert got[4][bucket("a")] == pytest.approx(1.0)         # nothing beyond the 512th token
+    assert got[0][bucket("b")] == pytest.approx(1 / math.sqrt(2))
+
+    class Lengths:
+        def __call__(self, tokens):
+            return np.array([[len(t), 1.0] for t in tokens]).reshape(-1, 2), np.ones(len(tokens))
+    got = {r.doc_id: r.vector for r in encode.encode_pooled(df, encoder_factory=Lengths).collect()}
+    assert got[0] == pytest.approx([1 / math.sqrt(2), 1 / math.sqrt(2)]) and got[1] == [0.0, 0.0]
