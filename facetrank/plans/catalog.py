@@ -139,8 +139,8 @@ CORE: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    from . import score_queries, text_queries, vector_queries
+    from . import board_queries, score_queries, text_queries, vector_queries
     out = dict(CORE)
-    for reg in (text_queries.REGISTRY, score_queries.REGISTRY, vector_queries.REGISTRY):
+    for reg in (text_queries.REGISTRY, score_queries.REGISTRY, vector_queries.REGISTRY, board_queries.REGISTRY):
         out.update({k: fn for k, (fn, _) in reg.items()})
     return out

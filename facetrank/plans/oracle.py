@@ -215,8 +215,8 @@ FROM m""",
 
 
 def all_sql() -> dict[str, str]:
-    from . import score_queries, text_queries, vector_queries
+    from . import board_queries, score_queries, text_queries, vector_queries
     out = core_sql()
-    for reg in (text_queries.REGISTRY, score_queries.REGISTRY, vector_queries.REGISTRY):
+    for reg in (text_queries.REGISTRY, score_queries.REGISTRY, vector_queries.REGISTRY, board_queries.REGISTRY):
         out.update({k: sql for k, (_, sql) in reg.items() if sql is not None})
     return out
