@@ -132,7 +132,6 @@ TAG_KEYWORDS = [
 # Action points: (action, points, minimum stay seconds or None).
 ACTION_POINTS_V1 = [("like", 2.0, None), ("stay", 1.0, 10), ("click", 0.2, None), ("survey", 3.0, None)]
 ACTION_POINTS_V2 = [("like", 3.0, None), ("stay", 1.0, 15), ("click", 0.2, None)]
-ACTION_POINTS_CLICKS = [("click", 1.0, None)]
 STRENGTH_MIN_SCORE = 4
 
 # Model-specific ranking weights (priority catering, service_etc, bridal_room).
@@ -159,9 +158,6 @@ VECTOR_SHARE_R12 = 0.4
 TAG_SHARE_R12 = 0.6
 HALF_SHARE = 0.5
 MATCH_REASON_SUFFIX = " 만족도가 매우 높은 곳이에요!"
-HALF_HALF_TAGS = [("주차 편리", "parking", "feat_parking_space"),
-                  ("고급스러운 요리가 있는", "food", "feat_food_quality"),
-                  ("역 접근성", "access", "feat_subway_access")]
 REASON_GOOD = "👍 우수"
 REASON_FAIR = "👌 보통"
 REASON_POOR = "👎 아쉬움"

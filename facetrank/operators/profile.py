@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 
 
+ACTION_POINTS_CLICKS = [("click", 1.0, None)]   # click counts as points: one a click
+
+
 def action_points(action: Column, stay: Column, rules=fixed.ACTION_POINTS_V1) -> Column:
     expr = None
     for name, pts, min_stay in rules:

@@ -148,6 +148,22 @@ def _fixed_weights(users: DataFrame, weights: list[tuple[str, float]]) -> DataFr
     return users.select("user_id", F.explode(arr).alias("w")).select("user_id", "w.feature", "w.weight")
 
 
+def user_priorities(users: DataFrame, default: list[tuple[str, float]] = fixed.R1_WEIGHTS) -> DataFrame:
+    """user_id, feature, weight: each user's own priorities; ``default`` for a user without any."""
+    if "priorities" not in users.columns:
+        return _fixed_weights(users, default)
+    given = F.map_from_arrays(F.array(*[F.lit(f) for f, _ in default]), F.array(*[F.lit(w) for _, w in default]))
+    own = F.when(F.size("priorities") > 0, F.col("priorities")).otherwise(given)
+    return users.select("user_id", F.explode(own).alias("feature", "weight"))
+
+
+def weights_text(weights: DataFrame) -> DataFrame:
+    """user_id, weights: ``feature=weight`` of each feature, in order of the features."""
+    one = F.struct("feature", "weight")
+    shown = F.transform(F.sort_array(F.collect_list(one)), lambda w: F.format_string("%s=%.4f", w["feature"], w["weight"]))
+    return weights.groupBy("user_id").agg(F.array_join(shown, ",").alias("weights"))
+
+
 def ranked(df: DataFrame, score: str = "score", n: int | None = None) -> DataFrame:
     """Best first per user.  With n: the top n with a rank (a partial group limit
     bounds every group).  Without n the whole filtered list is returned as a global
@@ -161,12 +177,12 @@ def ranked(df: DataFrame, score: str = "score", n: int | None = None) -> DataFra
 # --------------------------------------------------------------- R1 .. R6 (filtered)
 def rec_weighted_sim(hd: HallData) -> DataFrame:
     pairs = hard_filter(hd.users, hd.halls, with_type=False)
-    return ranked(feature_similarity(pairs, _fixed_weights(hd.users, fixed.R1_WEIGHTS), hd.hf3, hd, quality=False))
+    return ranked(feature_similarity(pairs, user_priorities(hd.users), hd.hf3, hd, quality=False))
 
 
 def rec_quality(hd: HallData) -> DataFrame:
     pairs = hard_filter(hd.users, hd.halls, with_type=False)
-    s = feature_similarity(pairs, _fixed_weights(hd.users, fixed.R1_WEIGHTS), hd.hf3, hd)
+    s = feature_similarity(pairs, user_priorities(hd.users), hd.hf3, hd)
     return ranked(s.join(hd.halls.select("id", "name"), "id"))
 
 
@@ -174,7 +190,7 @@ def rec_base_plus(hd: HallData, nested: DataFrame) -> DataFrame:
     """Location filter on the nested metadata; cos(user, hall) + sum cos(user, feature) x priority."""
     u = hd.users.select("user_id", F.col("location").alias("_loc"))
     pairs = nested.join(u, F.col("metadata.location") == F.col("_loc")).select("user_id", "id")
-    feats = feature_similarity(pairs, _fixed_weights(hd.users, fixed.R3_PRIORITIES), hd.hf3, hd, quality=False)
+    feats = feature_similarity(pairs, user_priorities(hd.users, fixed.R3_PRIORITIES), hd.hf3, hd, quality=False)
     base = (pairs.join(user_vectors(hd).select("user_id", "uvec"), "user_id")
             .join(hall_vectors(hd), "id").select("user_id", "id", cosine("uvec", "hvec").alias("base")))
     return ranked(feats.join(base, ["user_id", "id"])
@@ -182,16 +198,17 @@ def rec_base_plus(hd: HallData, nested: DataFrame) -> DataFrame:
 
 
 def rec_match_rate(hd: HallData) -> DataFrame:
+    """Score in percent of the sum of the user's own priorities."""
     pairs = hard_filter(hd.users, hd.halls)
-    s = feature_similarity(pairs, _fixed_weights(hd.users, fixed.R1_WEIGHTS), hd.hf3, hd)
-    total = sum(w for _, w in fixed.R1_WEIGHTS)
-    return ranked(s.withColumn("match_rate", F.col("score") / F.lit(total) * F.lit(100.0)), "match_rate")
+    own = user_priorities(hd.users)
+    s = feature_similarity(pairs, own, hd.hf3, hd).join(own.groupBy("user_id").agg(F.sum("weight").alias("total")), "user_id")
+    return ranked(s.withColumn("match_rate", F.col("score") / F.col("total") * F.lit(100.0)).drop("total"), "match_rate")
 
 
 def rec_profile(hd: HallData, click_counts: DataFrame) -> DataFrame:
     pairs = hard_filter(hd.users, hd.halls)
     w = dynamic_weights(click_counts)
-    return ranked(feature_similarity(pairs, w, hd.hf3, hd))
+    return ranked(feature_similarity(pairs, w, hd.hf3, hd).join(weights_text(w), "user_id", "left"))
 
 
 def tags_clicks_weights(hd: HallData, click_counts: DataFrame) -> DataFrame:
@@ -204,7 +221,8 @@ def tags_clicks_weights(hd: HallData, click_counts: DataFrame) -> DataFrame:
 
 def rec_tags_clicks(hd: HallData, click_counts: DataFrame) -> DataFrame:
     pairs = hard_filter(hd.users, hd.halls)
-    return ranked(feature_similarity(pairs, tags_clicks_weights(hd, click_counts), hd.hf3, hd))
+    w = tags_clicks_weights(hd, click_counts)
+    return ranked(feature_similarity(pairs, w, hd.hf3, hd).join(weights_text(w), "user_id", "left"))
 
 
 # ------------------------------------------------------ R7 .. R10 (ordered tags)
@@ -323,14 +341,20 @@ def rec_integrated(hd: HallData, points: DataFrame, n: int = 10) -> DataFrame:
 
 
 # ------------------------------------------------------------- R11, R12, R14
+# names of three tags in the half/half scorer, and their features (this repository's choice)
+HALF_HALF_TAGS = [("주차 편리", "parking", "feat_parking_space"),
+                  ("고급스러운 요리가 있는", "food", "feat_food_quality"),
+                  ("역 접근성", "access", "feat_subway_access")]
+
+
 def half_half_tags(hd: HallData) -> DataFrame:
-    """user_id, name, feature, weight for the user's tags known to the half/half scorer."""
+    """user_id, feature, weight of the user's tags: the named ones weigh what the scorer gives them, all others little."""
     spark = hd.halls.sparkSession
-    names = spark.createDataFrame([(t, nm, f) for t, nm, f in fixed.HALF_HALF_TAGS], "tag string, name string, feature string")
-    weights = spark.createDataFrame(fixed.HALF_HALF_WEIGHTS, "name string, weight double")
-    tp = hd.users.select("user_id", F.explode("selected_tags").alias("tag"))
-    return tp.join(F.broadcast(names), "tag").join(F.broadcast(weights), "name", "left").select(
-        "user_id", "name", "feature", F.coalesce("weight", F.lit(fixed.HALF_HALF_UNKNOWN)).alias("weight"))
+    weights = dict(fixed.HALF_HALF_WEIGHTS)
+    named = {t: (f, weights.get(nm, fixed.HALF_HALF_UNKNOWN)) for t, nm, f in HALF_HALF_TAGS}
+    every = {t: (f, fixed.HALF_HALF_UNKNOWN) for t, f in fixed.TAG_MAP} | named
+    tags = spark.createDataFrame([(t, f, w) for t, (f, w) in every.items()], "tag string, feature string, weight double")
+    return hd.users.select("user_id", F.explode("selected_tags").alias("tag")).join(tags, "tag").select("user_id", "feature", "weight")
 
 
 def rec_half_half(hd: HallData) -> DataFrame:
@@ -374,10 +398,9 @@ def rec_tag_vector(hd: HallData, types: DataFrame) -> DataFrame:
 def minmax_rank(analyzed: DataFrame, weights: dict[str, float] = fixed.MINMAX_WEIGHTS) -> DataFrame:
     """price_norm = 1 - (x - min) / (max - min + 1e-5) over the whole frame, then a weighted sum.
 
-    min and max are scalar subqueries (one global aggregate), not a join."""
-    lo = analyzed.select(F.min("food_price")).scalar()
-    hi = analyzed.select(F.max("food_price")).scalar()
-    norm = F.lit(1.0) - (F.col("food_price") - lo) / (hi - lo + F.lit(fixed.MINMAX_EPS))
+    min and max are one scalar subquery (one global aggregate), not a join."""
+    ends = analyzed.agg(F.struct(F.min("food_price").alias("lo"), F.max("food_price").alias("hi"))).scalar()
+    norm = F.lit(1.0) - (F.col("food_price") - ends["lo"]) / (ends["hi"] - ends["lo"] + F.lit(fixed.MINMAX_EPS))
     return (analyzed.withColumn("price_norm", norm)
             .withColumn("final_score", F.col("price_norm") * weights["w_price"]
                         + F.col("food_score") * weights["w_food"] + F.col("parking_score") * weights["w_parking"]))

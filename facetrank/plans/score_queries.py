@@ -64,8 +64,15 @@ P6 = ("pairs AS (SELECT u.user_id, h.id FROM halls h JOIN users u ON h.location
       "AND h.price <= u.max_price AND h.hall_type = u.hall_type)")
 
 
-def _weights_values(name: str, weights) -> str:
-    return f"{name}(feature, weight) AS (VALUES " + ", ".join(f"({lit(f)}, {w}::DOUBLE)" for f, w in weights) + ")"
+_R1 = "[" + ", ".join(f"{w}::DOUBLE" for _, w in fixed.R1_WEIGHTS) + "]"
+PRIO = "prio AS (" + " UNION ALL ".join(
+    f"SELECT user_id, {lit(f)} AS feature, ({_R1})[((user_id + {i}) % 3) + 1] * (1.0::DOUBLE + (user_id % 4) * 0.25::DOUBLE) AS weight FROM users"
+    for i, f in enumerate(F3)) + ")"
+
+
+def _weights_text(cte: str) -> str:
+    return f"""wt AS (SELECT user_id, string_agg(feature || '=' || printf('%.4f', weight), ',' ORDER BY feature) AS weights
+      FROM {cte} GROUP BY user_id)"""
 
 
 def _fs(weights_cte: str, per_user: bool, quality: bool, hf: str = "hf3", name: str = "fs") -> str:
@@ -168,7 +175,7 @@ def q_rec_weighted_sim(spark, sf):
     return scoring.rec_weighted_sim(_hd(spark, sf)).select("user_id", "id", _r6("score"))
 
 
-SQL_R1 = f"""{BASE}, {P5}, {_weights_values('w0', fixed.R1_WEIGHTS)}, {_fs('w0', False, False)}
+SQL_R1 = f"""{BASE}, {P5}, {PRIO}, {_fs('prio', True, False)}
 {_rank('fs')}"""
 
 
@@ -176,7 +183,7 @@ def q_rec_quality(spark, sf):
     return scoring.rec_quality(_hd(spark, sf)).select("user_id", "id", "name", _r6("score"))
 
 
-SQL_R2 = f"""{BASE}, {P5}, {_weights_values('w0', fixed.R1_WEIGHTS)}, {_fs('w0', False, True)},
+SQL_R2 = f"""{BASE}, {P5}, {PRIO}, {_fs('prio', True, True)},
 fs2 AS (SELECT fs.*, h.name FROM fs JOIN halls h USING (id))
 {_rank('fs2', extra=', name')}"""
 
@@ -188,7 +195,7 @@ def q_rec_base_plus(spark, sf):
 
 
 SQL_R3 = f"""{BASE}, pairs AS (SELECT u.user_id, h.id FROM halls h JOIN users u ON h.location = u.location),
-{_weights_values('w0', fixed.R3_PRIORITIES)}, {_fs('w0', False, False)},
+{PRIO}, {_fs('prio', True, False)},
 b AS (SELECT p.user_id, p.id, {sql_cos('uv.v', 'hv.v')} AS base FROM pairs p JOIN users u USING (user_id)
       JOIN emb uv ON uv.vec_id = u.query_vec_id JOIN emb hv ON hv.vec_id = p.id % {NVEC}),
 s AS (SELECT fs.user_id, fs.id, b.base + fs.score AS score FROM fs JOIN b USING (user_id, id))
@@ -199,31 +206,33 @@ def q_rec_match_rate(spark, sf):
     return scoring.rec_match_rate(_hd(spark, sf)).select("user_id", "id", _r6("match_rate"))
 
 
-_TOTAL = sum(w for _, w in fixed.R1_WEIGHTS)
-SQL_R4 = f"""{BASE}, {P6}, {_weights_values('w0', fixed.R1_WEIGHTS)}, {_fs('w0', False, True)},
-s AS (SELECT user_id, id, score / {_TOTAL}::DOUBLE * 100.0::DOUBLE AS match_rate FROM fs)
+SQL_R4 = f"""{BASE}, {P6}, {PRIO}, {_fs('prio', True, True)},
+tw AS (SELECT user_id, sum(weight) AS total FROM prio GROUP BY user_id),
+s AS (SELECT user_id, id, score / total * 100.0::DOUBLE AS match_rate FROM fs JOIN tw USING (user_id))
 {_rank('s', 'match_rate')}"""
 
 
 def q_rec_profile(spark, sf):
     hd = _hd(spark, sf)
-    return scoring.rec_profile(hd, full_click_counts(hd)).select("user_id", "id", _r6("score"))
+    return scoring.rec_profile(hd, full_click_counts(hd)).select("user_id", "id", _r6("score"), "weights")
 
 
-SQL_R5 = f"""{BASE}, {P6}, {CLICKS}, {_fs('dw', True, True)}
-{_rank('fs')}"""
+SQL_R5 = f"""{BASE}, {P6}, {CLICKS}, {_fs('dw', True, True)}, {_weights_text('dw')},
+fw AS (SELECT fs.*, wt.weights FROM fs LEFT JOIN wt USING (user_id))
+{_rank('fw', extra=', weights')}"""
 
 
 def q_rec_tags_clicks(spark, sf):
     hd = _hd(spark, sf)
-    return scoring.rec_tags_clicks(hd, full_click_counts(hd)).select("user_id", "id", _r6("score"))
+    return scoring.rec_tags_clicks(hd, full_click_counts(hd)).select("user_id", "id", _r6("score"), "weights")
 
 
 SQL_R6 = f"""{BASE}, {P6}, {CLICKS}, {_kw_weights()},
 tw AS (SELECT k.user_id, k.feature, k.weight + {fixed.CLICK_BONUS}::DOUBLE * coalesce(c.v, 0.0) AS weight
        FROM kw k LEFT JOIN cc c ON c.user_id = k.user_id AND c.feature = k.feature),
-{_fs('tw', True, True)}
-{_rank('fs')}"""
+{_fs('tw', True, True)}, {_weights_text('tw')},
+fw AS (SELECT fs.*, wt.weights FROM fs LEFT JOIN wt USING (user_id))
+{_rank('fw', extra=', weights')}"""
 
 
 def q_rec_ordered_tags(spark, sf):
@@ -266,11 +275,11 @@ def q_rec_half_half(spark, sf):
     return scoring.rec_half_half(_hd(spark, sf)).select("user_id", "id", _r6("final_score"))
 
 
+_HALF = {t: (f, dict(fixed.HALF_HALF_WEIGHTS)[n]) for t, n, f in scoring.HALF_HALF_TAGS}
+HALF_TAGS = [(t, *_HALF.get(t, (f, fixed.HALF_HALF_UNKNOWN))) for t, f in fixed.TAG_MAP]
 SQL_R11 = f"""{BASE}, {P6},
-hn(tag, name, feature) AS (VALUES {', '.join(f'({lit(t)}, {lit(n)}, {lit(f)})' for t, n, f in fixed.HALF_HALF_TAGS)}),
-hw(name, weight) AS (VALUES {', '.join(f'({lit(n)}, {w}::DOUBLE)' for n, w in fixed.HALF_HALF_WEIGHTS)}),
-ut AS (SELECT u.user_id, hn.feature, coalesce(hw.weight, {fixed.HALF_HALF_UNKNOWN}::DOUBLE) AS weight
-       FROM (SELECT user_id, unnest(selected_tags) AS tag FROM users) u JOIN hn USING (tag) LEFT JOIN hw USING (name)),
+ht(tag, feature, weight) AS (VALUES {', '.join(f"({lit(t)}, {lit(f)}, {w}::DOUBLE)" for t, f, w in HALF_TAGS)}),
+ut AS (SELECT u.user_id, ht.feature, ht.weight FROM (SELECT user_id, unnest(selected_tags) AS tag FROM users) u JOIN ht USING (tag)),
 tp AS (SELECT p.user_id, p.id, sum(f.score / {D5} * ut.weight) AS tag_score FROM pairs p JOIN ut USING (user_id)
        JOIN hf13 f ON f.id = p.id AND f.feature = ut.feature GROUP BY p.user_id, p.id),
 sim AS (SELECT p.user_id, p.id, list_dot_product(uv.v, hv.v) AS similarity FROM pairs p JOIN users u USING (user_id)
@@ -302,11 +311,11 @@ s AS (SELECT s.user_id, s.id,
 def q_pref_score(spark, sf):
     hd = _hd(spark, sf)
     pairs = scoring.hard_filter(hd.users, hd.halls)
-    w = scoring._fixed_weights(hd.users, fixed.R1_WEIGHTS)
+    w = scoring.user_priorities(hd.users)
     return scoring.feature_similarity(pairs, w, hd.hf3, hd).select("user_id", "id", _r6("score"))
 
 
-SQL_PREF = f"""{BASE}, {P6}, {_weights_values('w0', fixed.R1_WEIGHTS)}, {_fs('w0', False, True)}
+SQL_PREF = f"""{BASE}, {P6}, {PRIO}, {_fs('prio', True, True)}
 SELECT user_id, id, round(score, 6) AS score FROM fs"""
 
 
@@ -384,7 +393,7 @@ def _streamed(spark, sf, features, rules):
 
 
 def q_stream_clicks(spark, sf):
-    return _streamed(spark, sf, F3, fixed.ACTION_POINTS_CLICKS).select("user_id", "feature", F.col("points").alias("v"))
+    return _streamed(spark, sf, F3, profile.ACTION_POINTS_CLICKS).select("user_id", "feature", F.col("points").alias("v"))
 
 
 def q_stream_points(spark, sf):

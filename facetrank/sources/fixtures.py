@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import TAG_MAP
+from ..functions.fixed import R1_WEIGHTS, TAG_MAP
 
 DOCUMENT_ASPECTS = ["de", "en", "es", "fr"]
 HALL_FEATURES_3 = ["feat_parking", "feat_food", "feat_mood"]
@@ -157,7 +157,8 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User preferences: the hall of the user's first event anchors the filters.
 
     user_id, location, hall_type, max_price, selected_tags (3 ordered display
-    tags), raw_query (anchor hall name), query_vec_id.
+    tags), raw_query (anchor hall name), query_vec_id, priorities (feature ->
+    weight: the scenario's weights, dealt to the features and scaled by the user's id).
     """
     a = actions(spark, sf_dir)
     first = a.groupBy("user_id").agg(F.min_by("hall_id", "event_id").alias("anchor"))
@@ -168,7 +169,11 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = [F.element_at(tags, (F.pmod(F.col("user_id") + 5 * j, F.lit(13)) + 1).cast("int"))
             for j in range(3)]
     n = _n_vectors(spark, sf_dir)
+    base = F.array(*[F.lit(w) for _, w in R1_WEIGHTS])
+    own = [F.element_at(base, (F.pmod(F.col("user_id") + i, F.lit(3)) + 1).cast("int"))
+           * (F.lit(1.0) + F.pmod(F.col("user_id"), F.lit(4)) * F.lit(0.25)) for i in range(3)]
+    priorities = F.map_from_arrays(F.array(*[F.lit(f) for f in HALL_FEATURES_3]), F.array(*own))
     return (first.join(h, "anchor")
             .select("user_id", "location", "hall_type", "max_price",
                     F.array(*pick).alias("selected_tags"), "raw_query",
-                    F.pmod(F.col("user_id"), n).alias("query_vec_id")))
+                    F.pmod(F.col("user_id"), n).alias("query_vec_id"), priorities.alias("priorities")))

@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import fixed
-from ..operators.profile import action_points, strengths
+from ..operators.profile import ACTION_POINTS_CLICKS, action_points, strengths
 from ..operators.upsert import KeyedTable
 from ..session import shared_path
 
@@ -81,7 +81,7 @@ def start_profile_stream(spark: SparkSession, events_path: str, hall_features: D
 def start_click_stream(spark: SparkSession, events_path: str, hall_features_3: DataFrame, sink: str,
                        checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Click counts (+1 per click for each strength of the clicked hall): the same plan with one rule."""
-    return start_profile_stream(spark, events_path, hall_features_3, sink, fixed.ACTION_POINTS_CLICKS,
+    return start_profile_stream(spark, events_path, hall_features_3, sink, ACTION_POINTS_CLICKS,
                                 checkpoint, available_now)
 
 

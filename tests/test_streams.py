@@ -58,7 +58,7 @@ def test_winner_of_equal_versions_and_replays(spark):
 
 @pytest.mark.parametrize("rules", ["ACTION_POINTS_V1", "ACTION_POINTS_V2", "ACTION_POINTS_CLICKS"])
 def test_stream_after_a_restart_equals_batch(spark, rules):
-    rules = getattr(fixed, rules)
+    rules = getattr(fixed, rules, None) or getattr(profile, rules)
     hf = fx.hall_features(spark, SF)
     got = {(r.user_id, r.feature): round(r.points, 6) for r in streaming.streamed_profile(
         fx.table(spark, SF, "events"), hf, rules, loads=3).collect()}
