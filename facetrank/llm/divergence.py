@@ -9,7 +9,7 @@ A message holds at least one posting, so there are never more messages than ther
 Divergences are streamed over the frequencies, chunk by chunk.  A term that occurs in neither of two sources adds the same
 value whichever term it is, so a pair starts at V times that value; a shard then sends, for a pair, the sum of what its terms
 with an occurrence in one of the two add beyond it.  Work is postings x sources of the language, and a shard
-sends one number a pair.  Top terms are cut to TOP in each shard before they are ranked.
+sends one row a source: one number a pair, and its TOP terms.
 
 p = 1 + floor(UNIT * (count + 2) / (N + 2 V)) and f = floor((p - q)^2 / (p + q)) are exact: p by long division in base
 1,000 (N + 2 V may be up to 9 * 10^15; beyond, it raises), and (p - q)^2 stays below 2^63.
@@ -166,9 +166,11 @@ def frequencies(spilled: DataFrame, least: int) -> DataFrame:
 
 
 def _streamed(left: pa.Table, right: pa.Table) -> pa.Table:
-    """part, source, item, value of one shard of a language: corrections of pairs, and its top terms."""
-    out: tuple[list, list, list, list] = ([], [], [], [])
+    """What one shard of a language adds: for each source the corrections of its pairs with all sources (in order), and its
+    top terms."""
+    out: tuple = ([], [], [])
     if left.num_rows and right.num_rows:
+        right = right.sort_by("source")
         sources = right.column("source").to_pylist()
         number = {s: i for i, s in enumerate(sources)}
         over = right.column("over").to_pylist()
@@ -204,24 +206,28 @@ def _streamed(left: pa.Table, right: pa.Table) -> pa.Table:
                 top = np.argsort(-value, kind="stable")[:TOP]        # of equal values the least term
                 best[j] = heapq.nsmallest(TOP, best[j] + [(-int(value[i]), terms[up[i]].encode()) for i in top])
         pairs = pairs + pairs.T
-        for i, j in zip(*np.nonzero(np.triu(pairs, 1)), strict=True):
-            out[0].extend(["pair", "pair"])
-            out[1].extend([sources[i], sources[j]])
-            out[2].extend([sources[j], sources[i]])
-            out[3].extend([int(pairs[i, j])] * 2)
-        for j, found in enumerate(best):
-            for value, term in found:
-                out[0].append("term")
-                out[1].append(sources[j])
-                out[2].append(term.decode())
-                out[3].append(-value)
+        out = (sources, pairs.tolist(), [[{"value": -v, "item": t.decode()} for v, t in found] for found in best])
     lang = left.column("lang").to_pylist()[:1]
-    return pa.table([pa.array(lang * len(out[0]), pa.string()), *[pa.array(x, pa.string()) for x in out[:3]],
-                     pa.array(out[3], pa.int64())], names=["lang", "part", "source", "item", "value"])
+    return pa.table([pa.array(lang * len(out[0]), pa.string()), pa.array(out[0], pa.string()), pa.array(out[1], _PAIRS),
+                     pa.array(out[2], _TERMS)], names=["lang", "source", "pairs", "terms"])
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """The sums of a source's pairs over all shards, and its top terms."""
+    pairs = sum(np.array(x, dtype=np.int64) for x in table.column("pairs").to_pylist())
+    terms = heapq.nsmallest(TOP, (t for x in table.column("terms").to_pylist() for t in x),
+                            key=lambda t: (-t["value"], t["item"].encode()))
+    return pa.table([table.column("lang").slice(0, 1), table.column("source").slice(0, 1), pa.array([pairs.tolist()], _PAIRS),
+                     pa.array([terms], _TERMS)], names=["lang", "source", "pairs", "terms"])
+
+
+_PAIRS = pa.list_(pa.int64())
+_TERMS = pa.list_(pa.struct([("value", pa.int64()), ("item", pa.string())]))
+STREAMED = "lang string, source string, pairs array<bigint>, terms array<struct<value:bigint,item:string>>"
 
 
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
-          least: int = LEAST, top: int = TOP) -> DataFrame:
+          least: int = LEAST) -> DataFrame:
     """lang, source, part, item, value, rank."""
     spark = docs.sparkSession
     ready(spark)
@@ -240,22 +246,22 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
         (F.coalesce("all_n", F.lit(0)) + 2 * F.coalesce("v", F.lit(0))).cast("long").alias("all_over")), "audit-groups")
     shards = kept.select(F.col("lang").alias("of"), F.col("shard").alias("part")).distinct()
     there = shards.join(groups, F.col("of") == F.col("lang")).drop("lang")     # the groups go with each shard
-    streamed = written(kept.groupBy("lang", "shard").cogroup(there.groupBy("of", "part")).applyInArrow(
-        _streamed, "lang string, part string, source string, item string, value long"), "audit-streamed")
-
-    a, b = groups.alias("a"), groups.alias("b")
-    zero = lambda of: F.expr(f"1L + {2 * UNIT}L div nullif({of}.over, 0)")
-    start = a.join(b, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.source") != F.col("b.source"))).select(
-        "a.lang", "a.source", F.col("b.source").alias("item"), F.col("a.v").alias("v"), zero("a").alias("p"), zero("b").alias("q"))
-    start = start.select("lang", "source", "item", F.coalesce(
-        F.col("v") * F.expr("((p - q) * (p - q)) div (p + q)"), F.lit(0).cast("long")).alias("value"))
-    pairs = start.unionByName(streamed.filter("part = 'pair'").drop("part")) \
-        .groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = pairs.withColumn("rank", F.row_number().over(order))
-    terms = streamed.filter("part = 'term'").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return pairs.unionByName(terms).select("lang", "source", "part", "item", F.col("value").cast("long").alias("value"),
-                                           F.col("rank").cast("int").alias("rank"))
+    streamed = kept.groupBy("lang", "shard").cogroup(there.groupBy("of", "part")).applyInArrow(_streamed, STREAMED)
+    merged = streamed.groupBy("lang", "source").applyInArrow(_merged, STREAMED)
+
+    everyone = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "over"))).alias("everyone"))
+    rows = written(groups.join(everyone, "lang").join(merged, ["lang", "source"], "left"), "audit-merged")
+    zero = lambda of: F.expr(f"1L + {2 * UNIT}L div nullif({of}, 0)")
+    pairs = rows.select("lang", "source", "v", "pairs", zero("over").alias("p"), F.posexplode("everyone").alias("i", "other"))
+    pairs = pairs.filter(F.col("other.source") != F.col("source")).select(
+        "lang", "source", "v", "p", zero("other.over").alias("q"), F.col("other.source").alias("item"),
+        F.coalesce(F.get("pairs", F.col("i")), F.lit(0)).alias("more"))
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", (F.col("more") + F.coalesce(
+        F.col("v") * F.expr("((p - q) * (p - q)) div (p + q)"), F.lit(0).cast("long"))).alias("value"))
+    terms = rows.select("lang", "source", F.lit("term").alias("part"), F.explode("terms").alias("t")).select(
+        "lang", "source", "part", "t.item", "t.value")
+    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
+    return pairs.unionByName(terms).select("lang", "source", "part", "item", "value", F.row_number().over(order).alias("rank"))
 
 
 def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
