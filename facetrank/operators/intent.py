@@ -12,6 +12,10 @@ the chunk tokens are semi-joined with the query-token set before the distinct
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,17 @@ def vocabulary_scores(chunks: DataFrame, queries: DataFrame, postings: DataFrame
     return hits.join(nq, "query_id").select("query_id", "aspect", (F.col("nhit") / F.col("nq")).alias("score"))
 
 
+def scored(queries: DataFrame, aspects: list[str], scorer: Callable[[pd.Series, list[str]], np.ndarray]) -> DataFrame:
+    """query_id, aspect, score by a pluggable multi-label scorer: ``scorer(queries, aspects) -> n x aspects array``, called
+    once an Arrow batch."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            scores = np.asarray(scorer(pdf["query"].fillna(""), aspects), dtype=float).reshape(len(pdf), len(aspects))
+            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), len(aspects)),
+                                "aspect": aspects * len(pdf), "score": scores.reshape(-1)})
+    return queries.select("query_id", "query").mapInPandas(run, "query_id long, aspect string, score double")
+
+
 def intent_aspects(scores: DataFrame, aspect_order: list[str],
                    threshold: float = INTENT_THRESHOLD, labels: int = INTENT_LABEL_COUNT) -> DataFrame:
     """query_id, aspect, score for the kept aspects."""

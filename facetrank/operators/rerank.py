@@ -37,6 +37,12 @@ def pandas_scorer(scorer: PairScorer):
     return score
 
 
+def jaccard_scorer(queries: pd.Series, texts: pd.Series) -> pd.Series:
+    """A custom scorer: shared tokens over all tokens of the pair."""
+    pairs = [(set(q.split()), set(t.split())) for q, t in zip(queries, texts, strict=True)]
+    return pd.Series([len(q & t) / len(q | t) if q | t else 0.0 for q, t in pairs])
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, scorer: PairScorer | None = None) -> DataFrame:
     """Adds cross_score and rerank_pos (1-based per query, score desc, doc_id)."""
     pairs = candidates.join(queries.select("query_id", "query"), "query_id")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..operators import rerank
 from ..sources import board
 from ..sources import fixtures as fx
 from . import observed, oracle
@@ -94,7 +95,32 @@ UNION ALL SELECT 2, 'candidates', count(*) FROM cand UNION ALL SELECT 3, 'rerank
 UNION ALL SELECT 4, 'venues', count(*) FROM soft UNION ALL SELECT 5, 'top', count(*) FROM top"""
 
 
+def length_intent(queries, aspects):
+    """A custom intent scorer: an aspect's share of a query is its place in the list over the query's length."""
+    import numpy as np
+    return np.array([[(k + 1) * 20 / max(1, len(q)) for k in range(len(aspects))] for q in queries]).reshape(len(queries), len(aspects))
+
+
+def q_rerank_custom(spark, sf):
+    """The flow with custom intent and pair scorers."""
+    r = ts.run(ts.Inputs.from_sf(spark, sf), scorer=rerank.jaccard_scorer, intent_scorer=length_intent)
+    return r.reranked.select("query_id", "aspect", "doc_id", F.round("cross_score", 6).alias("cross_score"), "rerank_pos")
+
+
+_ASPECTS = ", ".join(f"({lit(a)}, {k + 1})" for k, a in enumerate(fx.DOCUMENT_ASPECTS))
+_CUSTOM_KEPT = f"""kept AS (SELECT query_id, a.aspect, a.k * 20.0::DOUBLE / greatest(1, length(query)) AS score
+         FROM queries, (VALUES {_ASPECTS}) a(aspect, k) WHERE a.k * 20.0::DOUBLE / greatest(1, length(query)) > {fixed.INTENT_THRESHOLD})"""
+SQL_RERANK_CUSTOM = f"""WITH {oracle.CHUNKS},{oracle.BM25_STATS},{_CUSTOM_KEPT},{oracle.QVEC_TEXT},{oracle.CVEC_TEXT},{oracle.fused('kept')},
+tk AS (SELECT c.*, list_distinct({oracle.tok('q.query')}) AS a, list_distinct({oracle.tok('c.text')}) AS b
+       FROM cand c JOIN queries q ON q.query_id = c.query_id),
+x AS (SELECT *, len(list_intersect(a, b)) AS hits FROM tk),
+y AS (SELECT *, CASE WHEN len(a) + len(b) - hits > 0 THEN hits::DOUBLE / (len(a) + len(b) - hits) ELSE 0.0 END AS cross_score FROM x)
+SELECT query_id, aspect, doc_id, round(cross_score, 6) AS cross_score,
+       row_number() OVER (PARTITION BY query_id ORDER BY round(cross_score, 9) DESC, doc_id) AS rerank_pos FROM y"""
+
+
 REGISTRY = {
+    "rerank_custom": (q_rerank_custom, SQL_RERANK_CUSTOM),
     "board_articles": (q_board_articles, SQL_BOARD_ARTICLES),
     "board_rows": (q_board_rows, SQL_BOARD_ROWS),
     "stage_counts": (q_stage_counts, SQL_STAGE_COUNTS),

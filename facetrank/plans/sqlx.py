@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import fixed
 from ..functions.fixed import TAG_MAP
+from ..sources.fixtures import FEATURE_NOTES, REVIEW_NOTES
 
 
 def lit(s: str) -> str:
@@ -73,12 +74,21 @@ def score_col(f: str) -> str:
     return f.replace("feat_", "", 1) + "_score"
 
 
+def note_of(notes: list[str], salt: str, key: str) -> str:
+    """Mirror of ``fixtures.note_of``."""
+    return f"({str_list(notes)})[(CAST(('0x' || substr(md5('{salt}:' || {key}), 1, 4)) AS INTEGER) % {len(notes)}) + 1]"
+
+
+NOTED = f"noted AS (SELECT * REPLACE (text || {note_of(REVIEW_NOTES, 'd', 'CAST(doc_id AS VARCHAR)')} AS text) FROM documents)"
+
+
 def halls_wide(features: list[str], name: str = "hw") -> str:
     cols = []
     for i, f in enumerate(features):
         ph = f"CAST(('0x' || substr(md5('p:' || CAST(id AS VARCHAR) || ':{i}'), 1, 4)) AS INTEGER)"
         present = f"({ph} % 3) <> 0"
-        cols.append(f"CASE WHEN {present} THEN concat_ws(' ', name, lower(hall_type)) END AS {f}")
+        note = note_of(FEATURE_NOTES, "n", f"CAST(id AS VARCHAR) || ':{i}'")
+        cols.append(f"CASE WHEN {present} THEN concat_ws(' ', name, lower(hall_type), nullif({note}, '')) END AS {f}")
         h = f"CAST(('0x' || substr(md5('q:' || CAST(id AS VARCHAR) || ':' || CAST(size AS VARCHAR) || ':{i}'), 1, 4)) AS INTEGER)"
         cols.append(f"CASE WHEN {present} THEN CAST(1 + ({h} % 5) AS INTEGER) END AS {score_col(f)}")
     return f"{name} AS (SELECT *, {', '.join(cols)} FROM halls)"

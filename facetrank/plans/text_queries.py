@@ -406,7 +406,7 @@ SELECT * FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank
 
 
 def q_word_doc_freq(spark, sf, top: int = 20):
-    d = fx.table(spark, sf, "documents").where(F.col("text").isNotNull())
+    d = fx.noted_documents(spark, sf).where(F.col("text").isNotNull())
     stop = F.array(*[F.lit(s) for s in fixed.STOPWORDS])
     w = d.select(F.explode(F.array_except(F.array_distinct(tx.words("text", WORD_PATTERN)), stop)).alias("word"))
     c = w.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -420,14 +420,26 @@ def _global_top(df: DataFrame, score: str, tie: str, top: int) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(tie))).cast("long"))
 
 
-SQL_WORD_DOC_FREQ = f"""WITH w AS (SELECT unnest(list_distinct(regexp_extract_all(text, {lit(WORD_PATTERN)}))) AS word
-                                    FROM documents WHERE text IS NOT NULL),
+SQL_WORD_DOC_FREQ = f"""WITH {sqlx.NOTED}, w AS (SELECT unnest(list_distinct(regexp_extract_all(text, {lit(WORD_PATTERN)}))) AS word
+                                    FROM noted WHERE text IS NOT NULL),
 c AS (SELECT word, count(*) AS n_docs FROM w WHERE word NOT IN ({', '.join(lit(s) for s in fixed.STOPWORDS)}) GROUP BY word)
 SELECT * FROM (SELECT word, n_docs, row_number() OVER (ORDER BY n_docs DESC, word) AS rank FROM c) WHERE rank <= 20"""
 
 
+def q_hangul_words(spark, sf, top: int = 30):
+    d = fx.noted_documents(spark, sf)
+    w = d.select(F.explode(tx.words(F.coalesce(F.col("text"), F.lit("nan")), fixed.HANGUL_WORD)).alias("word"))
+    return _global_top(w.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "n", "word", top)
+
+
+SQL_HANGUL = f"""WITH {sqlx.NOTED}, w AS (SELECT unnest(regexp_extract_all(coalesce(text, 'nan'), {lit(fixed.HANGUL_WORD)})) AS word FROM noted),
+c AS (SELECT word, count(*) AS n FROM w GROUP BY word)
+SELECT * FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 30"""
+
+
 def q_extract_region(spark, sf):
-    return fx.halls(spark, sf).select("id", tx.region_of("name").alias("region"))
+    name = F.concat("name", fx.note_of(fx.PLACE_NOTES, "r", "id"))
+    return fx.halls(spark, sf).select("id", tx.region_of(name).alias("region"))
 
 
 def _sql_region(x: str) -> str:
@@ -435,19 +447,20 @@ def _sql_region(x: str) -> str:
     return f"CASE {whens} ELSE {lit(fixed.REGION_DEFAULT)} END"
 
 
-SQL_REGION = f"SELECT p_partkey AS id, {_sql_region('p_name')} AS region FROM part"
+SQL_REGION = f"""WITH n AS (SELECT p_partkey AS id, p_name || {sqlx.note_of(fx.PLACE_NOTES, 'r', 'CAST(p_partkey AS VARCHAR)')} AS name FROM part)
+SELECT id, {_sql_region('name')} AS region FROM n"""
 
 
 def q_keyword_flags(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", *tx.vibe_flags("text"))
+    return fx.noted_documents(spark, sf).select("doc_id", *tx.vibe_flags("text"))
 
 
-SQL_FLAGS = ("SELECT doc_id, " + ", ".join(f"CAST({sqlx.any_kw('text', w)} AS INTEGER) AS {flag}"
-                                            for flag, w in fixed.VIBE_FLAGS) + " FROM documents")
+SQL_FLAGS = (f"WITH {sqlx.NOTED} SELECT doc_id, " + ", ".join(f"CAST({sqlx.any_kw('text', w)} AS INTEGER) AS {flag}"
+                                            for flag, w in fixed.VIBE_FLAGS) + " FROM noted")
 
 
 def q_extract_prices(spark, sf):
-    d = fx.table(spark, sf, "documents")
+    d = fx.noted_documents(spark, sf)
     return d.select("doc_id", tx.first_word("text").alias("venue_name"),
                     tx.first_price("text", fixed.FOOD_PRICE_PATTERN, fixed.FOOD_PRICE_DEFAULT).alias("food_price"),
                     tx.first_price("text", fixed.HALL_PRICE_PATTERN, fixed.HALL_PRICE_DEFAULT,
@@ -459,13 +472,13 @@ def _sql_price(pattern: str, default: int, unit: int = 1) -> str:
     return (f"CASE WHEN {m} = '' THEN {default} ELSE coalesce(TRY_CAST(replace({m}, ',', '') AS BIGINT) * {unit}, {default}) END")
 
 
-SQL_PRICES = f"""SELECT doc_id, split_part(coalesce(text, ''), ' ', 1) AS venue_name,
+SQL_PRICES = f"""WITH {sqlx.NOTED} SELECT doc_id, split_part(coalesce(text, ''), ' ', 1) AS venue_name,
        {_sql_price(fixed.FOOD_PRICE_PATTERN, fixed.FOOD_PRICE_DEFAULT)} AS food_price,
-       {_sql_price(fixed.HALL_PRICE_PATTERN, fixed.HALL_PRICE_DEFAULT, fixed.HALL_PRICE_UNIT)} AS hall_price FROM documents"""
+       {_sql_price(fixed.HALL_PRICE_PATTERN, fixed.HALL_PRICE_DEFAULT, fixed.HALL_PRICE_UNIT)} AS hall_price FROM noted"""
 
 
 def q_keyword_sentences(spark, sf):
-    d = fx.table(spark, sf, "documents")
+    d = fx.noted_documents(spark, sf)
     return d.select("doc_id", tx.keyword_sentences("text", fixed.FOOD_SENTENCE_WORDS).alias("food_sentences"),
                     tx.keyword_sentences("text", fixed.PARKING_SENTENCE_WORDS).alias("parking_sentences"))
 
@@ -475,8 +488,8 @@ def _sql_sent(words: list[str]) -> str:
     return f"array_to_string(regexp_extract_all(coalesce(text, ''), {lit(pattern)}), ' ')"
 
 
-SQL_SENT = (f"SELECT doc_id, {_sql_sent(fixed.FOOD_SENTENCE_WORDS)} AS food_sentences, "
-            f"{_sql_sent(fixed.PARKING_SENTENCE_WORDS)} AS parking_sentences FROM documents")
+SQL_SENT = (f"WITH {sqlx.NOTED} SELECT doc_id, {_sql_sent(fixed.FOOD_SENTENCE_WORDS)} AS food_sentences, "
+            f"{_sql_sent(fixed.PARKING_SENTENCE_WORDS)} AS parking_sentences FROM noted")
 
 
 def q_compose_query(spark, sf):
@@ -515,6 +528,7 @@ REGISTRY = {
     "hard_filter_in": (q_hard_filter_in, SQL_HFIN),
     "word_freq": (q_word_freq, SQL_WORD_FREQ),
     "word_doc_freq": (q_word_doc_freq, SQL_WORD_DOC_FREQ),
+    "hangul_words": (q_hangul_words, SQL_HANGUL),
     "extract_region": (q_extract_region, SQL_REGION),
     "keyword_flags": (q_keyword_flags, SQL_FLAGS),
     "extract_prices": (q_extract_prices, SQL_PRICES),

@@ -60,8 +60,9 @@ def hybrid_candidates(inp: Inputs, query_aspects: DataFrame, n: int = RETRIEVAL_
     return fusion.rrf(dense_, sparse, inp.chunks, n=n)
 
 
-def asked_aspects(inp: Inputs) -> tuple[DataFrame, DataFrame]:
-    scores = intent.vocabulary_scores(inp.chunks, inp.queries, inp.index.postings)
+def asked_aspects(inp: Inputs, intent_scorer=None) -> tuple[DataFrame, DataFrame]:
+    scores = intent.vocabulary_scores(inp.chunks, inp.queries, inp.index.postings) if intent_scorer is None else \
+        intent.scored(inp.queries, inp.aspect_order, intent_scorer)
     # bounded by queries x aspects; read by the BM25, dense and roll-up branches
     kept = materialize_small(intent.intent_aspects(scores, inp.aspect_order))
     return kept, materialize_small(intent.aspect_counts(inp.queries, kept))
@@ -77,8 +78,8 @@ class TwoStage:
     top: DataFrame
 
 
-def run(inp: Inputs, scorer=None, n: int = RETRIEVAL_TOP_N, top_n: int = FINAL_TOP_N) -> TwoStage:
-    kept, counts = asked_aspects(inp)
+def run(inp: Inputs, scorer=None, n: int = RETRIEVAL_TOP_N, top_n: int = FINAL_TOP_N, intent_scorer=None) -> TwoStage:
+    kept, counts = asked_aspects(inp, intent_scorer)
     cands = hybrid_candidates(inp, kept, n)
     rr = rerank.rerank(cands, inp.queries, scorer)
     roll = rollup.soft_weight_rollup(rr, counts)

@@ -23,13 +23,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import R1_WEIGHTS, TAG_MAP
+from ..functions.fixed import R1_WEIGHTS, REGION_KEYWORDS, STOPWORDS, TAG_MAP, VIBE_FLAGS
 
 DOCUMENT_ASPECTS = ["de", "en", "es", "fr"]
 HALL_FEATURES_3 = ["feat_parking", "feat_food", "feat_mood"]
 HALL_FEATURES_13 = [feature for _, feature in TAG_MAP]
 
 
+# Notes that reviewers leave, in the language of the keyword lists (the given texts hold none of those words).  A row
+# gets one by an md5 of its key, so that SQL can follow; the first is no note.
+REVIEW_NOTES = ["", *[f" {words[0]} 홀." for _, words in VIBE_FLAGS],
+                " 식대 65,000원 대관료 300만원. 주차 편리.", " 뷔페 음식 맛있음. 셔틀 운행.", f" {' '.join(STOPWORDS)} 식대 7만.", " 대관료 무료."]
+PLACE_NOTES = ["", *[f" {words[0]}" for _, words in REGION_KEYWORDS]]
+FEATURE_NOTES = ["", "조금 협소", "넓고 쾌적", ""]
+
+
+def note_of(notes: list[str], salt: str, key: Column | str) -> Column:
+    """The note of a row: notes[h mod n], h the first four hex digits of md5("salt:key")."""
+    key = (F.col(key) if isinstance(key, str) else key).cast("string")
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(salt + ":"), key)), 1, 4), 16, 10).cast("int")
+    return F.element_at(F.array(*[F.lit(x) for x in notes]), F.pmod(h, F.lit(len(notes))) + 1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -47,6 +62,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def noted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, each text with its reviewer's note."""
+    d = table(spark, sf_dir, "documents")
+    return d.withColumn("text", F.concat("text", note_of(REVIEW_NOTES, "d", "doc_id")))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"),
@@ -102,7 +123,7 @@ def halls_wide(spark: SparkSession, sf_dir: str, features: list[str] | None = No
     ``feat_x`` (text) and ``x_score`` (1..5).
 
     Feature ``i`` of hall ``id`` is present unless ``p % 3 = 0`` (the sparse
-    form: absent features are null); its text is the hall name and type, its
+    form: absent features are null); its text is the hall name and type and a note, its
     quality ``1 + q % 5``.  ``p`` and ``q`` are the first four hex digits of
     ``md5("p:id:i")`` and ``md5("q:id:size:i")``: presence and quality are
     independent across features (md5 so that the SQL oracle can follow).
@@ -115,7 +136,8 @@ def halls_wide(spark: SparkSession, sf_dir: str, features: list[str] | None = No
         ph = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("p"), F.col("id").cast("string"), F.lit(str(i)))),
                                 1, 4), 16, 10).cast("int")
         present = F.pmod(ph, F.lit(3)) != 0
-        cols.append(F.when(present, F.concat_ws(" ", "name", F.lower("hall_type"))).alias(f))
+        note = note_of(FEATURE_NOTES, "n", F.concat_ws(":", F.col("id").cast("string"), F.lit(str(i))))
+        cols.append(F.when(present, F.concat_ws(" ", "name", F.lower("hall_type"), F.nullif(note, F.lit("")))).alias(f))
         qh = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("q"), F.col("id").cast("string"), F.col("size").cast("string"),
                                                     F.lit(str(i)))), 1, 4), 16, 10).cast("int")
         cols.append(F.when(present, F.lit(1) + F.pmod(qh, F.lit(5))).cast("int").alias(score_column(f)))
