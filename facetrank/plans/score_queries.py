@@ -2,7 +2,7 @@
 
 Each entry is ``key -> (spark_callable, duckdb_sql)``.  The SQL is brute force
 (every user against every hall where the reviewed code does that) so that it
-checks the threshold-algorithm top-n and the pre-aggregated profile joins.
+checks the block-maxima top-n and the pre-aggregated profile joins.
 """
 
 from __future__ import annotations
