@@ -3,16 +3,17 @@
 The relation R1 holds every occurrence of a word as (position, word), sorted by position.  Positions run through
 the pieces of a block with a gap of one after each piece, so a position names its piece too and two positions
 in a row lie in one piece.  Round k
-1. counts the groups of R(k): each block sends its distinct phrases with their counts to the phrase's
-   partition, where a window sums them (pre-aggregated, so a hot phrase travels once a block);
-2. sends the frequent ones, and no others, back to the blocks that hold them;
+1. counts the groups of R(k): each block sends its distinct phrases with their counts to the bucket of each
+   phrase, which sums them (so a hot phrase travels once a block);
+2. sends the ids of the frequent ones, and of no others, back to the blocks that hold them;
 3. drops from R(k) in each block what is not frequent (the semi-join), and merge-joins the rest with
    itself at the next position: the phrase of k words at p and the one at p + 1 make one of k + 1 words.
 R(k + 1) is written, sorted by position, to the shared folder before the next round reads it.
 
-A phrase is known by its first place (block, number in the block's dictionary, length), and a longer one by the pair of
-phrases it is made of: exact keys, no hashes of words.  A block holds about BLOCK words (a longer text makes a longer
-block), however large the table.  Everything is per language.
+A phrase gets its id from its bucket; a longer one is the pair of ids it is made of: exact keys, no hashes of words.
+A block holds about BLOCK words (a longer text makes a longer block), however large the table.  What a block sends a
+bucket is one message of sorted numbers.  A message holds at least one phrase, so there are never more messages
+than there would be rows.  Everything is per language.
 
 For every frequent phrase the counts of all its prefixes and suffixes come from the two phrases it is made of.
 ``score`` is floor(SCALE * a / (l + r)) of the lowest-scoring cut, in decimals of 38 digits.
@@ -24,6 +25,7 @@ without a phrase of ``least`` occurrences, gives no rows; other columns are igno
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +34,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, ready, written
+from .common import documents, ready, shuffle_partitions, written
 
 LEAST = 30           # occurrences of a frequent phrase
 LONGEST = 4          # words of a phrase
 SCALE = 2_000_000
 INSIDE = 80          # a phrase goes if a longer one has this share (in hundredths) of its occurrences
 TOP = 2_000
-BLOCK = 1 << 21      # words of a block
+BLOCK = 1 << 20      # words of a block
 UND = "und"
-# a place: 20 bits of partition, 14 of block in the partition, 26 of number in the block, 3 of length
-BLOCK_BITS, LOCAL_BITS, LENGTH_BITS = 14, 26, 3
+BLOCK_BITS = 20      # blocks of a partition
+LEVEL = 5            # of compression of what is written and sent
+RELATION = "block long, occurrences binary, bucket int, message binary"
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 BREAK = b"\xff"      # no byte of UTF-8
@@ -70,25 +73,39 @@ class _Numbers(dict):
         return self.counter[0]
 
 
-def packed(pos: np.ndarray, gram: np.ndarray) -> bytes:
-    """A sorted relation of (position, phrase number) as bytes."""
+def _squeezed(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
+    """Arrays of one length as bytes, with what follows them.  First bytes, second bytes and so on lie together."""
     import zstandard
-    return zstandard.compress(np.array([len(pos)], "<i8").tobytes() + np.diff(pos, prepend=0).astype("<u4").tobytes()
-                              + gram.astype("<u4").tobytes(), 1)
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.compress(np.array([len(arrays[0])], "<i8").tobytes() + b"".join(planes) + tail, LEVEL)
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _opened(blob: bytes, *kinds: str) -> tuple:
     import zstandard
     raw = zstandard.decompress(blob)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    return (np.cumsum(np.frombuffer(raw, "<u4", n, 8), dtype=np.int64),
-            np.frombuffer(raw, "<u4", n, 8 + 4 * n).astype(np.int64))
+    n, at, out = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * size
+    return (*out, raw[at:])
+
+
+def packed(pos: np.ndarray, gram: np.ndarray) -> bytes:
+    """A sorted relation of (position, phrase number) as bytes."""
+    return _squeezed(np.diff(pos, prepend=0).astype("<u4"), gram.astype("<u4"))
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, gram, _ = _opened(blob, "<u4", "<u4")
+    return np.cumsum(steps, dtype=np.int64), gram.astype(np.int64)
 
 
 def next_relation(pos: np.ndarray, gram: np.ndarray, local: np.ndarray, ids: np.ndarray):
     """R(k + 1) of a block from R(k) and its frequent phrases (numbers and ids).
 
-    Returns positions, phrase numbers from 1, and per phrase its two parts' ids and its count.
+    Returns positions, phrase numbers from 1, and per phrase its two parts' ids (sorted) and its count.
     """
     by = np.argsort(ids)
     rank = np.zeros(int(max(gram.max(initial=0), local.max(initial=0))) + 1, dtype=np.int64)
@@ -98,41 +115,65 @@ def next_relation(pos: np.ndarray, gram: np.ndarray, local: np.ndarray, ids: np.
     key = gram[at] * (len(by) + 1) + gram[at + 1]       # the merge-join: the same piece, the next position
     value, number, count = np.unique(key, return_inverse=True, return_counts=True)
     ids = ids[by]
-    return (pos[at], number.reshape(-1) + 1, ids[value // (len(by) + 1) - 1] if len(value) else value,
-            ids[value % (len(by) + 1) - 1] if len(value) else value, count)
+    part = lambda rank: ids[rank - 1] if len(rank) else rank
+    return pos[at], number.reshape(-1) + 1, part(value // (len(by) + 1)), part(value % (len(by) + 1)), count
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    by = np.argsort(bucket, kind="stable")
+    first = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+    for lo, hi in zip(first, [*first[1:], len(by)], strict=True):
+        yield int(bucket[by[lo]]), by[lo:hi]
+
 
+def _rows(block: int, pos: np.ndarray, gram: np.ndarray, sent: list[tuple[int, bytes]]) -> dict[str, list]:
+    """A block's relation and its messages as columns of RELATION."""
+    return {"block": [block] * (1 + len(sent)), "occurrences": [packed(pos, gram)] + [None] * len(sent),
+            "bucket": [None] + [b for b, _ in sent], "message": [None] + [m for _, m in sent]}
 
-def _list_of(size: int, **columns: pa.Array) -> pa.Array:
-    """One list of structs holding all rows."""
-    return pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.StructArray.from_arrays(
-        list(columns.values()), names=list(columns)))
 
+_RELATION = pa.schema([("block", pa.int64()), ("occurrences", pa.binary()), ("bucket", pa.int32()), ("message", pa.binary())])
 
-def words(rows: DataFrame) -> DataFrame:
-    """R1: block, occurrences, and the block's dictionary (lang, word, n).  Written once."""
+
+_ANSWERS = pa.schema([("block", pa.int64()), ("message", pa.binary()), ("id", pa.int64()), ("f", pa.int64()), ("lang", pa.string()),
+                      ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def words(rows: DataFrame, buckets: int) -> DataFrame:
+    """R1 by block, and the blocks' distinct words by bucket.  Written once."""
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        if part >= 1 << 20:
-            raise ValueError("more than 2**20 partitions: coalesce the input first")
         block, counter, numbers, held, size = 0, [0], {}, [], 0
 
         def flush() -> pa.RecordBatch:
-            if block >= 1 << BLOCK_BITS or counter[0] >= 1 << LOCAL_BITS:
-                raise ValueError("a partition of too many blocks, or a block of too many words: cut the input finer")
+            if block >= 1 << BLOCK_BITS:
+                raise ValueError("a partition of too many blocks: cut the input finer")
             every = np.concatenate(held)
-            pos = np.flatnonzero(every)
+            # numbers by falling count: the common words' have zero high bytes, which take no space
             n = np.bincount(every, minlength=counter[0] + 1)
-            lang, word, at = [], [], np.zeros(counter[0], dtype=np.int64)
-            for name, own in numbers.items():
-                at[len(word):len(word) + len(own) - 1] = list(own.values())[1:]
-                word += list(own)[1:]
-                lang += [name] * (len(own) - 1)
-            entries = _list_of(len(word), local=pa.array(at.astype(np.int32)), lang=pa.array(lang, pa.string()),
-                               word=pa.array(word, pa.binary()).cast(pa.string()), n=pa.array(n[at]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part << BLOCK_BITS | block], pa.int64()), pa.array([packed(pos, every[pos])], pa.binary()), entries],
-                names=["block", "occurrences", "entries"])
+            by = np.argsort(-n[1:], kind="stable") + 1
+            rank = np.zeros(counter[0] + 1, dtype=np.int64)
+            rank[by] = np.arange(1, counter[0] + 1)
+            every, n = rank[every], np.concatenate([n[:1], n[by]])
+            pos = np.flatnonzero(every)
+            found: dict[int, tuple[list, list, list]] = {}
+            names = list(numbers)
+            for of, (lang, own) in enumerate(numbers.items()):
+                salt = xxhash.xxh3_64_intdigest(lang)
+                for word, at in own.items():
+                    if at:
+                        at = int(rank[at])
+                        local, langs, texts = found.setdefault(xxhash.xxh3_64_intdigest(word, salt) % buckets, ([], [], []))
+                        local.append(at)
+                        langs.append(of)
+                        texts.append(word)
+            heads = [x.encode() for x in names]
+            head = np.array([len(heads), *map(len, heads)], "<i8").tobytes() + b"".join(heads)
+            sent = [(b, _squeezed(np.array(local, "<u4"), n[local].astype("<i8"), np.array(langs, "<i4"),
+                                  tail=head + b"\n".join(texts))) for b, (local, langs, texts) in sorted(found.items())]
+            return pa.RecordBatch.from_pydict(_rows(part << BLOCK_BITS | block, pos, every[pos], sent), _RELATION)
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
@@ -144,62 +185,138 @@ def words(rows: DataFrame) -> DataFrame:
                 held.append(np.zeros(1, np.int32))
                 size += len(found)
                 if size >= BLOCK:
-                    yield flush()
+                    out = flush()
                     block, counter, numbers, held, size = block + 1, [0], {}, [], 0
+                    yield out
         if size:
-            yield flush()
-
-    return written(rows.mapInArrow(number, "block long, occurrences binary, "
-                                   "entries array<struct<local int,lang string,word string,n long>>"), "setm-1")
-
-
-def frequent(relation: DataFrame, k: int, key: list[str], least: int) -> DataFrame:
-    """block, local, the key, id (the first place) and f of the frequent phrases, once for each block.  Written once."""
-    rows = relation.select("block", F.explode("entries").alias("e")).select("block", "e.*")
-    place = F.shiftleft(F.shiftleft("block", LOCAL_BITS).bitwiseOR(F.col("local")), LENGTH_BITS).bitwiseOR(F.lit(k))
-    w = Window.partitionBy(*key)
-    rows = rows.select("block", "local", *key, "n", place.alias("place"))
-    rows = rows.select("block", "local", *key, "place", F.sum("n").over(w).alias("f"), F.min("place").over(w).alias("id"))
-    return written(rows.filter(F.col("f") >= least), f"setm-frequent-{k}")
-
-
-def longer(relation: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """R(k + 1): block, occurrences, and the block's dictionary (a, b, n).  Written once."""
+            out = flush()
+            numbers, held = {}, []
+            yield out
+
+    return written(rows.mapInArrow(number, RELATION), "setm-1")
+
+
+def _words_in(messages: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, list, list]:
+    """Of each message the block's numbers and the bucket's; sums by the bucket's number; its languages and words."""
+    seen: dict[tuple[str, bytes], int] = {}
+    local, own, count = [], [], []
+    for m in messages:
+        at, n, of, tail = _opened(m, "<u4", "<i8", "<i4")
+        k = int(np.frombuffer(tail, "<i8", 1)[0])
+        place, names = 8 + 8 * k, []
+        for size in np.frombuffer(tail, "<i8", k, 8).tolist():
+            names.append(tail[place:place + size].decode())
+            place += size
+        keys = zip([names[i] for i in of.tolist()], tail[place:].split(b"\n"), strict=True)
+        local.append(at)
+        own.append(np.fromiter((seen.setdefault(x, len(seen)) for x in keys), dtype=np.int64, count=len(at)))
+        count.append(n)
+    sums = np.zeros(len(seen), dtype=np.int64)
+    np.add.at(sums, np.concatenate(own), np.concatenate(count))
+    return local, own, sums, [x for x, _ in seen], [w for _, w in seen]
+
+
+def _pairs_in(messages: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The same for phrases of two parts: their ids in place of languages and words."""
+    found = [_opened(m, "<u8", "<u8", "<i8") for m in messages]
+    a = np.concatenate([np.cumsum(f[0], dtype=np.uint64) for f in found]).astype(np.int64)
+    b = np.concatenate([f[1] for f in found]).astype(np.int64)
+    by = np.lexsort((b, a))
+    head = np.concatenate([[True], (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])])
+    own = np.empty(len(by), dtype=np.int64)
+    own[by] = np.cumsum(head) - 1
+    first = np.flatnonzero(head)
+    sums = np.add.reduceat(np.concatenate([f[2] for f in found])[by], first)
+    cuts = np.cumsum([len(f[0]) for f in found])[:-1]
+    local = [int.from_bytes(f[3], "little") + np.arange(len(f[0])) for f in found]
+    return local, np.split(own, cuts), sums, a[by][first], b[by][first]
+
+
+def frequent(relation: DataFrame, k: int, buckets: int, least: int) -> DataFrame:
+    """What buckets answer, written once: block and message (numbers and ids of its frequent phrases); each frequent phrase
+    (id, f and what it is made of); and of words the sum of all counts of a language in the bucket (lang, f)."""
+    def settle(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        local, own, sums, x, y = (_words_in if k == 1 else _pairs_in)(table.column("message").to_pylist())
+        often = np.flatnonzero(sums >= least)
+        ids = np.zeros(len(sums), dtype=np.int64)
+        ids[often] = np.arange(len(often)) * buckets + bucket + 1
+        blocks, sent = [], []
+        for block, at, mine in zip(table.column("block").to_pylist(), local, own, strict=True):
+            got = ids[mine]
+            keep = np.flatnonzero(got)
+            if len(keep):
+                by = keep[np.argsort(at[keep], kind="stable")]
+                blocks.append(block)
+                sent.append(_squeezed(np.diff(at[by].astype(np.int64), prepend=0).astype("<u4"), got[by].astype("<u8")))
+        n = len(often)
+        totals = Counter()
+        if k == 1:
+            for lang, c in zip(x, sums.tolist(), strict=True):
+                totals[lang] += c
+        pad = lambda values, kind: pa.concat_arrays([pa.nulls(len(blocks), kind), pa.array(values, kind)])
+        made = ([pad([x[i] for i in often.tolist()], pa.string()), pad([y[i] for i in often.tolist()], pa.binary()).cast(pa.string()),
+                 pa.nulls(len(blocks) + n, pa.int64()), pa.nulls(len(blocks) + n, pa.int64())] if k == 1 else
+                [pa.nulls(len(blocks) + n, pa.string()), pa.nulls(len(blocks) + n, pa.string()), pad(x[often], pa.int64()),
+                 pad(y[often], pa.int64())])
+        out = pa.table([pa.array(blocks + [None] * n, pa.int64()), pa.array(sent + [None] * n, pa.binary()),
+                        pad(ids[often], pa.int64()), pad(sums[often], pa.int64()), *made], _ANSWERS)
+        return pa.concat_tables([out, pa.Table.from_pylist([{"lang": lang, "f": c} for lang, c in totals.items()], _ANSWERS)])
+
+    sent = relation.filter(F.col("message").isNotNull()).select("block", "bucket", "message")
+    return written(sent.groupBy("bucket").applyInArrow(
+        settle, "block long, message binary, id long, f long, lang string, word string, a long, b long"), f"setm-frequent-{k}")
+
+
+def longer(relation: DataFrame, found: DataFrame, k: int, buckets: int) -> DataFrame:
+    """R(k + 1) by block, and the blocks' distinct phrases by bucket.  Written once."""
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if left.num_rows and right.num_rows:
-            pos, gram = unpacked(left.column("occurrences")[0].as_py())
-            pos, gram, a, b, n = next_relation(pos, gram, right.column("local").to_numpy().astype(np.int64),
-                                               right.column("id").to_numpy())
-            if len(pos):
-                out = (left.column("block").to_pylist(), [packed(pos, gram)], _list_of(
-                    len(a), local=pa.array(np.arange(1, len(a) + 1, dtype=np.int32)), a=pa.array(a), b=pa.array(b),
-                    n=pa.array(n.astype(np.int64))))
-        kind = pa.list_(pa.struct([("local", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
-                         out[2] if len(out[2]) else pa.array([], kind)], names=["block", "occurrences", "entries"])
-
-    blocks = relation.select("block", "occurrences").groupBy("block")
-    return written(blocks.cogroup(found.select("block", "local", "id").groupBy("block")).applyInArrow(
-        join, "block long, occurrences binary, entries array<struct<local int,a long,b long,n long>>"), f"setm-{k + 1}")
+        if not left.num_rows or not right.num_rows:
+            return _RELATION.empty_table()
+        answers = [_opened(m, "<u4", "<u8")[:2] for m in right.column("message").to_pylist()]
+        local = np.concatenate([np.cumsum(x, dtype=np.int64) for x, _ in answers])
+        pos, gram = unpacked(left.column("occurrences")[0].as_py())
+        pos, gram, a, b, n = next_relation(pos, gram, local, np.concatenate([i for _, i in answers]).astype(np.int64))
+        if not len(pos):
+            return _RELATION.empty_table()
+        # a block's phrases are numbered in the order in which it sends them: a message names the first alone
+        with np.errstate(over="ignore"):
+            mix = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            mix = (mix ^ (mix >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        bucket = ((mix >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        sent, first, renamed = [], 1, np.zeros(len(a) + 1, dtype=np.int64)
+        for at, i in _by_bucket(bucket):
+            renamed[i + 1] = np.arange(first, first + len(i))
+            sent.append((at, _squeezed(np.diff(a[i], prepend=0).astype("<u8"), b[i].astype("<u8"), n[i].astype("<i8"),
+                                       tail=first.to_bytes(8, "little"))))
+            first += len(i)
+        return pa.Table.from_pydict(_rows(left.column("block")[0].as_py(), pos, renamed[gram], sent), _RELATION)
+
+    blocks = relation.filter(F.col("occurrences").isNotNull()).select("block", "occurrences").groupBy("block")
+    answers = found.filter(F.col("block").isNotNull()).select(F.col("block").alias("to"), "message").groupBy("to")
+    return written(blocks.cogroup(answers).applyInArrow(join, RELATION), f"setm-{k + 1}")
 
 
 def _first(found: DataFrame) -> DataFrame:
     """Each frequent phrase once."""
-    return found.filter("place = id").drop("block", "local", "place")
+    return found.filter(F.col("id").isNotNull()).drop("block", "message")
 
 
-def _made_of(found: DataFrame, parts: DataFrame) -> DataFrame:
-    """Words, counts of prefixes and suffixes, and ids of the shorter phrases inside, from the two parts."""
-    left = parts.select(F.col("id").alias("a"), "lang", F.col("words").alias("_words"), "pre", F.col("inside").alias("_la"))
-    right = parts.select(F.col("id").alias("b"), F.element_at("words", -1).alias("_last"), "suf", F.col("inside").alias("_lb"))
-    deep = F.when(F.size("_words") > 1, F.array_distinct(F.concat("_la", "_lb", F.array("a", "b")))).otherwise(
-        F.array().cast("array<bigint>"))
-    return _first(found).join(left, "a").join(right, "b").select(
-        "id", "lang", F.concat("_words", F.array("_last")).alias("words"), "f",
+def _made_of(found: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """Words, counts of prefixes and suffixes, and keys (length, id) of the shorter phrases inside, from the two parts."""
+    left = parts.select(F.col("id").alias("a"), F.col("lang").alias("of"), F.col("words").alias("head"), "pre", F.col("inside").alias("in_a"))
+    right = parts.select(F.col("id").alias("b"), F.element_at("words", -1).alias("last"), "suf", F.col("inside").alias("in_b"))
+    key = lambda c: F.struct(F.lit(k - 1).alias("k"), F.col(c).alias("id"))
+    deep = F.array_distinct(F.concat("in_a", "in_b", F.array(key("a"), key("b")))) if k > 2 else _no_keys()
+    return _first(found).select("id", "f", "a", "b").join(left, "a").join(right, "b").select(
+        "id", F.col("of").alias("lang"), F.concat("head", F.array("last")).alias("words"), "f",
         F.concat("pre", F.array("f")).alias("pre"), F.concat("suf", F.array("f")).alias("suf"), deep.alias("inside"))
 
 
+def _no_keys() -> Column:
+    return F.expr("cast(array() as array<struct<k:int,id:bigint>>)")
+
+
 def _cut(k: int) -> Column:
     """The lowest-scoring cut, of equal scores the one with the fewest words first."""
     def at(j: int) -> Column:
@@ -217,23 +334,24 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     ready(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UND)).alias("lang"),
                        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    relation = words(rows)
-    totals = relation.select(F.explode("entries").alias("e")).groupBy("e.lang").agg(F.sum("e.n").alias("n"))
-    found = frequent(relation, 1, ["lang", "word"], least)
+    buckets = shuffle_partitions(spark)
+    relation = words(rows, buckets)
+    found = frequent(relation, 1, buckets, least)
+    totals = found.filter("id is null and block is null").groupBy("lang").agg(F.sum("f").alias("n"))
     parts = _first(found).select("id", "lang", F.array("word").alias("words"), F.array("f").alias("pre"),
-                                 F.array("f").alias("suf"), F.array().cast("array<bigint>").alias("inside"))
+                                 F.array("f").alias("suf"), _no_keys().alias("inside"))
     every = []
     for k in range(2, longest + 1):
-        relation = longer(relation, found, k - 1)
-        found = frequent(relation, k, ["a", "b"], least)
-        parts = written(_made_of(found, parts), f"setm-phrases-{k}")
-        every.append(parts.select("id", "lang", "words", "f", "inside", _cut(k).alias("cut")))
+        relation = longer(relation, found, k - 1, buckets)
+        found = frequent(relation, k, buckets, least)
+        parts = written(_made_of(found, parts, k), f"setm-phrases-{k}")
+        every.append(parts.select(F.lit(k).alias("k"), "id", "lang", "words", "f", "inside", _cut(k).alias("cut")))
     phrases = every[0]
     for more in every[1:]:
         phrases = phrases.unionByName(more)
-    around = phrases.select(F.explode("inside").alias("id"), F.col("f").alias("_f")).groupBy("id").agg(F.max("_f").alias("_most"))
+    around = phrases.select(F.explode("inside").alias("x"), F.col("f").alias("_f")).groupBy("x.k", "x.id").agg(F.max("_f").alias("_most"))
     whole = F.expr(f"cast(_most as decimal(19,0)) * 100 >= cast(f as decimal(19,0)) * {int(inside)}")
-    return (phrases.join(around, "id", "left").filter(~F.coalesce(whole, F.lit(False))).join(totals, "lang")
+    return (phrases.join(around, ["k", "id"], "left").filter(~F.coalesce(whole, F.lit(False))).join(totals, "lang")
             .select("lang", "words", F.col("f").alias("a"), F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n",
                     F.col("cut.score").alias("score")))
 
