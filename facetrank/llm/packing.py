@@ -58,6 +58,8 @@ class WordEncoder:
         tokenizer = Tokenizer.from_file(path)
         self.encode = tokenizer.encode_batch_fast
         vocabulary = tokenizer.get_vocab()
+        if max(vocabulary.values()) > 0xFFFF:
+            raise ValueError("ids are kept in 2 bytes: the tokenizer has more than 65,536")
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
@@ -65,7 +67,7 @@ class WordEncoder:
 
     def _each(self, pieces: list[str], cache: dict[str, bytes]) -> None:
         for p, e in zip(pieces, self.encode(pieces, add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, dtype="<u4").tobytes()
+            cache[p] = np.array(e.ids, dtype="<u2").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         if len(self.cache) > CACHE_WORDS:
@@ -86,12 +88,12 @@ class WordEncoder:
                 other.append(p)
         if new:
             parts = list(new)
-            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.encode(
+            ids = np.concatenate([np.array(e.ids, dtype="<u2") for e in self.encode(
                 [" ".join(parts[i:i + 500]) for i in range(0, len(parts), 500)], add_special_tokens=False)])
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(parts):
                 raw, at = ids.tobytes(), 0
-                for p, e in zip(parts, (4 * (last + 1)).tolist(), strict=True):
+                for p, e in zip(parts, (2 * (last + 1)).tolist(), strict=True):
                     self.parts[p] = raw[at:e]
                     at = e
             else:                                          # a tokenizer without such marks
@@ -101,7 +103,7 @@ class WordEncoder:
         self._each(other, self.cache)
 
     def ids(self, texts: list[str], end: bytes) -> list[bytes]:
-        """The ids of each text (little-endian, 4 bytes an id), with ``end`` after them."""
+        """The ids of each text (little-endian, 2 bytes an id), with ``end`` after them."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         pieces = set().union(*split)
         missing = pieces.difference(self.cache)
@@ -111,20 +113,31 @@ class WordEncoder:
         return [b"".join(map(get, pieces)) + end for pieces in split]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder a Python worker: what it has learned serves the next task too."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id",
               text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, n, ids (little-endian, 2 bytes an id), part and start: the written part, and the
     tokens of the same source before this row in that part."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = WordEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u2").tobytes()
         sent: dict[str, int] = {}
         for batch in batches:
             ids, n, start = [], [], []
             sources, texts = batch.column("source").to_pylist(), batch.column("text").to_pylist()
             for k in range(0, len(texts), 64):
                 some = enc.ids([t or "" for t in texts[k:k + 64]], end)
-                ids += [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in some]
-                n += [len(x) // 4 for x in some]
+                ids += some
+                n += [len(x) // 2 for x in some]
             for source, size in zip(sources, n, strict=True):
                 start.append(sent.get(source, 0))
                 sent[source] = start[-1] + size
