@@ -2,7 +2,7 @@
 
 The SQL is written brute force (full products at the small check scale) so
 that it checks the Spark plans' shortcuts: padding, local top-n, broadcast
-query blocks, trigram keys.  Fragments are shared CTE text.
+query blocks, the gold automaton.  Fragments are shared CTE text.
 """
 
 from __future__ import annotations
