@@ -6,11 +6,15 @@ to judge them; language identification rejects texts without a letter and ambigu
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, mixing, neardup, packing, secrets
 
+MIXED = "mixing"     # name of the note that mixed tables carry
+
 
 def _whole(docs: DataFrame):
     """The row as one column, safe from columns that operators add."""
@@ -42,20 +46,27 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the mixed order: files and rows follow (slot, offset)."""
     mixed = mixing.mix(docs.select(_whole(docs), "doc_id", "text", "source"), keep=("doc",))
-    return mixed.orderBy("slot", "offset").select("doc.*")
+    found, slots = mixing.allotted(docs.select(F.col("source").cast("string").alias("_source"), mixing.in_order()[2]))
+    plan = json.dumps([(s, shared, slots[i]) for i, (s, _, shared) in enumerate(found)])
+    # the plan goes with the table: queues and shares as a note on the column source, which Parquet keeps
+    columns = [F.col(f"doc.`{c}`").alias(c, metadata={MIXED: plan}) if c == "source" else F.col(f"doc.`{c}`") for c in docs.columns]
+    return mixed.orderBy("slot", "offset").select(*columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents: queues, target shares and the order inside a queue are those of the mixing."""
-    keys = mixing.in_order()
+    """Pieces of all documents, by the plan that the mixing left with them: its queues, their shares and the order inside a
+    queue.  Documents that were not mixed are packed in the order of the packing itself."""
+    note = docs.schema["source"].metadata.get(MIXED)
+    if note is None:
+        return packing.pieces_of(docs)
+    plan = json.loads(note)
     source = F.col("source").cast("string")
-    found, slots = mixing.allotted(docs.select(source.alias("_source"), keys[2]))
-    own = [s for s, _, shared in found if not shared]
+    own = [s for s, shared, _ in plan if not shared]
     label = lambda s, shared: packing.REST if shared else packing.NULL if s is None else s
-    targets = {label(s, shared): slots[i] for i, (s, _, shared) in enumerate(found)}
-    mine = source.isin([s for s in own if s is not None])
-    kept = F.coalesce(mine, F.lit(None in own))
-    # files come back in any order: the mixed order is a function of the rows, worked out again
+    targets = {label(s, shared): n for s, shared, n in plan}
+    kept = F.coalesce(source.isin([s for s in own if s is not None]), F.lit(None in own))
+    # files come back in any order: rows of a queue sorted by these keys are in the order of (slot, offset)
+    keys = mixing.in_order()
     rows = docs.select("doc_id", "text", F.when(kept, source).otherwise(packing.REST).alias("source"), *keys)
     return packing.pieces_of(rows.orderBy("_h", "_id", "_size", "_crc"), targets=targets)
 

@@ -106,3 +106,18 @@ def test_empty_table(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_packing_follows_the_plan_left_by_the_mixing(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word%d and some more " % i * 20, "big" if i % 9 else "mid") for i in range(400)],
+                                 "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    stages = dict(corpus_pipeline.STAGES)
+    stages["mix"](spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    placed = lambda df: sorted(map(tuple, stages["pack"](spark, df, SF).select("doc_id", "start", "sequence_id", "offset").collect()))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    assert "mixing" in mixed.schema["source"].metadata
+    assert placed(mixed) != placed(docs)      # without the stage the packing is another
+    check_packed(stages["pack"](spark, docs, SF).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+    note = mixed.schema["source"].metadata["mixing"]
+    other = mixed.withColumn("source", F.col("source").alias("source", metadata={"mixing": note.replace('"mid"', '"none"')}))
+    assert placed(other) != placed(mixed)     # and its queues are those of the plan
