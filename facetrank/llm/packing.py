@@ -34,7 +34,8 @@ END_ID = 1
 QUEUES = 1024       # the largest sources have a queue of their own, the others share one
 TEMPERATURE = 0.7   # default targets: a source's share of tokens to this power
 CACHE_WORDS = 600_000
-CHUNK_TOKENS = 4_000_000   # tokens cut at once (one longer document is a chunk)
+CHUNK_TOKENS = 500_000     # tokens cut at once (one longer document is a chunk)
+CHUNK_ROWS = 1024          # texts encoded before their ids leave the worker
 REST = "\x00rest"   # label of the shared queue
 NULL = "\x00null"   # label of the null source's queue
 
@@ -124,21 +125,19 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id",
-              text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, n, ids (little-endian, 2 bytes an id), part and start: the written part, and the
-    tokens of the same source before this row in that part."""
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u2").tobytes()
-        sent: dict[str, int] = {}
-        for batch in batches:
+def encoded(batches: Iterator[pa.RecordBatch], enc: WordEncoder, end_id: int) -> Iterator[pa.RecordBatch]:
+    """The rows of doc_id, source, part, text with their ids, CHUNK_ROWS at a time however long a batch is."""
+    end = np.array([end_id], dtype="<u2").tobytes()
+    sent: dict[str, int] = {}
+    for whole in batches:
+        for at in range(0, whole.num_rows, CHUNK_ROWS):
+            batch = whole.slice(at, CHUNK_ROWS)
             ids, n, start = [], [], []
-            sources, texts = batch.column("source").to_pylist(), batch.column("text").to_pylist()
-            for k in range(0, len(texts), 64):
-                some = enc.ids([t or "" for t in texts[k:k + 64]], end)
+            for k in range(0, batch.num_rows, 64):
+                some = enc.ids([t or "" for t in batch.column("text").slice(k, 64).to_pylist()], end)
                 ids += some
                 n += [len(x) // 2 for x in some]
-            for source, size in zip(sources, n, strict=True):
+            for source, size in zip(batch.column("source").to_pylist(), n, strict=True):
                 start.append(sent.get(source, 0))
                 sent[source] = start[-1] + size
             yield pa.RecordBatch.from_arrays(
@@ -146,6 +145,14 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
                  pa.array(start, pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "source", "part", "n", "start", "ids"])
 
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id",
+              text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, n, ids (little-endian, 2 bytes an id), part and start: the written part, and the
+    tokens of the same source before this row in that part."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return encoded(batches, encoder(tokenizer), end_id)
+
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                      F.spark_partition_id().alias("part"), F.col(text_col).alias("text"))
     kind = dict(df.dtypes)["doc_id"]
@@ -256,6 +263,7 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     index = {q: i for i, q in enumerate(names)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()                                   # the ids are written: a worker used again needs no caches
         for whole in batches:
             n_all = np.asarray(whole.column("n"))
             at = 0

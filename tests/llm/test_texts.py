@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,3 +271,20 @@ def test_special_strings_and_odd_blanks(spark):
     rows = [(1, "a b c\x1cd <|endoftext|> x<|startoftext|>y"), (2, "ΟΔΟΣ ὈΔΥΣΣΕΎΣ\u0085é ́x"), (3, "it's we'll 'S 12ab")]
     docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
     check_packed(packing.pieces_of(docs).collect(), rows)
+
+
+def test_workers_of_the_packing_hold_few_rows_at_once():
+    """However long an Arrow batch is, ids leave the worker CHUNK_ROWS texts at a time; starts go on across them."""
+    import public_tokenizers
+    n = 2 * packing.CHUNK_ROWS + 5
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n), pa.int64()), pa.array(["a" if i % 3 else None for i in range(n)]), pa.array([0] * n, pa.int32()),
+         pa.array([None if i % 7 == 0 else f"word {i}" for i in range(n)])], names=["doc_id", "source", "part", "text"])
+    out = list(packing.encoded([batch], packing.encoder(public_tokenizers.path("word_bpe_49k.json")), packing.END_ID))
+    assert max(b.num_rows for b in out) <= packing.CHUNK_ROWS
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(n))
+    sent = {}
+    for r in rows:
+        assert r["n"] == len(r["ids"]) // 2 and r["start"] == sent.get(r["source"], 0)
+        sent[r["source"]] = r["start"] + r["n"]
