@@ -41,7 +41,7 @@ class Stages:
 
 def run(inp: ts.Inputs, scorer=None, n: int = RETRIEVAL_TOP_N, top_n: int = FINAL_TOP_N) -> Observed:
     stage = Stages(inp.chunks.sparkSession)
-    scores = intent.vocabulary_scores(inp.chunks, inp.queries, inp.index.postings)
+    scores = intent.vocabulary_scores(inp.chunks, inp.queries, inp.index.terms)
     kept = stage("intent", intent.intent_aspects(scores, inp.aspect_order))
     counts = intent.aspect_counts(inp.queries, kept)
     cands = stage("candidates", ts.hybrid_candidates(inp, kept, n))

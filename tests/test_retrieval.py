@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from facetrank.functions.vectors import cosine
 from facetrank.operators import fusion, lexical, metrics, rollup
 from facetrank.operators.dense import dense_topk
 
@@ -310,3 +312,50 @@ def test_every_chunk_gets_a_vector_and_tokens_are_cut(spark):
             return np.array([[len(t), 1.0] for t in tokens]).reshape(-1, 2), np.ones(len(tokens))
     got = {r.doc_id: r.vector for r in encode.encode_pooled(df, encoder_factory=Lengths).collect()}
     assert got[0] == pytest.approx([1 / math.sqrt(2), 1 / math.sqrt(2)]) and got[1] == [0.0, 0.0]
+
+
+def test_bm25_makes_no_row_per_query_and_chunk(spark):
+    """Repeated ids, empty texts and terms of weight 0 (half the chunks have them) rank as by the definition."""
+    rows = [(i % 40, "x", " ".join(["half"] * (i % 2) + [f"w{i % 7}"] * (i % 4))) for i in range(50)] + [(99, "x", "")]
+    chunks = spark.createDataFrame(rows, "doc_id long, aspect string, text string")
+    q = spark.createDataFrame([(0, "half w1 w1"), (1, "w3 none"), (2, "half")], "query_id long, query string")
+    qa = lexical.all_aspects(q, ["x"])
+    index = lexical.build_index(chunks)
+    terms, asp = {r.term: r.idf for r in index.terms.collect()}, index.aspects.first()
+    want = {}
+    for query in q.collect():
+        score = {}
+        for r in index.postings.where("term is not null").collect():
+            if r.term in query["query"].split():
+                norm = 1.5 * (0.25 + 0.75 * r.dl / asp.avgdl)
+                score[r.doc_id] = score.get(r.doc_id, 0) + query["query"].split().count(r.term) * terms[r.term] * r.tf * 2.5 / (r.tf + norm)
+        for d in sorted(d for d, *_ in rows)[:10]:
+            score.setdefault(d, 0.0)
+        want[query["query_id"]] = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:10]
+    found = lexical.bm25_topk(chunks, q, qa, n=10)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    for k, v in want.items():
+        assert [d for d, _ in got[k]] == [d for d, _ in v]
+        assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got[k], v, strict=True))
+
+
+def test_lsh_in_blocks_is_lsh_over_pairs(spark):
+    from facetrank.operators import dense
+    rng = np.random.default_rng(3)
+    vectors = [rng.normal(size=64).tolist() for _ in range(60)]
+    vectors[5] = None
+    vectors[6] = [*vectors[6][:-1], None]
+    rows = [(i % 55, None if i % 11 == 0 else "ab"[i % 2], vectors[i]) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "doc_id long, aspect string, vector array<double>")
+    qv = spark.createDataFrame([(i, vectors[i]) for i in range(20)] + [(3, vectors[30])], "query_id long, vector array<double>")
+    hits = (dense.lsh_pairs(corpus, qv, 3, 4).join(qv.withColumnRenamed("vector", "qv"), "query_id").join(corpus, "doc_id")
+            .select("query_id", "aspect", "doc_id", cosine("qv", "vector").alias("sim")))
+    key = lambda df: sorted((r.query_id, str(r.aspect), r["rank"], r.doc_id, round(-9 if r.sim is None else r.sim, 6)) for r in df.collect())
+    found = dense.dense_topk_lsh(corpus, qv, 9, 3, 4)
+    assert " Join " not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = key(dense.rank_within(hits, ["query_id", "aspect"], "sim", "doc_id", 9))
+    got = key(found)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and sorted(x[:2] + x[3:] for x in got) == sorted(x[:2] + x[3:] for x in want)
