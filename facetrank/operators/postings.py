@@ -15,14 +15,22 @@ Search, per (query, aspect):
 3. terms whose largest bounds add up to less than that cannot bring a chunk in by themselves, and a block of another
    term is skipped if its bound and the largest bounds of all other terms stay below; chunks in the remaining blocks are
    the candidates;
-4. candidates are scored whole from the chunk table and ranked with the zero-score padding of ``lexical``.
+4. candidates are scored whole from the chunk table, block by block as in ``lexical``, and ranked with its zero-score padding.
+   A chunk that is a candidate of some query is scored for all: no row per (query, chunk) is made.
+
+The chunk table and the blocks are built from sorted partitions, a stretch of rows at a time.
 Nothing that belongs to the first n is lost.  In an aspect with negative idf values nothing is skipped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,38 +70,113 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in stretches that hold whole keys, with the number of each row's key from 0."""
+    held: list[pa.RecordBatch] = []
+
+    def whole(more: bool) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        new = np.zeros(len(table), bool)
+        for k in keys:
+            codes = np.asarray(table.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices)
+            new[1:] |= codes[1:] != codes[:-1]
+        number = np.cumsum(new)
+        cut = int(np.searchsorted(number, number[-1])) if more else len(table)     # the last key may go on
+        if more:
+            held.extend(table.slice(cut).to_batches())
+        if cut:
+            yield table.slice(0, cut), number[:cut]
+
+    rows = checked = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 2 * checked:                          # a long key is looked at again only once it has doubled
+                yield from whole(True)
+                rows = checked = sum(x.num_rows for x in held)
+    if held:
+        yield from whole(False)
+
+
+def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """aspect, doc_id, dl with sorted terms and counts, from rows sorted by these; equal keys are one row."""
+    keys = ["aspect", "doc_id", "dl"]
+    for rows, number in _runs(batches, keys):
+        split = pc.ascii_split_whitespace(rows.column("text").combine_chunks().fill_null(""))
+        tokens = split.flatten()
+        owner = np.repeat(number, np.diff(np.asarray(split.offsets)))
+        some = np.asarray(pc.greater(pc.binary_length(tokens), 0))
+        tokens, owner = tokens.filter(pa.array(some)), owner[some]
+        vocabulary = pc.unique(tokens)
+        vocabulary = vocabulary.take(pc.sort_indices(vocabulary))
+        term = np.asarray(pc.index_in(tokens, value_set=vocabulary)).astype(np.int64)
+        key, tf = np.unique(owner * max(1, len(vocabulary)) + term, return_counts=True)
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        offsets = pa.array(np.searchsorted(key, np.arange(len(first) + 1) * max(1, len(vocabulary))), pa.int32())
+        terms = vocabulary.take(pa.array(key % max(1, len(vocabulary))))
+        kept = rows.select(keys).take(pa.array(first)).combine_chunks()
+        yield pa.RecordBatch.from_arrays(
+            [*[kept.column(k).combine_chunks() for k in keys], pa.ListArray.from_arrays(offsets, terms),
+             pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int64()))], names=[*keys, "terms", "tfs"])
+
+
+def _blocked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of ``size`` postings from rows sorted by aspect, term, part and falling impact; ids rise inside a block."""
+    keys = ["aspect", "term", "part"]
+    for rows, number in _runs(batches, keys):
+        place = np.arange(len(number)) - np.searchsorted(number, number)
+        first = np.flatnonzero(place % size == 0)
+        ids = np.asarray(rows.column("doc_id"))
+        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+        order = pa.array(np.lexsort((np.asarray(rows.column("tf")), ids, own)))
+        kept = rows.select([*keys, "i"]).take(pa.array(first)).combine_chunks()
+        offsets = pa.array(np.append(first, len(ids)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, rows.column(c).take(order).combine_chunks()) for c in ("doc_id", "tf")]
+        yield pa.RecordBatch.from_arrays(
+            [*[kept.column(k).combine_chunks() for k in keys], pa.array(place[first] // size, pa.int64()),
+             kept.column("i").combine_chunks(), pa.array(np.diff(np.append(first, len(ids))), pa.int32()), *lists],
+            names=[*keys, "block", "impact", "n", "ids", "tfs"])
+
+
 def store(chunks: DataFrame, path: str | None = None, epsilon: float = BM25_EPSILON) -> str:
     """Write the index of aspect, doc_id, text; returns its folder."""
     spark = chunks.sparkSession
     path = path or shared_path(spark, "bm25-index")
-    tokens = lexical.tokens("text")
-    post = lexical.postings(chunks)
-    forward = post.groupBy("aspect", "doc_id", "dl").agg(F.sort_array(F.collect_list(
-        F.when(F.col("term").isNotNull(), F.struct("term", "tf")))).alias("t"))
-    forward.select("aspect", "doc_id", "dl", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs")) \
-        .write.parquet(f"{path}/chunks")
+    rows = chunks.select("aspect", "doc_id", F.size(lexical.tokens("text")).alias("dl"), "text")
+    rows.repartition("aspect", "doc_id").sortWithinPartitions("aspect", "doc_id", "dl") \
+        .mapInArrow(_forward, SCHEMAS["chunks"]).write.parquet(f"{path}/chunks")
     forward = _read(spark, path, "chunks")
-    asp = chunks.groupBy("aspect").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens)).alias("avgdl"))
-    flat = forward.select("aspect", "doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(
-        "aspect", "doc_id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
-    raw = flat.groupBy("aspect", "term").agg(F.count(F.lit(1)).alias("df")).join(asp, "aspect").withColumn(
+    asp = chunks.groupBy("aspect").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(lexical.tokens("text"))).alias("avgdl"))
+    asp = asp.persist(StorageLevel.MEMORY_AND_DISK)
+    raw = forward.select("aspect", F.explode("terms").alias("term")).groupBy("aspect", "term").agg(
+        F.count(F.lit(1)).alias("df")).join(asp, "aspect").withColumn(
         "raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)          # read for the mean and for the terms
     mean = raw.groupBy("aspect").agg((F.lit(epsilon) * F.avg("raw")).alias("eps"))
     asp.join(mean, "aspect", "left").select("aspect", "n_docs", "avgdl", "eps").write.parquet(f"{path}/aspects")
     aspects = _read(spark, path, "aspects")
     raw.select("aspect", "term", "df", "raw").join(aspects.select("aspect", "eps"), "aspect").select(
         "aspect", "term", "df", F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw")).alias("idf")) \
         .write.parquet(f"{path}/terms")
-    sized = flat.join(_read(spark, path, "terms").select("aspect", "term", "df"), ["aspect", "term"]) \
-        .join(aspects.select("aspect", "avgdl"), "aspect")
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / PART_ROWS)).cast("int")
-    sized = sized.select("aspect", "term", "doc_id", "tf", part.alias("part"), _impact(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("i"))
-    place = F.row_number().over(Window.partitionBy("aspect", "term", "part").orderBy(F.desc("i"), "doc_id"))
-    blocks = sized.withColumn("block", F.floor((place - 1) / BLOCK)).groupBy("aspect", "term", "part", "block").agg(
-        F.max("i").alias("impact"), F.count(F.lit(1)).cast("int").alias("n"),
-        F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("x"))
-    blocks.select("aspect", "term", "part", "block", "impact", "n", F.col("x.doc_id").alias("ids"), F.col("x.tf").alias("tfs"),
-                  _bucket(F.col("term")).alias("bucket")).write.partitionBy("bucket").parquet(f"{path}/postings")
+    raw.unpersist()
+    asp.unpersist()
+    # only terms in more than PART_ROWS chunks have parts: a small table, known as such before the join
+    many = f"{path}-many"
+    _read(spark, path, "terms").where(F.col("df") > PART_ROWS).select(
+        "aspect", "term", F.ceil(F.col("df") / PART_ROWS).alias("parts")).write.parquet(many)
+    parts = spark.read.schema("aspect string, term string, parts long").parquet(many)
+    flat = forward.select("aspect", "doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(
+        "aspect", "doc_id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+    sized = flat.join(aspects.select("aspect", "avgdl"), "aspect").join(parts, ["aspect", "term"], "left")
+    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    sized = sized.select("aspect", "term", part.alias("part"), "doc_id", "tf",
+                         _impact(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("i"))
+    size = BLOCK
+    blocks = sized.repartition("aspect", "term", "part").sortWithinPartitions("aspect", "term", "part", F.desc("i"), "doc_id").mapInArrow(
+        lambda batches: _blocked(batches, size), "aspect string, term string, part int, block long, impact double, n int, ids array<bigint>, tfs array<bigint>")
+    blocks.withColumn("bucket", _bucket(F.col("term"))).write.partitionBy("bucket").parquet(f"{path}/postings")
     return path
 
 
@@ -121,10 +204,8 @@ def search(index: StoredIndex, queries: DataFrame, query_aspects: DataFrame, n:
         return spark.read.schema(df.schema).parquet(path)
 
     pair = ["query_id", "aspect"]
-    wanted = kept(lexical.query_terms(queries).join(query_aspects.select(*pair), "query_id")
-                  .join(index.terms.select("aspect", "term", "idf"), ["aspect", "term"])
-                  .join(index.aspects.select("aspect", "avgdl", "eps"), "aspect")
-                  .select(*pair, "term", "qtf", "idf", "avgdl", "eps", _bucket(F.col("term")).alias("bucket")), "bm25-wanted")
+    wanted = kept(lexical.wanted_terms(index.terms, index.aspects, queries, query_aspects)
+                  .withColumn("bucket", _bucket(F.col("term"))), "bm25-wanted")
     # 1. headers only: the postings themselves are not read
     heads = kept(wanted.join(index.postings.select("aspect", "term", "part", "block", "impact", "n", "bucket"), ["bucket", "aspect", "term"])
                  .select(*pair, "term", "part", "block", "n", "bucket", "eps", (F.col("qtf") * F.col("idf") * F.col("impact")).alias("bound")),
@@ -144,18 +225,19 @@ def search(index: StoredIndex, queries: DataFrame, query_aspects: DataFrame, n:
     # 3. blocks that may hold one of the first n
     judged = heads.join(tops, [*pair, "term"]).join(reached, pair, "left")
     may = (F.col("risen") >= F.col("least") - SLACK) & (F.col("bound") + F.col("all") - F.col("top") >= F.col("least") - SLACK)
-    open_ = kept(judged.filter(F.col("least").isNull() | (F.col("eps") < 0) | may).select(*pair, "term", "part", "block", "n", "bucket"),
+    open_ = kept(judged.filter(F.col("least").isNull() | (F.col("eps") < 0) | may).select(*pair, "term", "part", "block", "n", "bucket", "eps"),
                  "bm25-open")
-    found = _listed(index, open_).select(*pair, "doc_id").distinct()
-
-    # 4. whole scores of the candidates
-    asked = wanted.groupBy(*pair).agg(F.collect_list(F.struct("term", "qtf", "idf")).alias("asked"), F.first("avgdl").alias("avgdl"))
-    rows = found.join(index.chunks, ["aspect", "doc_id"]).join(asked, pair)
-    rows = rows.withColumn("tf_of", F.map_from_arrays("terms", "tfs"))
-    score = F.aggregate("asked", F.lit(0.0), lambda s, t: s + F.coalesce(
-        t["qtf"] * t["idf"] * _impact(F.element_at(F.col("tf_of"), t["term"]), F.col("dl"), F.col("avgdl")), F.lit(0.0)))
-    scores = rows.select(*pair, "doc_id", score.alias("score"))
+    blocks = ["bucket", "aspect", "term", "part", "block"]
+    found = index.postings.join(open_.where(F.col("eps").isNull() | (F.col("eps") >= 0)).select(*blocks).distinct(), blocks, "left_semi") \
+        .select("aspect", F.explode("ids").alias("doc_id")).distinct()
+
+    # 4. whole scores of the candidates; where idf values are negative, of all chunks
+    neg = index.aspects.where(F.col("eps") < 0).select("aspect")
+    rows = index.chunks.join(found, ["aspect", "doc_id"], "left_semi").unionByName(index.chunks.join(neg, "aspect", "left_semi"))
+    count = lexical.block_count(index.chunks, F.size("terms") * 16 + 64, lexical.BLOCK_BYTES)
+    scores = lexical.best_in_blocks(rows, count, lexical.list_counts, False, wanted, index.aspects, query_aspects, n)
     ranked = lexical.padded(scores, index.chunks.select("aspect", "doc_id"), index.aspects, query_aspects, n)
+    open_ = open_.drop("eps")
     read = open_.unionByName(first).distinct()
     return Search(ranked, read.select(*pair, "term", "n"), heads.select(*pair, "term", "n"))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from facetrank.operators import lexical, postings
@@ -67,3 +68,23 @@ def test_negative_idf_and_no_rows(spark):
     assert _key(postings.search(index, q, qa, n=3).ranked) == _key(lexical.bm25_topk(chunks, q, qa, n=3))
     empty = postings.load(spark, postings.store(chunks.filter("false")))
     assert postings.search(empty, q, qa, n=3).ranked.count() == 0
+
+
+def test_a_candidate_is_scored_without_a_row_per_query(spark):
+    """No join of the search makes (query, chunk) rows with the terms of the chunk."""
+    chunks = _chunks(spark, 300)
+    q = spark.createDataFrame([(i, "c1 c2 c3") for i in range(50)], "query_id long, query string")
+    found = postings.search(postings.load(spark, postings.store(chunks)), q, lexical.all_aspects(q, ["a", "b"]), n=5)
+    plan = found.ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_arrays" not in plan and "FlatMapCoGroupsInArrow" in plan
+    assert found.ranked.count() == 50 * 10
+
+
+def test_sorted_rows_come_in_stretches_of_whole_keys():
+    keys = [0] * 3 + [1] * 40 + [2] + [None] * 2 + list(range(3, 60))
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[i:i + 4], pa.int64())}) for i in range(0, len(keys), 4)]
+    out = [(t.column("k").to_pylist(), n.tolist()) for t, n in postings._runs(iter(batches), ["k"])]
+    assert [x for t, _ in out for x in t] == keys and len(out) > 5
+    seen = [x for t, _ in out for x in dict.fromkeys(t)]
+    assert len(seen) == len(set(seen))
+    assert all(n == [list(dict.fromkeys(t)).index(x) for x in t] for t, n in out)
