@@ -317,15 +317,16 @@ def test_every_chunk_gets_a_vector_and_tokens_are_cut(spark):
 def test_bm25_makes_no_row_per_query_and_chunk(spark):
     """Repeated ids, empty texts and terms of weight 0 (half the chunks have them) rank as by the definition."""
     rows = [(i % 40, "x", " ".join(["half"] * (i % 2) + [f"w{i % 7}"] * (i % 4))) for i in range(50)] + [(99, "x", "")]
-    chunks = spark.createDataFrame(rows, "doc_id long, aspect string, text string")
+    nulls = [(i, None, "half w1") for i in range(20)]        # belong to no aspect that can be asked for
+    chunks = spark.createDataFrame(rows + nulls, "doc_id long, aspect string, text string")
     q = spark.createDataFrame([(0, "half w1 w1"), (1, "w3 none"), (2, "half")], "query_id long, query string")
     qa = lexical.all_aspects(q, ["x"])
     index = lexical.build_index(chunks)
-    terms, asp = {r.term: r.idf for r in index.terms.collect()}, index.aspects.first()
+    terms, asp = {r.term: r.idf for r in index.terms.where("aspect = 'x'").collect()}, index.aspects.where("aspect = 'x'").first()
     want = {}
     for query in q.collect():
         score = {}
-        for r in index.postings.where("term is not null").collect():
+        for r in index.postings.where("aspect = 'x' and term is not null").collect():
             if r.term in query["query"].split():
                 norm = 1.5 * (0.25 + 0.75 * r.dl / asp.avgdl)
                 score[r.doc_id] = score.get(r.doc_id, 0) + query["query"].split().count(r.term) * terms[r.term] * r.tf * 2.5 / (r.tf + norm)
