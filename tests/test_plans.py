@@ -27,3 +27,8 @@ def test_topn_windows_have_partial_limits(spark):
     for key in ["dense_topk", "bm25_topk", "final_report"]:
         plan = E.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "WindowGroupLimit" in plan, key
+
+
+def test_preferred_types_are_keys_of_the_join(spark):
+    plan = E.queries()["hard_filter_in"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan
