@@ -83,8 +83,7 @@ class Model:
         self.languages = languages
         self.code = codewords(len(languages))
         bits = self.code.shape[1]
-        x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-        self.weights = np.zeros((x1.shape[1], bits), np.float32)
+        self.weights = np.zeros((x.shape[1], bits), np.float32)
         if not bits:
             self.trust = np.ones((len(languages), 0), np.float32)
             return
@@ -93,11 +92,11 @@ class Model:
         each = (1.0 / share[y] / len(languages))[:, None].astype(np.float32)   # languages count alike
         moment = np.zeros_like(self.weights)
         for _ in range(steps):
-            m = np.clip(target * (x1 @ self.weights), -30, 30)
-            grad = -(x1.T @ (target * each / (1 + np.exp(m)))) + decay * self.weights
+            m = np.clip(target * (x @ self.weights), -30, 30)
+            grad = -(x.T @ (target * each / (1 + np.exp(m)))) + decay * self.weights
             moment = 0.9 * moment - rate * grad
             self.weights += moment
-        right = ((x1 @ self.weights) * target > 0).astype(np.float32)
+        right = ((x @ self.weights) * target > 0).astype(np.float32)
         trust = np.stack([right[y == c].mean(0) for c in range(len(languages))])
         self.trust = trust / np.maximum(1e-9, trust.sum(1, keepdims=True))
 
@@ -133,7 +132,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         F.col(label_col).cast("string").alias("label"), h.alias("h"))
     labels = ids.select("label").distinct().count()
     if not labels:
-        return Model([], np.zeros((0, DIM), np.float32), np.zeros(0, int))
+        return Model([], np.ones((0, DIM + 1), np.float32), np.zeros(0, int))
     each = min(per_language, sample // labels)
     if not each:
         raise ValueError(f"{labels} labels, but the sample holds {sample} texts: less than one a label")
@@ -157,10 +156,30 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     # rows that repeat an id share its hash: their label is cut to its share, not the labels to the sample
     rows = chosen.groupBy("label", "v").agg(F.count(F.lit(1)).alias("n")) \
         .withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("v"))).filter(F.col("r") <= each) \
-        .orderBy("label", "v").collect()
-    names = sorted({r["label"] for r in rows})
-    x = np.stack([np.frombuffer(r["v"], "<f2") for r in rows]).astype(np.float32) if rows else np.zeros((0, DIM), np.float32)
-    return Model(names, x, np.array([names.index(r["label"]) for r in rows], dtype=int))
+        .orderBy("label", "v").select("label", "v")
+    # Arrow batches: the driver's JVM hands their bytes on, and no row becomes an object on either side
+    return Model(*training(rows.toArrow()))
+
+
+def training(rows: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """languages, vectors with a last column of ones, and labels of the rows of label, v."""
+    names = sorted(rows.column("label").unique().to_pylist())
+    x = np.ones((rows.num_rows, DIM + 1), np.float32)
+    y = np.zeros(rows.num_rows, dtype=int)
+    at = 0
+    for batch in rows.to_batches():
+        if batch.num_rows:
+            some = slice(at, at := at + batch.num_rows)
+            v = batch.column("v")
+            x[some, :DIM] = np.frombuffer(v.buffers()[2], "<f2", batch.num_rows * DIM, _first_byte(v)).reshape(-1, DIM)
+            y[some] = [names.index(label) for label in batch.column("label").to_pylist()]
+    return names, x, y
+
+
+def _first_byte(cells: pa.Array) -> int:
+    """Where the first of the binary cells begins in their buffer."""
+    wide = np.int64 if pa.types.is_large_binary(cells.type) else np.int32
+    return int(np.frombuffer(cells.buffers()[1], wide, 1, cells.offset * np.dtype(wide).itemsize)[0])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain, compress, repeat
+from operator import add, is_, not_
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,7 @@ class WordEncoder:
     Other pieces are encoded one by one.  The caches are bounded: they start anew when full.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
+    PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)|.*)$", re.MULTILINE)
 
     def __init__(self, path: str):
         import os
@@ -75,43 +77,36 @@ class WordEncoder:
             self.cache.clear()
         if len(self.parts) > CACHE_WORDS:
             self.parts.clear()
-        plain, other, new = [], [], set()
-        for p in pieces:
-            m = self.PLAIN.fullmatch(p)
-            if m:
-                word, signs = m[1].lower(), m[2]
-                plain.append((p, word, signs))
-                if word not in self.parts:
-                    new.add(word)
-                if signs and signs not in self.parts:
-                    new.add(signs)
-            else:
-                other.append(p)
-        if new:
-            parts = list(new)
+        # one line a piece, its letters and signs or nothing: a match for every line, in order
+        found = self.PLAIN.findall("\n".join(pieces))
+        words, signs = "\n".join([w for w, _ in found]).lower().split("\n"), [s for _, s in found]
+        self.parts[""] = b""
+        parts = list(set(words).union(signs).difference(self.parts))
+        if parts:
             ids = np.concatenate([np.array(e.ids, dtype="<u2") for e in self.encode(
                 [" ".join(parts[i:i + 500]) for i in range(0, len(parts), 500)], add_special_tokens=False)])
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(parts):
-                raw, at = ids.tobytes(), 0
-                for p, e in zip(parts, (2 * (last + 1)).tolist(), strict=True):
-                    self.parts[p] = raw[at:e]
-                    at = e
+                to = (2 * (last + 1)).tolist()
+                self.parts.update(zip(parts, map(ids.tobytes().__getitem__, map(slice, [0, *to], to))))
             else:                                          # a tokenizer without such marks
                 self._each(parts, self.parts)
-        for p, word, signs in plain:
-            self.cache[p] = self.parts[word] + self.parts[signs] if signs else self.parts[word]
-        self._each(other, self.cache)
+        of = self.parts.__getitem__
+        self.cache.update(zip(pieces, map(add, map(of, words), map(of, signs)), strict=True))
+        self._each(list(compress(pieces, map(not_, words))), self.cache)
 
     def ids(self, texts: list[str], end: bytes) -> list[bytes]:
         """The ids of each text (little-endian, 2 bytes an id), with ``end`` after them."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        pieces = set().union(*split)
-        missing = pieces.difference(self.cache)
+        pieces = list(chain.from_iterable(split))
+        got = list(map(self.cache.get, pieces))             # one look at the cache a piece
+        missing = list(compress(range(len(got)), map(is_, got, repeat(None))))
         if missing:
-            self._learn(list(missing if len(self.cache) <= CACHE_WORDS else pieces))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) + end for pieces in split]
+            self._learn(list({pieces[i] for i in missing}))
+            for i in missing:
+                got[i] = self.cache[pieces[i]]
+        to = list(accumulate(map(len, split)))
+        return [b"".join(got[a:b]) + end for a, b in zip([0, *to], to, strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
