@@ -17,13 +17,11 @@ are packed each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import accumulate, chain, compress, repeat
-from operator import add, is_, not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,7 +35,8 @@ QUEUES = 1024       # the largest sources have a queue of their own, the others
 TEMPERATURE = 0.7   # default targets: a source's share of tokens to this power
 CACHE_WORDS = 600_000
 CHUNK_TOKENS = 500_000     # tokens cut at once (one longer document is a chunk)
-CHUNK_ROWS = 1024          # texts encoded before their ids leave the worker
+CHUNK_ROWS = 2048          # texts encoded before their ids leave the worker,
+CHUNK_BYTES = 16 << 20     # or fewer of so many bytes (one longer text is a chunk)
 REST = "\x00rest"   # label of the shared queue
 NULL = "\x00null"   # label of the null source's queue
 
@@ -49,10 +48,14 @@ class WordEncoder:
     pieces in order.  A piece of Latin letters and then signs is the ids of its letters, in lower case, and
     of its signs: the tokenizer splits there and lower-cases.  Such parts are one pre-token each and end
     in a token marked as a word end, so many are encoded in one call and told apart by these marks.
-    Other pieces are encoded one by one.  The caches are bounded: they start anew when full.
+    Other pieces are encoded one by one.  Texts are split, looked up and joined as Arrow columns: Python
+    meets only parts and pieces that are new.  What is known is bounded: it starts anew when full.
     """
 
-    PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)|.*)$", re.MULTILINE)
+    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    LETTERS = "".join(chr(c) for c in range(0x100) if chr(c).isalpha() and chr(c) not in "ªµº")
+    WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+    PART = r"^(?:[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+)$"
 
     def __init__(self, path: str):
         import os
@@ -65,48 +68,60 @@ class WordEncoder:
             raise ValueError("ids are kept in 2 bytes: the tokenizer has more than 65,536")
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _each(self, pieces: list[str], cache: dict[str, bytes]) -> None:
-        for p, e in zip(pieces, self.encode(pieces, add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, dtype="<u2").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        # one line a piece, its letters and signs or nothing: a match for every line, in order
-        found = self.PLAIN.findall("\n".join(pieces))
-        words, signs = "\n".join([w for w, _ in found]).lower().split("\n"), [s for _, s in found]
-        self.parts[""] = b""
-        parts = list(set(words).union(signs).difference(self.parts))
+        self.known, self.known_ids = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    def _each(self, pieces: list[str]) -> pa.Array:
+        found = self.encode(pieces, add_special_tokens=False)
+        return pa.array([np.array(e.ids, dtype="<u2").tobytes() for e in found], pa.binary())
+
+    def _learn(self, new: pa.Array) -> None:
+        part = pc.match_substring_regex(new, self.PART)
+        # in order: neighbours share their beginnings, which the tokenizer then has at hand
+        parts, others = sorted(new.filter(part).to_pylist()), sorted(new.filter(pc.invert(part)).to_pylist())
+        found = [self.known_ids, self._each(others)]
         if parts:
             ids = np.concatenate([np.array(e.ids, dtype="<u2") for e in self.encode(
                 [" ".join(parts[i:i + 500]) for i in range(0, len(parts), 500)], add_special_tokens=False)])
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(parts):
-                to = (2 * (last + 1)).tolist()
-                self.parts.update(zip(parts, map(ids.tobytes().__getitem__, map(slice, [0, *to], to))))
+                to = np.concatenate([[0], 2 * (last + 1)]).astype(np.int32)
+                found.append(pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(to), pa.py_buffer(ids)]))
             else:                                          # a tokenizer without such marks
-                self._each(parts, self.parts)
-        of = self.parts.__getitem__
-        self.cache.update(zip(pieces, map(add, map(of, words), map(of, signs)), strict=True))
-        self._each(list(compress(pieces, map(not_, words))), self.cache)
-
-    def ids(self, texts: list[str], end: bytes) -> list[bytes]:
+                found.append(self._each(parts))
+        self.known = pa.concat_arrays([self.known, pa.array(others + parts, pa.string())])
+        self.known_ids = pa.concat_arrays(found)
+
+    def _look_up(self, keys: pa.Array) -> pa.Array:
+        """The ids of distinct parts and pieces."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.known_ids = self.known[:0], self.known_ids[:0]
+        at = pc.index_in(keys, value_set=self.known)
+        if at.null_count:
+            new, before = pc.is_null(at), len(self.known)
+            self._learn(keys.filter(new))
+            place = pc.index_in(keys.filter(new), value_set=self.known[before:])
+            at = pc.replace_with_mask(at, new, pc.add(place, pa.scalar(before, pa.int32())))
+        return self.known_ids.take(at)
+
+    def ids(self, texts: pa.Array, end: bytes) -> pa.Array:
         """The ids of each text (little-endian, 2 bytes an id), with ``end`` after them."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        pieces = list(chain.from_iterable(split))
-        got = list(map(self.cache.get, pieces))             # one look at the cache a piece
-        missing = list(compress(range(len(got)), map(is_, got, repeat(None))))
-        if missing:
-            self._learn(list({pieces[i] for i in missing}))
-            for i in missing:
-                got[i] = self.cache[pieces[i]]
-        to = list(accumulate(map(len, split)))
-        return [b"".join(got[a:b]) + end for a, b in zip([0, *to], to, strict=False)]
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found = pc.dictionary_encode(split.flatten())
+        pieces = found.dictionary
+        word = pc.utf8_rtrim(pieces, self.SIGNS)
+        plain = pc.match_substring_regex(word, self.WORD)
+        keys = pc.dictionary_encode(pa.concat_arrays([
+            pc.if_else(plain, pc.utf8_lower(word), pieces),
+            pc.if_else(plain, pc.utf8_ltrim(pieces, self.LETTERS), "")]))
+        of = self._look_up(keys.dictionary)
+        own, signs = (of.take(keys.indices[i:i + len(pieces)]) for i in (0, len(pieces)))
+        of = pa.concat_arrays([pc.binary_join_element_wise(own, signs, b""), pa.array([end], pa.binary())])
+        # the end follows each text's last piece; joined, the ids of the pieces are those of the texts
+        n = split.value_lengths().to_numpy()
+        rows = of.take(pa.array(np.insert(found.indices.to_numpy(), np.cumsum(n), len(pieces))))
+        bounds = np.frombuffer(rows.buffers()[1], np.int32)[np.concatenate([[0], np.cumsum(n + 1)])]
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds), rows.buffers()[2]])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -121,23 +136,26 @@ def encoder(path: str) -> WordEncoder:
 
 
 def encoded(batches: Iterator[pa.RecordBatch], enc: WordEncoder, end_id: int) -> Iterator[pa.RecordBatch]:
-    """The rows of doc_id, source, part, text with their ids, CHUNK_ROWS at a time however long a batch is."""
+    """The rows of doc_id, source, part, text with their ids, at most CHUNK_ROWS and some CHUNK_BYTES at a time however
+    long a batch is."""
     end = np.array([end_id], dtype="<u2").tobytes()
     sent: dict[str, int] = {}
     for whole in batches:
-        for at in range(0, whole.num_rows, CHUNK_ROWS):
-            batch = whole.slice(at, CHUNK_ROWS)
-            ids, n, start = [], [], []
-            for k in range(0, batch.num_rows, 64):
-                some = enc.ids([t or "" for t in batch.column("text").slice(k, 64).to_pylist()], end)
-                ids += some
-                n += [len(x) // 2 for x in some]
-            for source, size in zip(batch.column("source").to_pylist(), n, strict=True):
+        texts = pc.fill_null(whole.column("text").cast(pa.string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < whole.num_rows:
+            most = int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK_BYTES, side="right")) - at
+            batch = whole.slice(at, min(CHUNK_ROWS, max(1, most)))
+            at += batch.num_rows
+            ids = enc.ids(texts.slice(at - batch.num_rows, batch.num_rows), end)
+            n, start = (pc.binary_length(ids).to_numpy() // 2).tolist(), []
+            for source, tokens in zip(batch.column("source").to_pylist(), n, strict=True):
                 start.append(sent.get(source, 0))
-                sent[source] = start[-1] + size
+                sent[source] = start[-1] + tokens
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("source"), batch.column("part"), pa.array(n, pa.int64()),
-                 pa.array(start, pa.int64()), pa.array(ids, pa.binary())],
+                 pa.array(start, pa.int64()), ids],
                 names=["doc_id", "source", "part", "n", "start", "ids"])
 
 

@@ -288,3 +288,37 @@ def test_workers_of_the_packing_hold_few_rows_at_once():
     for r in rows:
         assert r["n"] == len(r["ids"]) // 2 and r["start"] == sent.get(r["source"], 0)
         sent[r["source"]] = r["start"] + r["n"]
+
+
+def test_encoding_makes_no_python_object_a_word():
+    """Words are split, looked up and joined as columns: a long text of few words costs a few bytes a word in Python."""
+    import tracemalloc
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    words = ["Alpha", "beta,", "gamma.", "ÉTÉ!", "it's", "2.0", "漢字", "--", ""]
+    n = 200_000
+    texts = [" ".join(words[i % len(words)] for i in range(n)), None, "x\n\ny"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3), pa.int64()), pa.array(["a"] * 3), pa.array([0] * 3, pa.int32()), pa.array(texts)],
+                                       names=["doc_id", "source", "part", "text"])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = packing.encoder(path)
+    tracemalloc.start()
+    out = list(packing.encoded([batch], enc, packing.END_ID))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * n
+    tok = Tokenizer.from_file(path)
+    ids = [b"".join(x.to_bytes(2, "little") for x in [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for t in texts]
+    assert [r for b in out for r in b.column("ids").to_pylist()] == ids
+
+
+def test_encoder_that_is_full_starts_anew(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, tok = packing.WordEncoder(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    for texts in (["one two, 3", None], ["two. four FIVE"], ["", "one 3 six\tseven"], ["six"]):
+        got = enc.ids(pa.array(texts, pa.string()), b"\x01\x00").to_pylist()
+        assert got == [b"".join(x.to_bytes(2, "little") for x in [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for t in texts]
