@@ -1,13 +1,16 @@
 """Scored pairs and fronts against brute force, in blocks small enough that classes and catalogues are split."""
 
+import datetime
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from facetrank.operators import pairs, scoring, topk
+from facetrank.plans import text_queries
 
 
 def _data(spark, seed=5):
@@ -86,3 +89,21 @@ def test_no_user_meets_the_whole_catalogue(spark, monkeypatch):
     size = {tuple(r.support): r["count"] for r in topk.fronts(sets, terms.select("id").distinct(), terms, 5).groupBy("support").count().collect()}
     # the block maxima left a third of the catalogue to each user
     assert size[()] == 5 and 5 <= size[("d",)] < 100 and size[("a", "b", "c")] < 800
+
+
+@pytest.mark.parametrize("name", ["nested_filter", "hard_filter_2", "hard_filter_3", "hard_filter_in"])
+def test_pairs_of_one_location_are_shared_by_tasks(spark, tmp_path, name):
+    """One location and type for all: its pairs come from several tasks, and are those of the plain join."""
+    halls = [(i, f"h{i}", None if i == 7 else "b", "t", None if i == 8 else 1.0, 1) for i in range(5_000)] + [(9, "h9", "b", "t", 1.0, 1)]
+    spark.createDataFrame(halls, "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double, p_size int") \
+        .write.parquet(str(tmp_path / "part.parquet"))
+    ts = datetime.datetime(2024, 1, 1)
+    events = [(u, ts, None if u == 3 else u, "purchase", 1.0, '{"k": %d}' % (7 if u == 5 else 0)) for u in range(20)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(0, 0, [1.0])], "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [tuple(r) for r in getattr(text_queries, f"q_{name}")(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()]
+    assert len({task for *_, task in got}) > 1
+    ids = [i for i, _, brand, _, price, _ in halls if brand and (price or name == "nested_filter")]
+    users = [e[2] for e in events if e[0] != 5 and not (name == "hard_filter_in" and e[2] is None)]
+    assert Counter((u, i) for u, i, _ in got) == Counter((u, i) for u in users for i in ids)
