@@ -8,6 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from facetrank.functions import fixed
 from facetrank.functions import text as tx
 from facetrank.operators import profile, scoring
 from facetrank.streaming import profile as sprofile
@@ -202,3 +203,17 @@ def test_hall_totals_sum_all_items(spark):
     got = {(r["model"], r["hall_id"]): r["final_score"] for r in sentiment.hall_totals(df).collect()}
     assert got[("m1", 7)] == pytest.approx(2 * w[items[0]] - w[items[1]])
     assert got[("m1", 8)] == pytest.approx(2 * w[items[1]])
+
+
+def test_discovery_fill_keeps_its_plan_short(spark):
+    """The driver holds the text of a running plan; kept frames nested in each other multiplied it to megabytes."""
+    hd = _hall_data(spark, TAGS, SET2)
+    df = scoring.rec_integrated(hd, profile.profile_points(hd.actions, hd.hf13, fixed.ACTION_POINTS_V2), 4)
+    assert len(df._jdf.queryExecution().executedPlan().toString()) < 100_000
+    assert [(r["rank"], r["matched"]) for r in df.orderBy("rank").collect()][0] == (1, True)
+
+
+def test_halls_are_not_broadcast_by_the_size_of_their_files(spark):
+    from facetrank.sources import fixtures as fx
+    plan = fx.users(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
