@@ -107,3 +107,17 @@ def test_pairs_of_one_location_are_shared_by_tasks(spark, tmp_path, name):
     ids = [i for i, _, brand, _, price, _ in halls if brand and (price or name == "nested_filter")]
     users = [e[2] for e in events if e[0] != 5 and not (name == "hard_filter_in" and e[2] is None)]
     assert Counter((u, i) for u, i, _ in got) == Counter((u, i) for u in users for i in ids)
+
+
+def test_rows_copied_to_parts_do_not_grow_with_the_pairs(spark, monkeypatch):
+    """Parts of a fixed size copied each user to every part of its class's halls: users times halls."""
+    monkeypatch.setattr(pairs, "MEET_USERS", 2)
+    monkeypatch.setattr(pairs, "MEET_HALLS", 5)
+    seen, dealt = [], pairs.dealt
+    monkeypatch.setattr(pairs, "dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    users = spark.range(400).select(F.col("id").alias("user_id"), F.when(F.col("id") % 9 == 0, "b").otherwise("a").alias("location"))
+    halls = spark.range(6000).select("id", F.when(F.col("id") % 7 == 0, "b").when(F.col("id") != 1, "a").alias("location"))
+    got = pairs.equal_pairs(users, halls, ["location"])
+    assert got.count() == got.distinct().count() == 355 * 5141 + 45 * 858
+    u, h = (x.count() for x in seen[0])
+    assert u + h < 12 * (400 + 6000)
